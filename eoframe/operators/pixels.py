@@ -129,16 +129,16 @@ def percentile_stretch(
     for display composites of a few bands)."""
     if scope == "band":
         return px.withColumn("pixels", arrays.percentile_stretch(F.col("pixels"), lo, hi, degenerate))
-    bounds = px.groupBy("patch_id").agg(
-        F.percentile(F.col("v"), F.array(F.lit(lo / 100), F.lit(hi / 100))).alias("p")
-    ) if "v" in px.columns else (
-        px.select("patch_id", F.explode("pixels").alias("v"))
-        .groupBy("patch_id")
-        .agg(F.percentile("v", F.array(F.lit(lo / 100), F.lit(hi / 100))).alias("p"))
-    )
-    joined = px.join(bounds, "patch_id")
-    lo_c, hi_c = F.get("p", F.lit(0)), F.get("p", F.lit(1))
-    return joined.withColumn("pixels", arrays.stretch(F.col("pixels"), lo_c, hi_c, degenerate)).drop("p")
+    # the bands of one patch are few and of fixed size: collect them, sort once, hand every band the same bounds
+    stacked = px.groupBy("patch_id").agg(F.collect_list(F.struct("band", "height", "width", "pixels")).alias("b"))
+    merged = F.array_sort(F.flatten(F.transform("b", lambda x: x["pixels"])))
+    staged = stacked.withColumn("s", merged).withColumns(
+        {"lo": arrays.percentile(F.col("s"), lo), "hi": arrays.percentile(F.col("s"), hi)}
+    )
+    return staged.select("patch_id", "lo", "hi", F.explode("b").alias("b")).select(
+        "patch_id", "b.band", "b.height", "b.width",
+        arrays.stretch(F.col("b.pixels"), F.col("lo"), F.col("hi"), degenerate).alias("pixels"),
+    )
 
 
 def rgb_composite(px: DataFrame, bands: tuple[str, ...] = ("B04", "B03", "B02")) -> DataFrame:
