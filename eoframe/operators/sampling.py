@@ -6,8 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eoframe import fixed_values as fv
-from eoframe.functions.ranking import count_of, first_k_per_key, hash_key, keep_first, keep_first_by, split_at
+from eoframe.functions.ranking import (
+    count_of, cut_at, first_k_per_key, hash_key, keep_first, keep_first_by, split_at,
+)
 from eoframe.operators.annotations import first_per_patch
+from eoframe.session import materialize
+
+# A draw reads its input three times (bucket counts, cut bucket, output). Where that input is the result of a scan of
+# all annotations, the narrow (patch_id, country) table is written once to the shared folder, so the annotations are
+# scanned once and a lost executor costs one re-read.
 
 
 def _strata(patches: DataFrame, quota: Column) -> DataFrame:
@@ -18,11 +25,11 @@ def _strata(patches: DataFrame, quota: Column) -> DataFrame:
 def sample_patches_v1(ann: DataFrame, n: int, seed: int) -> DataFrame:
     """Quota per country max(1, floor(n*c/T)), trimmed to n. Floors are not topped up, patches without a country are
     never drawn but count in T, and n >= T keeps every patch."""
-    patches = first_per_patch(ann, ["country"])
+    patches = materialize(first_per_patch(ann, ["country"]), "patch-country")
     total = count_of(patches)
     known = patches.filter(F.col("country").isNotNull())
     quotas = _strata(known, F.floor(F.lit(n) * F.col("c") / total))
-    drawn = keep_first_by(known, seed, "patch_id", ["country"], quotas)
+    drawn = materialize(keep_first_by(known, seed, "patch_id", ["country"], quotas), "patch-draw")
     trimmed = keep_first(drawn, f"{seed}:trim", "patch_id", n)
     return trimmed.filter(total > n).union(patches.filter(total <= n))
 
@@ -30,12 +37,11 @@ def sample_patches_v1(ann: DataFrame, n: int, seed: int) -> DataFrame:
 def sample_patches_v2(ann: DataFrame, n: int, seed: int) -> DataFrame:
     """Quota max(1, floor((c/T)*n)), division first, then topped up to n from the rest; never trimmed, so it can
     exceed n. Patches without a country are a stratum of their own."""
-    patches = first_per_patch(ann, ["country"], skip_nulls=False)
+    patches = materialize(first_per_patch(ann, ["country"], skip_nulls=False), "patch-country")
     total = count_of(patches)
     target = F.least(F.lit(n), total)
-    drawn = keep_first_by(
-        patches, seed, "patch_id", ["country"], _strata(patches, F.floor(F.col("c") / total * target))
-    )
+    quotas = _strata(patches, F.floor(F.col("c") / total * target))
+    drawn = materialize(keep_first_by(patches, seed, "patch_id", ["country"], quotas), "patch-draw")
     return drawn.union(_top_up(patches, drawn, target, seed))
 
 
@@ -47,15 +53,13 @@ def _top_up(patches: DataFrame, drawn: DataFrame, target: Column, seed: int) ->
 def sample_patches_v3(ann: DataFrame, cached: DataFrame, n: int, seed: int) -> DataFrame:
     """Without cached patches: quota as in v1 by country only, topped up, cut to n."""
     patches = first_per_patch(ann, ["country"]).join(cached.select("patch_id"), "patch_id", "left_anti")
-    patches = patches.select("patch_id", "country")
+    patches = materialize(patches.select("patch_id", "country"), "patch-country")
     total = count_of(patches)
     known = patches.filter(F.col("country").isNotNull())
-    drawn = keep_first_by(
-        known, seed, "patch_id", ["country"], _strata(known, F.floor(F.lit(n) * F.col("c") / total))
-    )
-    chosen = keep_first(
-        drawn.union(_top_up(patches, drawn, F.lit(n), seed)), f"{seed}:head", "patch_id", n
-    )
+    quotas = _strata(known, F.floor(F.lit(n) * F.col("c") / total))
+    drawn = materialize(keep_first_by(known, seed, "patch_id", ["country"], quotas), "patch-draw")
+    filled = materialize(drawn.union(_top_up(patches, drawn, F.lit(n), seed)), "patch-draw")
+    chosen = keep_first(filled, f"{seed}:head", "patch_id", n)
     return chosen.filter(total > n).union(patches.filter(total <= n))
 
 
@@ -81,8 +85,6 @@ def split_by_patch(
     ids = entries.select(F.col("image").alias("patch_id")) if universe is None else universe.select("patch_id")
     ids = ids.distinct()
     size = F.greatest(F.lit(floor), F.floor(count_of(ids) * F.lit(frac)).cast("bigint"))
-    from eoframe.functions.ranking import cut_at
-
     cut = cut_at(ids, seed, "patch_id", size)
     at = F.struct(hash_key(seed, F.col("image")).alias("h"), F.col("image").alias("k"))
     return entries.withColumn(
@@ -142,7 +144,9 @@ def sample_multilabel(labels: DataFrame, n: int, val: float, seed: int) -> DataF
     published with its code; this rule is ours."""
     exploded = labels.select("patch_id", F.explode("labels").alias("label"))
     sizes = exploded.groupBy("label").agg(F.count(F.lit(1)).alias("class_size"))
-    rarity = exploded.join(sizes, "label").groupBy("patch_id").agg(F.min("class_size").alias("rarity"))
+    rarity = materialize(
+        exploded.join(sizes, "label").groupBy("patch_id").agg(F.min("class_size").alias("rarity")), "patch-rarity"
+    )
     per_rarity = rarity.groupBy("rarity").agg(F.count(F.lit(1)).alias("c"))
     # at most one row per class: the running total over them is small
     from pyspark.sql import Window as W
@@ -151,7 +155,7 @@ def sample_multilabel(labels: DataFrame, n: int, val: float, seed: int) -> DataF
     limits = per_rarity.select("rarity", F.col("c"), F.sum("c").over(running).alias("upto")).select(
         "rarity", F.greatest(F.lit(0), F.least(F.col("c"), F.lit(n) - (F.col("upto") - F.col("c")))).alias("limit")
     )
-    chosen = keep_first_by(rarity, seed, "patch_id", ["rarity"], limits)
+    chosen = materialize(keep_first_by(rarity, seed, "patch_id", ["rarity"], limits), "patch-draw")
     return split_rows(chosen, seed, "patch_id", [("val", val)], "train")
 
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from eoframe.operators import annotations as an
 from eoframe.operators import pairs as tp
 from eoframe.operators import sampling as sm
-from eoframe.plans.catalog import LABEL_SETS
 from eoframe.plans.registry import query
+from eoframe.session import materialize
 from eoframe.sources.adapters import Tables, oracle
 
 SEED = 42
@@ -286,12 +286,11 @@ def temporal_dataset(t: Tables) -> DataFrame:
     from capped c join pr on c.patch_id = pr.patch_id group by 1, 2""", "ann"))
 def training_set_build(t: Tables) -> DataFrame:
     """Train rows -> stratified patches -> caps -> entries -> patch-level split -> counts."""
-    train = an.filter_split(t.ann, "train")
-    sampled = an.keep_patches(train, sm.sample_patches_v1(train, N, SEED))
-    entries = an.format_instructions(sm.cap_per_type(sampled, SEED, CAPS))
+    train = an.filter_split(t.ann, "train").select(
+        "ann_id", "patch_id", "s1_name", "input", "output", "type", "country"
+    )
+    sampled = materialize(an.keep_patches(train, sm.sample_patches_v1(train, N, SEED)), "sampled-annotations")
+    entries = materialize(an.format_instructions(sm.cap_per_type(sampled, SEED, CAPS)), "entries")
     return sm.split_by_patch(entries, 0.1, SEED).groupBy(F.col("task_type").alias("type"), "split").agg(
         F.count(F.lit(1)).alias("n_entries"), F.countDistinct("image").alias("n_patches")
     )
-
-
-_ = LABEL_SETS  # the label-set CTE is shared with the catalog queries
