@@ -122,9 +122,9 @@ def _turns(human: Column, gpt: Column) -> Column:
     return F.array(turn("human", human), turn("gpt", gpt)).cast(ENTRY_TYPE)
 
 
-def format_instructions(df: DataFrame) -> DataFrame:
+def format_instructions(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Instruction entries from annotations; the captioning prompt ignores the input and unknown types are dropped.
-    A missing text is printed as ``None``, which is what the reference writes."""
+    A missing text is printed as ``None``, which is what the reference writes. ``keep`` columns come along."""
     prompt = F.replace(F.col("template"), F.lit("{input}"), F.coalesce(F.col("input"), F.lit("None")))
     joined = df.join(F.broadcast(template_table(df)), "type")
     return joined.select(
@@ -133,6 +133,7 @@ def format_instructions(df: DataFrame) -> DataFrame:
         "s1_name",
         _turns(prompt, F.coalesce(F.col("output").cast("string"), F.lit("None"))).alias("conversations"),
         F.col("type").alias("task_type"),
+        *keep,
     )
 
 

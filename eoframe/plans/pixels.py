@@ -1 +1,210 @@
-"""Placeholder."""
+"""Band-table queries. Whole rasters are compared by an order-sensitive checksum per band."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from eoframe import fixed_values as fv
+from eoframe.config import OpticalConfig
+from eoframe.functions import arrays
+from eoframe.operators import pixels as px
+from eoframe.plans.registry import query, sql_text
+from eoframe.sources.adapters import Tables, oracle
+
+_NATIVE = "case when band in ('B02', 'B03', 'B04', 'B08') then 10 when band in ('B01', 'B09', 'B10') then 60 else 20 end"
+_SUM = "round(sum(cast({0} as double) * (i + 1)), {1})"
+PACK6 = ["B02", "B03", "B04", "B08"]
+
+
+def _summed(df: DataFrame, digits: int = 3, keys: tuple[str, ...] = ("patch_id", "band")) -> DataFrame:
+    return df.select(*keys, F.round(arrays.checksum(F.col("pixels")), digits).alias("checksum"))
+
+
+def _stats(values: dict, i: int) -> str:
+    return "case band " + " ".join(f"when '{b}' then {s[i]!r}e0" for b, s in values.items()) + " end"
+
+
+@query(oracle(f"""select patch_id, string_agg(band, ',' order by band) filter (where used) as used, coalesce(string_agg(band, ',' order by band) filter (where not used), '') as dropped
+    from (select distinct patch_id, band, {_NATIVE} <> 60 as used from px) group by patch_id""", "px"))
+def band_selection(t: Tables) -> DataFrame:
+    marked = px.select_bands(t.px)
+    names = lambda keep: F.array_join(F.array_sort(F.collect_list(F.when(keep, F.col("band")))), ",")
+    return marked.groupBy("patch_id").agg(names(F.col("used")).alias("used"), names(~F.col("used")).alias("dropped"))
+
+
+@query(oracle("""with b as (select distinct patch_id, band, height from px where band not in ('B02', 'B03')),
+    r as (select *, row_number() over (partition by patch_id order by case band when 'B04' then 1 when 'B08' then 2 else 5 end, -height, band) as rn from b
+      where not (band = 'B04' and right(patch_id, 1) = '7'))
+    select patch_id, height as target_h, height as target_w from r where rn = 1""", "px"))
+def target_grid(t: Tables) -> DataFrame:
+    some = t.px.filter(~F.col("band").isin("B02", "B03") & ~((F.col("band") == "B04") & F.col("patch_id").endswith("7")))
+    return px.target_grid(some)
+
+
+@query(oracle(f"""with g as (select patch_id, band, height as n, list(v order by i) as vs from px group by patch_id, band, height),
+    o as (select patch_id, band, i, vs[floor((2 * (i // 6) + 1) * n / 12e0)::int * n + floor((2 * (i % 6) + 1) * n / 12e0)::int + 1] as v
+      from g cross join range(0, 36) as r(i))
+    select patch_id, band, {_SUM.format('v', 3)} as checksum from o group by patch_id, band""", "px"))
+def nearest_resample(t: Tables) -> DataFrame:
+    return _summed(px.resample_nearest(t.px, 6))
+
+
+@query(oracle(f"""with g as (select patch_id, band, height as n, list(v order by i) as vs from px where height = 3 group by patch_id, band, height),
+    p as (select patch_id, band, i, n, vs, (i // 6) * (n - 1) / 5e0 as y, (i % 6) * (n - 1) / 5e0 as x from g cross join range(0, 36) as r(i)),
+    f as (select *, floor(y)::int as r0, floor(x)::int as c0, least(floor(y)::int + 1, n - 1) as r1, least(floor(x)::int + 1, n - 1) as c1 from p),
+    o as (select patch_id, band, i, (vs[r0 * n + c0 + 1] * (1 - (x - c0)) + vs[r0 * n + c1 + 1] * (x - c0)) * (1 - (y - r0))
+      + (vs[r1 * n + c0 + 1] * (1 - (x - c0)) + vs[r1 * n + c1 + 1] * (x - c0)) * (y - r0) as v from f)
+    select patch_id, band, {_SUM.format('v', 2)} as checksum from o group by patch_id, band""", "px"))
+def bilinear_resample(t: Tables) -> DataFrame:
+    return _summed(px.resample_bilinear(t.px.filter(F.col("height") == 3), 6), 2)
+
+
+_RENAMED = "case when band = 'B09' then 'X1' else band end"
+
+
+@query(oracle(f"""with p as (select patch_id, {_RENAMED} as band, i, v from px),
+    s as (select *, avg(v) over (partition by patch_id, band) as m, stddev_pop(v) over (partition by patch_id, band) as sd from p)
+    select patch_id, band, {_SUM.format(f"(v - coalesce({_stats(fv.OPTICAL_STATS, 0)}, m)) / (coalesce({_stats(fv.OPTICAL_STATS, 1)}, sd) + 1e-8)", 3)} as checksum
+    from s group by patch_id, band""", "px"))
+def band_zscore(t: Tables) -> DataFrame:
+    """B09 is renamed, so one band has no fixed statistics."""
+    return _summed(px.zscore(t.px.withColumn("band", F.when(F.col("band") == "B09", F.lit("X1")).otherwise(F.col("band")))))
+
+
+_MM = f"""s as (select *, min(v) over (partition by patch_id, band) as lo, max(v) over (partition by patch_id, band) as hi from px)
+    select patch_id, band, {_SUM.format('case when hi - lo > 1e-8 then (v - lo) / (hi - lo) else 0 end', 4)} as checksum from s group by patch_id, band"""
+
+
+@query(oracle(f"with {_MM}", "px"))
+def band_minmax(t: Tables) -> DataFrame:
+    return _summed(px.minmax(t.px), 4)
+
+
+@query(oracle(f"""select patch_id, band, {_SUM.format("case when band = 'VV' then (v + 25e0) / 30e0 else (v + 35e0) / 30e0 end", 4)} as checksum from px_radar group by patch_id, band""",
+              "px_radar"))
+def radar_minmax(t: Tables) -> DataFrame:
+    return _summed(px.minmax(t.px_radar, fv.RADAR_RANGES), 4)
+
+
+@query(oracle(f"""with w as (select patch_id, i, max(v) filter (where band = 'B08') as b08, max(v) filter (where band = 'B04') as b04, max(v) filter (where band = 'B03') as b03
+      from px where height = 6 group by patch_id, i),
+    x as (select patch_id, i, 'NDVI' as index_name, b08 as a, b04 as b from w union all select patch_id, i, 'NDWI', b03, b08 from w)
+    select patch_id, index_name, {_SUM.format('case when abs(a + b) > 1e-8 then (a - b) / (a + b) else 0 end', 4)} as checksum from x
+    where a is not null and b is not null group by patch_id, index_name""", "px"))
+def spectral_indices(t: Tables) -> DataFrame:
+    return _summed(px.spectral_indices(t.px), 4, ("patch_id", "index_name"))
+
+
+def _stretch_sql(part: str, eps: str = "1e-6", flat: int = 0) -> str:
+    return f"""q as (select *, quantile_cont(v, 0.02) over ({part}) as lo, quantile_cont(v, 0.98) over ({part}) as hi from src),
+    st as (select *, case when hi - lo >= {eps} then floor((greatest(lo, least(hi, v)) - lo) / (hi - lo) * 255e0) else {flat} end as b from q)"""
+
+
+@query(oracle(f"""with src as (select * from px), {_stretch_sql('partition by patch_id, band')}
+    select patch_id, band, cast(sum(b * (i + 1)) as bigint) as checksum, cast(max(b) as bigint) as brightest from st group by patch_id, band""", "px"))
+def band_stretch(t: Tables) -> DataFrame:
+    out = px.percentile_stretch(t.px)
+    return out.select("patch_id", "band", arrays.checksum(F.col("pixels").cast("array<double>")).cast("bigint").alias("checksum"),
+                      F.array_max("pixels").cast("bigint").alias("brightest"))
+
+
+@query(oracle(f"""with src as (select * from px where band in ('B04', 'B03', 'B02')), {_stretch_sql('partition by patch_id', flat=128)}
+    select patch_id, band, cast(sum(b * (i + 1)) as bigint) as checksum from st group by patch_id, band""", "px"))
+def patch_stretch(t: Tables) -> DataFrame:
+    """Percentiles over the three display bands together; a flat patch becomes mid-grey."""
+    rgb = t.px.filter(F.col("band").isin("B04", "B03", "B02"))
+    out = px.percentile_stretch(rgb, scope="patch", degenerate=128)
+    return out.select("patch_id", "band", arrays.checksum(F.col("pixels").cast("array<double>")).cast("bigint").alias("checksum"))
+
+
+@query(oracle(f"select patch_id, band, {_SUM.format('greatest(-30e0, least(5e0, v))', 3)} as checksum from px_radar group by patch_id, band", "px_radar"))
+def radar_clip(t: Tables) -> DataFrame:
+    return _summed(px.clip_db(t.px_radar))
+
+
+_ONE_POL = "(band <> 'VH' or right(patch_id, 1) <> '5')"
+
+
+@query(oracle(f"""with w as (select patch_id, i, max(v) filter (where band = 'VV') as vv, max(v) filter (where band = 'VH') as vh from px_radar where {_ONE_POL} group by patch_id, i),
+    src as (select patch_id, 'red' as ch, i, coalesce(vv, vh) as v from w union all select patch_id, 'green', i, coalesce(vh, vv) from w
+      union all select patch_id, 'blue', i, case when vv is null or vh is null then coalesce(vv, vh) when abs(vh) > 1e-8 then vv / vh else 1 end from w),
+    {_stretch_sql('partition by patch_id, ch', '1e-8')}
+    select patch_id, cast(sum(b * (i + 1)) filter (where ch = 'red') as bigint) as red, cast(sum(b * (i + 1)) filter (where ch = 'green') as bigint) as green,
+      cast(sum(b * (i + 1)) filter (where ch = 'blue') as bigint) as blue from st group by patch_id""", "px_radar"))
+def radar_false_colour(t: Tables) -> DataFrame:
+    some = t.px_radar.filter((F.col("band") != "VH") | ~F.col("patch_id").endswith("5"))
+    return px.radar_rgb(some).select(
+        "patch_id", *[arrays.checksum(F.col(c).cast("array<double>")).cast("bigint").alias(c) for c in ("red", "green", "blue")])
+
+
+@query(oracle(f"""with w as (select patch_id, band, {_SUM.format('v', 3)} as c from px where band in ('B04', 'B03', 'B02') group by patch_id, band)
+    select patch_id, max(c) filter (where band = 'B04') as red, max(c) filter (where band = 'B03') as green, max(c) filter (where band = 'B02') as blue
+    from w group by patch_id having count(*) = 3""", "px"))
+def rgb_composite(t: Tables) -> DataFrame:
+    return px.rgb_composite(t.px).select(
+        "patch_id", *[F.round(arrays.checksum(F.col(c)), 3).alias(c) for c in ("red", "green", "blue")])
+
+
+_STACK = "from (select distinct patch_id from px where band in ('B02', 'B03', 'B04', 'B08')) p"
+
+
+@query(oracle(f"""select p.patch_id, b.pos, coalesce(c.checksum, 0) as checksum {_STACK} cross join (values ('B02', 0), ('B03', 1), ('B04', 2), ('B08', 3)) as b(band, pos)
+    left join (select patch_id, band, {_SUM.format('v', 3)} as checksum from px group by patch_id, band) c on c.patch_id = p.patch_id and c.band = b.band""", "px"))
+def packed_stack(t: Tables) -> DataFrame:
+    stack = px.pack_bands(t.px, PACK6, size=6)
+    return stack.select("patch_id", F.posexplode("stack").alias("pos", "pixels")).select(
+        "patch_id", "pos", F.round(arrays.checksum(F.col("pixels")), 3).alias("checksum"))
+
+
+@query(oracle("""select patch_id, 4 as n_bands, case when count(distinct band) = 4 then round(sum(v), 3) else 0 end as total, true as has_real_image
+    from px where band in ('B02', 'B03', 'B04', 'B08') group by patch_id""", "px"))
+def shape_repair(t: Tables) -> DataFrame:
+    four = t.px.filter(F.col("band").isin(PACK6))
+    stacks = four.groupBy("patch_id").agg(F.collect_list("pixels").alias("stack"))  # at most four catalog bands
+    fixed = px.repair_shape(stacks, 4, size=6)
+    return fixed.select("patch_id", F.size("stack").alias("n_bands"),
+                        F.round(arrays.total(F.flatten("stack")), 3).alias("total"), "has_real_image")
+
+
+@query(oracle(f"""with b as (select distinct patch_id, band, {_NATIVE} as m from px)
+    select patch_id, string_agg(band, ',' order by band) filter (where m <> 60) as bands_used, string_agg(band, ',' order by band) filter (where m = 60) as bands_dropped,
+      string_agg(band || ': excluded by native resolution 60 m', '; ' order by band) filter (where m = 60) as drop_reasons, 'standardize' as normalization from b group by patch_id""", "px"))
+def preprocessing_audit(t: Tables) -> DataFrame:
+    out = px.preprocessing_audit(t.px, OpticalConfig())
+    return out.select("patch_id", F.array_join("bands_used", ",").alias("bands_used"), F.array_join("bands_dropped", ",").alias("bands_dropped"),
+                      F.array_join("drop_reasons", "; ").alias("drop_reasons"), "normalization")
+
+
+@query(oracle("""select patch_id, band, min(v) as min_value, max(v) as max_value, round(avg(v), 6) as mean_value from px_radar where i % 5 <> 2 group by patch_id, band""", "px_radar"))
+def channel_ranges(t: Tables) -> DataFrame:
+    holes = F.transform("pixels", lambda v, i: F.when(i % 5 == 2, F.lit(float("nan"))).otherwise(v))
+    return px.channel_ranges(t.px_radar.withColumn("pixels", holes)).withColumn("mean_value", F.round("mean_value", 6))
+
+
+@query(oracle("""with w as (select patch_id, band, i, case when right(patch_id, 1) = '3' then v / 1000 when right(patch_id, 1) = '4' then 50 + v / 4000 when right(patch_id, 1) = '6' then i else v end as v
+      from px where band in ('B04', 'B03', 'B02')),
+    s as (select patch_id, avg(v) as m, stddev_pop(v) as sd, count(distinct band) as nb, count(distinct i * 1000000 + v) as nv, count(*) as n from w group by patch_id)
+    select patch_id, round(m, 5) as mean_value, round(sd, 5) as std_value, m < 10 as near_black, m >= 10 and sd < 5 as no_contrast, nv = n / 3 as identical_channels from s where nb = 3""", "px"))
+def pixel_sanity(t: Tables) -> DataFrame:
+    last, band = F.substring("patch_id", -1, 1), F.col("band").isin("B04", "B03", "B02")
+    damaged = F.transform(
+        "pixels", lambda v, i: F.when(last == "3", v / 1000).when(last == "4", 50 + v / 4000).when(last == "6", i.cast("double")).otherwise(v))
+    out = px.pixel_sanity(px.rgb_composite(t.px.filter(band).withColumn("pixels", damaged)))
+    return out.withColumns({"mean_value": F.round("mean_value", 5), "std_value": F.round("std_value", 5)})
+
+
+@query(oracle(f"""with b as (select patch_id, band, max(case when v <> 0 then 1 else 0 end) as alive from px where band in ({", ".join(sql_text(x) for x in fv.PACKED_BANDS)}) group by patch_id, band)
+    select patch_id, count(*) as n_bands, sum(alive)::bigint as n_nonzero, count(*) >= 6 as accepted, count(*) = 10 and sum(alive) = 10 as all_nonzero from b group by patch_id""", "px"))
+def band_completeness(t: Tables) -> DataFrame:
+    return px.band_completeness(t.px.filter(F.col("band").isin(fv.PACKED_BANDS)))
+
+
+@query(oracle("""with p as (select patch_id, band, i, case when right(patch_id, 1) in ('1', '2') then v else (v + 35) / 100 end as v from px_radar),
+    s as (select *, min(v) over (partition by patch_id, band) as lo from p)
+    select patch_id, band, round(sum(case when lo >= 0 then 10 * log10(greatest(v, 1e-10)) else v end * (i + 1)), 3) as checksum from s group by patch_id, band""", "px_radar"))
+def linear_to_db(t: Tables) -> DataFrame:
+    """Most rows hold linear backscatter, some are already in decibel and pass through."""
+    last = F.substring("patch_id", -1, 1).isin("1", "2")
+    mixed = F.transform("pixels", lambda v: F.when(last, v).otherwise((v + 35) / 100))
+    return _summed(px.to_db(t.px_radar.withColumn("pixels", mixed)))

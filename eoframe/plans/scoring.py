@@ -177,9 +177,7 @@ _AUDIT = f"""au as (select ann_id, a.category, lower({HUMAN}) as q, regexp_repla
 
 
 def _entries(t: Tables) -> DataFrame:
-    train = an.filter_split(t.ann, "train")
-    cats = train.select("ann_id", F.col("category"))
-    return an.format_instructions(train).withColumn("ann_id", F.substring_index("id", "_", -1)).join(cats, "ann_id")
+    return an.format_instructions(an.filter_split(t.ann, "train"), keep=("ann_id", "category"))
 
 
 @query(oracle(f"with {_AUDIT} select ann_id, audit_type from ty", "ann"))

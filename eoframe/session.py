@@ -19,6 +19,7 @@ def local_session(cores: str = "8", app: str = "eoframe", memory: str = "8g") ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
