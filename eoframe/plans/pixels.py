@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eoframe import fixed_values as fv
@@ -13,12 +13,17 @@ from eoframe.plans.registry import query, sql_text
 from eoframe.sources.adapters import Tables, oracle
 
 _NATIVE = "case when band in ('B02', 'B03', 'B04', 'B08') then 10 when band in ('B01', 'B09', 'B10') then 60 else 20 end"
-_SUM = "round(sum(cast({0} as double) * (i + 1)), {1})"
+# Checksums are floored after an odd offset: plain rounding would meet exact ties, which summation order decides.
+_SUM = "cast(floor(sum(cast({0} as double) * (i + 1)) * 1e{1} + 0.123456789e0) as bigint)"
 PACK6 = ["B02", "B03", "B04", "B08"]
 
 
+def _floored(x: Column, digits: int = 3) -> Column:
+    return F.floor(x * 10.0**digits + 0.123456789).cast("bigint")
+
+
 def _summed(df: DataFrame, digits: int = 3, keys: tuple[str, ...] = ("patch_id", "band")) -> DataFrame:
-    return df.select(*keys, F.round(arrays.checksum(F.col("pixels")), digits).alias("checksum"))
+    return df.select(*keys, _floored(arrays.checksum(F.col("pixels")), digits).alias("checksum"))
 
 
 def _stats(values: dict, i: int) -> str:
@@ -97,7 +102,16 @@ def spectral_indices(t: Tables) -> DataFrame:
 
 
 def _stretch_sql(part: str, eps: str = "1e-6", flat: int = 0) -> str:
-    return f"""q as (select *, quantile_cont(v, 0.02) over ({part}) as lo, quantile_cont(v, 0.98) over ({part}) as hi from src),
+    keys = part.removeprefix("partition by ")
+
+    def pct(p: str) -> str:
+        pos = f"((len(vs) - 1) * {p}e0)"
+        low = f"floor({pos})::int + 1"
+        return f"vs[{low}] + (coalesce(vs[{low} + 1], vs[{low}]) - vs[{low}]) * ({pos} - floor({pos}))"
+
+    return f"""sorted as (select {keys}, list_sort(list(v)) as vs from src group by {keys}),
+    bounds as (select {keys}, {pct('0.02')} as lo, {pct('0.98')} as hi from sorted),
+    q as (select * from src join bounds using ({keys})),
     st as (select *, case when hi - lo >= {eps} then floor((greatest(lo, least(hi, v)) - lo) / (hi - lo) * 255e0) else {flat} end as b from q)"""
 
 
@@ -143,7 +157,7 @@ def radar_false_colour(t: Tables) -> DataFrame:
     from w group by patch_id having count(*) = 3""", "px"))
 def rgb_composite(t: Tables) -> DataFrame:
     return px.rgb_composite(t.px).select(
-        "patch_id", *[F.round(arrays.checksum(F.col(c)), 3).alias(c) for c in ("red", "green", "blue")])
+        "patch_id", *[_floored(arrays.checksum(F.col(c))).alias(c) for c in ("red", "green", "blue")])
 
 
 _STACK = "from (select distinct patch_id from px where band in ('B02', 'B03', 'B04', 'B08')) p"
@@ -154,7 +168,7 @@ _STACK = "from (select distinct patch_id from px where band in ('B02', 'B03', 'B
 def packed_stack(t: Tables) -> DataFrame:
     stack = px.pack_bands(t.px, PACK6, size=6)
     return stack.select("patch_id", F.posexplode("stack").alias("pos", "pixels")).select(
-        "patch_id", "pos", F.round(arrays.checksum(F.col("pixels")), 3).alias("checksum"))
+        "patch_id", "pos", _floored(arrays.checksum(F.col("pixels"))).alias("checksum"))
 
 
 @query(oracle("""select patch_id, 4 as n_bands, case when count(distinct band) = 4 then round(sum(v), 3) else 0 end as total, true as has_real_image
@@ -168,7 +182,7 @@ def shape_repair(t: Tables) -> DataFrame:
 
 
 @query(oracle(f"""with b as (select distinct patch_id, band, {_NATIVE} as m from px)
-    select patch_id, string_agg(band, ',' order by band) filter (where m <> 60) as bands_used, string_agg(band, ',' order by band) filter (where m = 60) as bands_dropped,
+    select patch_id, string_agg(band, ',' order by replace(band, 'B8A', 'B08A')) filter (where m <> 60) as bands_used, string_agg(band, ',' order by band) filter (where m = 60) as bands_dropped,
       string_agg(band || ': excluded by native resolution 60 m', '; ' order by band) filter (where m = 60) as drop_reasons, 'standardize' as normalization from b group by patch_id""", "px"))
 def preprocessing_audit(t: Tables) -> DataFrame:
     out = px.preprocessing_audit(t.px, OpticalConfig())
@@ -185,13 +199,13 @@ def channel_ranges(t: Tables) -> DataFrame:
 @query(oracle("""with w as (select patch_id, band, i, case when right(patch_id, 1) = '3' then v / 1000 when right(patch_id, 1) = '4' then 50 + v / 4000 when right(patch_id, 1) = '6' then i else v end as v
       from px where band in ('B04', 'B03', 'B02')),
     s as (select patch_id, avg(v) as m, stddev_pop(v) as sd, count(distinct band) as nb, count(distinct i * 1000000 + v) as nv, count(*) as n from w group by patch_id)
-    select patch_id, round(m, 5) as mean_value, round(sd, 5) as std_value, m < 10 as near_black, m >= 10 and sd < 5 as no_contrast, nv = n / 3 as identical_channels from s where nb = 3""", "px"))
+    select patch_id, floor(m * 1e5 + 0.123456789e0)::bigint as mean_value, floor(sd * 1e5 + 0.123456789e0)::bigint as std_value, m < 10 as near_black, m >= 10 and sd < 5 as no_contrast, nv = n / 3 as identical_channels from s where nb = 3""", "px"))
 def pixel_sanity(t: Tables) -> DataFrame:
     last, band = F.substring("patch_id", -1, 1), F.col("band").isin("B04", "B03", "B02")
     damaged = F.transform(
         "pixels", lambda v, i: F.when(last == "3", v / 1000).when(last == "4", 50 + v / 4000).when(last == "6", i.cast("double")).otherwise(v))
     out = px.pixel_sanity(px.rgb_composite(t.px.filter(band).withColumn("pixels", damaged)))
-    return out.withColumns({"mean_value": F.round("mean_value", 5), "std_value": F.round("std_value", 5)})
+    return out.withColumns({c: _floored(F.col(c), 5) for c in ("mean_value", "std_value")})
 
 
 @query(oracle(f"""with b as (select patch_id, band, max(case when v <> 0 then 1 else 0 end) as alive from px where band in ({", ".join(sql_text(x) for x in fv.PACKED_BANDS)}) group by patch_id, band)
@@ -202,7 +216,7 @@ def band_completeness(t: Tables) -> DataFrame:
 
 @query(oracle("""with p as (select patch_id, band, i, case when right(patch_id, 1) in ('1', '2') then v else (v + 35) / 100 end as v from px_radar),
     s as (select *, min(v) over (partition by patch_id, band) as lo from p)
-    select patch_id, band, round(sum(case when lo >= 0 then 10 * log10(greatest(v, 1e-10)) else v end * (i + 1)), 3) as checksum from s group by patch_id, band""", "px_radar"))
+    select patch_id, band, cast(floor(sum(case when lo >= 0 then 10 * log10(greatest(v, 1e-10)) else v end * (i + 1)) * 1e3 + 0.123456789e0) as bigint) as checksum from s group by patch_id, band""", "px_radar"))
 def linear_to_db(t: Tables) -> DataFrame:
     """Most rows hold linear backscatter, some are already in decibel and pass through."""
     last = F.substring("patch_id", -1, 1).isin("1", "2")
