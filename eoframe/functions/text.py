@@ -76,10 +76,12 @@ def tile_date_key(pid: Column) -> Column:
 
 def member_patch(path: Column, mode: str) -> Column:
     """Patch id of an archive member. Modes: ``parent`` (split archives), ``s2`` and ``s1`` (any matching folder)."""
-    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    slashed = F.replace(path, F.lit("\\"), F.lit("/"))
     if mode == "parent":
-        ok = (F.size(parts) >= 4) & F.try_element_at(parts, F.lit(-1)).endswith(".tif")
-        return F.when(ok, F.try_element_at(parts, F.lit(-2))).otherwise(F.lit(""))
+        deep = slashed.rlike("^[^/]*/[^/]*/[^/]*/")
+        parent = F.substring_index(F.substring_index(slashed, "/", -2), "/", 1)
+        return F.when(deep & slashed.endswith(".tif"), parent).otherwise(F.lit(""))
+    parts = F.split(slashed, "/")
 
     def underscores(p: Column) -> Column:
         return F.length(p) - F.length(F.replace(p, F.lit("_"), F.lit("")))
@@ -97,7 +99,7 @@ def member_patch(path: Column, mode: str) -> Column:
 
 def member_band(path: Column, mode: str) -> Column:
     """Band of a member: text after the last underscore, or the whole stem in the zst layout."""
-    stem = F.regexp_extract(F.replace(path, F.lit("\\"), F.lit("/")), r"([^/]*)$", 1)
+    stem = F.substring_index(F.replace(path, F.lit("\\"), F.lit("/")), "/", -1)
     stem = F.replace(stem, F.lit(".tif"), F.lit(""))
     return F.substring_index(stem, "_", -1) if mode == "parent" else stem
 

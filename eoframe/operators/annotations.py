@@ -73,14 +73,14 @@ def label_sets(ann: DataFrame) -> DataFrame:
         positive_labels(ann)
         .select("patch_id", text.strip(F.col("input")).alias("label"))
         .groupBy("patch_id")
-        .agg(F.array_sort(F.collect_set("label")).alias("labels"))
+        .agg(F.sort_array(F.collect_set("label")).alias("labels"))
     )
 
 
 def types_per_patch(ann: DataFrame) -> DataFrame:
     return ann.groupBy("patch_id").agg(
-        F.array_sort(F.collect_set("type")).alias("types"),
-        F.array_sort(F.collect_set("category")).alias("categories"),
+        F.sort_array(F.collect_set("type")).alias("types"),
+        F.sort_array(F.collect_set("category")).alias("categories"),
     )
 
 

@@ -32,7 +32,7 @@ def gather_complete(members: DataFrame, key: str, item: str, payload: str, order
     held = listed.join(complete, key).filter(F.col(order) <= F.col("completed_at"))
     last = held.groupBy(key, "completed_at", item).agg(F.max_by(payload, order).alias(payload))
     return last.groupBy(key, "completed_at").agg(
-        F.array_sort(F.collect_list(F.struct(item, payload))).alias("items")
+        F.sort_array(F.collect_list(F.struct(item, payload))).alias("items")
     )
 
 

@@ -82,8 +82,8 @@ def label_change(a: Column, b: Column) -> Column:
     )
     return F.struct(
         (n > 0).cast("int").alias("change_label"), kind.alias("change_type"),
-        F.array_sort(added).alias("labels_added"), F.array_sort(removed).alias("labels_removed"),
-        F.array_sort(common).alias("labels_common"),
+        F.sort_array(added).alias("labels_added"), F.sort_array(removed).alias("labels_removed"),
+        F.sort_array(common).alias("labels_common"),
         F.round(F.size(common) / F.greatest(F.size(F.array_union(a, b)), F.lit(1)), 4).alias("jaccard_similarity"),
         n.alias("n_changes"),
     )

@@ -131,7 +131,7 @@ def percentile_stretch(
         return px.withColumn("pixels", arrays.percentile_stretch(F.col("pixels"), lo, hi, degenerate))
     # the bands of one patch are few and of fixed size: collect them, sort once, hand every band the same bounds
     stacked = px.groupBy("patch_id").agg(F.collect_list(F.struct("band", "height", "width", "pixels")).alias("b"))
-    merged = F.array_sort(F.flatten(F.transform("b", lambda x: x["pixels"])))
+    merged = F.sort_array(F.flatten(F.transform("b", lambda x: x["pixels"])))
     staged = stacked.withColumn("s", merged).withColumns(
         {"lo": arrays.percentile(F.col("s"), lo), "hi": arrays.percentile(F.col("s"), hi)}
     )
@@ -188,7 +188,7 @@ def preprocessing_audit(px: DataFrame, cfg: OpticalConfig | None = None) -> Data
 
     def ordered(keep: Column, value: Column) -> Column:
         return F.transform(
-            F.array_sort(F.collect_list(F.when(keep, F.struct(F.col("ordinal").alias("o"), value.alias("v"))))),
+            F.sort_array(F.collect_list(F.when(keep, F.struct(F.col("ordinal").alias("o"), value.alias("v"))))),
             lambda s: s["v"],
         )
 

@@ -125,7 +125,7 @@ def assemble_traces(events: DataFrame) -> DataFrame:
     steps = events.groupBy("request_id", "state", "status").agg(F.min("step").alias("step"))
     failed = F.when(F.col("status") == "failed", F.col("step"))
     traces = steps.groupBy("request_id").agg(
-        F.array_sort(F.collect_list(F.struct("step", "state", "status"))).alias("events"),
+        F.sort_array(F.collect_list(F.struct("step", "state", "status"))).alias("events"),
         F.count(F.lit(1)).alias("n_events"),
         F.min_by("state", failed).alias("failing_state"),
         F.max_by("state", "step").alias("last_state"),

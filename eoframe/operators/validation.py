@@ -47,7 +47,7 @@ def order_errors(errors: Column, precedence: list[str] | None = None) -> Column:
             i.alias("pos"), e.alias("error"),
         ),
     )
-    return F.transform(F.array_sort(keyed), lambda k: k["error"])
+    return F.transform(F.sort_array(keyed), lambda k: k["error"])
 
 
 # --- single-image rules -----------------------------------------------------------------------------------------------
@@ -147,7 +147,7 @@ def band_errors(cfg: ValidationConfig, img: Column | None = None) -> list[Column
     missing_band = F.when(
         (F.size(bands) > 0) & (F.size(lacking) > 0),
         _error("MISSING_BAND", "bands", F.concat(F.lit("missing "), F.array_join(lacking, ",")),
-               F.array_join(F.array_sort(F.array_distinct(present)), ","), "every required band",
+               F.array_join(F.sort_array(F.array_distinct(present)), ","), "every required band",
                "add the missing channels"),
     )
     return [wrong_count, missing_band]
@@ -385,7 +385,8 @@ def check_contract(df: DataFrame, task: str, payload: str = "payload") -> DataFr
         "modality_attribution struct<optical_evidence:string,sar_evidence:string,fused_reasoning:string>, "
         "confidence struct<score:double>, provenance struct<model_name:string>, _bad string"
     )
-    r = F.from_json(F.col(payload), schema, {"columnNameOfCorruptRecord": "_bad"})
+    parsed = df.withColumn("__r", F.from_json(F.col(payload), schema, {"columnNameOfCorruptRecord": "_bad"}))
+    r = F.col("__r")  # parsed once per row, read by every check
     required = [F.when(r[f].isNull(), F.lit(f"missing {f}")) for f in fv.RESPONSE_CONTRACTS[task]]
     attribution = [
         F.when(r["modality_attribution"].isNotNull() & r["modality_attribution"][f].isNull(), F.lit(f"missing {f}"))
@@ -401,9 +402,8 @@ def check_contract(df: DataFrame, task: str, payload: str = "payload") -> DataFr
         )
     )
     broken = r.isNull() | r["_bad"].isNotNull()
-    return df.withColumn("violations", F.when(broken, F.array(F.lit("unreadable"))).otherwise(checks)).withColumn(
-        "conforms", F.size("violations") == 0
-    )
+    found = F.when(broken, F.array(F.lit("unreadable"))).otherwise(checks)
+    return parsed.withColumn("violations", found).withColumn("conforms", F.size("violations") == 0).drop("__r")
 
 
 def claim_markers(answer: Column, markers: list[str] | None = None) -> Column:

@@ -149,7 +149,7 @@ def patch_attribute_lookup(t: Tables) -> DataFrame:
 def split_leakage(t: Tables) -> DataFrame:
     """Patches in more than one of train, validation and bench (three values, so the set is bounded)."""
     rows = t.ann.filter(F.col("split").isin("train", "validation", "bench"))
-    sets = rows.groupBy("patch_id").agg(F.array_sort(F.collect_set("split")).alias("s")).filter(F.size("s") > 1)
+    sets = rows.groupBy("patch_id").agg(F.sort_array(F.collect_set("split")).alias("s")).filter(F.size("s") > 1)
     return sets.select("patch_id", F.size("s").cast("bigint").alias("n_splits"), F.array_join("s", ",").alias("splits"))
 
 

@@ -34,7 +34,7 @@ def _stats(values: dict, i: int) -> str:
     from (select distinct patch_id, band, {_NATIVE} <> 60 as used from px) group by patch_id""", "px"))
 def band_selection(t: Tables) -> DataFrame:
     marked = px.select_bands(t.px)
-    names = lambda keep: F.array_join(F.array_sort(F.collect_list(F.when(keep, F.col("band")))), ",")
+    names = lambda keep: F.array_join(F.sort_array(F.collect_list(F.when(keep, F.col("band")))), ",")
     return marked.groupBy("patch_id").agg(names(F.col("used")).alias("used"), names(~F.col("used")).alias("dropped"))
 
 

@@ -51,7 +51,7 @@ def constraint_violations(t: Tables) -> DataFrame:
     damaged = t.image_records.withColumns({
         "width": F.col("width") - 300, "modality": F.when(k % 9 == 0, F.lit("lidar")).otherwise(F.col("modality")),
         "epsg": F.when(k % 12 == 5, F.lit(-1)).otherwise(F.col("epsg")), "spatial_bounds": bounds})
-    v = F.array_sort(va.constraint_errors())
+    v = F.sort_array(va.constraint_errors())
     return damaged.select("k", F.array_join(v, ",").alias("violated")).filter(F.col("violated") != "")
 
 

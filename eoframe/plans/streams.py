@@ -43,7 +43,7 @@ _DECISIONS = HEALTH + " select event_id, decision, case when state = 3 then 'OPE
 
 @query(oracle(_DECISIONS, "calls"))
 def service_health(t: Tables) -> DataFrame:
-    return hl.service_health(t.calls, chunk_ms=60_000).select("event_id", "decision", "state", "transition")
+    return hl.service_health(t.calls, chunk_ms=600_000).select("event_id", "decision", "state", "transition")
 
 
 @query(oracle(HEALTH + """ select service, count(*) filter (where decision = 'executed') as total_calls, count(*) filter (where decision = 'executed' and ok = 1) as total_successes,
@@ -51,7 +51,7 @@ def service_health(t: Tables) -> DataFrame:
     cast(sum(length(move) - length(replace(move, '>', ''))) as bigint) as n_transitions, case when arg_max(state, rn) = 3 then 'OPEN' else 'CLOSED' end as last_state
     from run where rn > 0 group by service""", "calls"))
 def service_health_summary(t: Tables) -> DataFrame:
-    return hl.health_summary(hl.service_health(t.calls, chunk_ms=60_000))
+    return hl.health_summary(hl.service_health(t.calls, chunk_ms=600_000))
 
 
 @query(oracle(_DECISIONS, "calls"))
@@ -68,7 +68,7 @@ def gather_stream(t: Tables) -> DataFrame:
     members = orders.select("o_orderkey", F.posexplode(bands).alias("i", "band")).select(
         F.col("o_orderkey").cast("string").alias("patch_id"), "band", (F.col("i") + 1).alias("pos"), F.col("band").alias("payload"))
     members = members.filter(~((F.col("band") == "B12") & (F.col("patch_id").cast("bigint") % 9 == 0)))
-    done = run_to_parquet(gather.gather_stream(members, "patch_id", "band", "payload", "pos", fv.PACKED_BANDS), "gather")
+    done = run_to_parquet(gather.gather_stream(members, "patch_id", "band", "payload", "pos", fv.PACKED_BANDS, reemit=True), "gather")
     return done.filter(F.size("items") == 10).select(F.col("key").cast("bigint").alias("order_key"), F.col("completed_at").cast("int").alias("completed_at"))
 
 

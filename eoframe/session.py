@@ -16,6 +16,8 @@ def local_session(cores: str = "8", app: str = "eoframe", memory: str = "8g") ->
         .config("spark.sql.shuffle.partitions", cores if cores.isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # a few megabytes would be coalesced into one or two tasks, which leaves most local cores idle
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")

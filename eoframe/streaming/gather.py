@@ -18,8 +18,9 @@ STATE = "held string, done boolean"
 class CompleteSet(StatefulProcessor):
     """State of a key: the items held so far (at most as many as are wanted) and whether the set was emitted.
 
-    A repeated item replaces the held payload. After emission the key is either skipped (``reemit=False``, as when the
-    result is stored) or starts a new set. With ``timeout_ms`` an incomplete key is emitted as such and dropped, which
+    A repeated item replaces the held payload. After emission the key is either skipped for good (``reemit=False``, one
+    flag of state per key) or forgotten, so that a later item starts a new set (``reemit=True``; put ``skip_stored``
+    before it to drop members of stored keys without keeping state for them). With ``timeout_ms`` an incomplete key is emitted as such and dropped, which
     the reference does not do; it keeps the state bounded.
     """
 
@@ -31,7 +32,7 @@ class CompleteSet(StatefulProcessor):
         self.state = handle.getValueState("set", STATE)
 
     def handleInputRows(self, key, rows, timerValues):
-        kept = self.state.get() if self.state.exists() else None
+        kept = self.state.get()
         held, done = (json.loads(kept[0]), bool(kept[1])) if kept else ({}, False)
         fresh, out = not held and not done, []
         batch = pd.concat(list(rows)).sort_values("pos", kind="stable")
@@ -41,15 +42,19 @@ class CompleteSet(StatefulProcessor):
             held[item] = payload
             if len(held) == len(self.items):
                 out.append((key[0], "complete", int(pos), held))
-                held, done = {}, True
-        self.state.update((json.dumps(held), done))
+                held, done = {}, not self.reemit
+        # a set that came whole within one batch leaves no state behind (and costs no write) when it may be emitted again
+        if held or done:
+            self.state.update((json.dumps(held), done))
+        elif kept:
+            self.state.clear()
         if self.timeout_ms and fresh and held:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
         if out:
             yield pd.DataFrame(out, columns=["key", "status", "completed_at", "items"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        kept = self.state.get() if self.state.exists() else None
+        kept = self.state.get()
         held = json.loads(kept[0]) if kept else {}
         self.state.clear()
         if held:
