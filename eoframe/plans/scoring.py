@@ -69,7 +69,7 @@ def binary_scores(t: Tables) -> DataFrame:
     return mt.binary_f1(_aligned(t).filter(F.col("type") == "binary"), ["category"]).drop("n_samples")
 
 
-@query(oracle(f"select ann_id, cast(len(p) as bigint) as n_numbers, coalesce(round(list_sum(p), 6), -1) as total from "
+@query(oracle(f"select ann_id, cast(len(p) as bigint) as n_numbers, coalesce(round(list_sum(p), 9), -1) as total from "
               f"(select ann_id, case when list_contains(list_transform(p0, lambda x: x is null), true) then [] else p0 end as p "
               f"from (select ann_id, {_box('prediction')} as p0 from pred))", "pred"))
 def parsed_boxes(t: Tables) -> DataFrame:
@@ -77,23 +77,23 @@ def parsed_boxes(t: Tables) -> DataFrame:
     total = F.aggregate(p, F.lit(0.0), lambda s, v: s + v)
     return t.pred.select(
         "ann_id", F.size(p).cast("bigint").alias("n_numbers"),
-        F.when(F.size(p) > 0, F.round(total, 6)).otherwise(F.lit(-1.0)).alias("total"),
+        F.when(F.size(p) > 0, F.round(total, 9)).otherwise(F.lit(-1.0)).alias("total"),
     )
 
 
-@query(oracle(f"""with {SCORED} select category, round(avg(iou), 6) as mean_iou,
+@query(oracle(f"""with {SCORED} select category, round(avg(iou), 9) as mean_iou,
       count(*) filter (where iou >= 0.5) / cast(count(*) as double) as precision_at_iou, count(*) as n_samples
     from scored where type = 'bounding box' group by category""", "pred"))
 def box_scores(t: Tables) -> DataFrame:
     out = mt.bbox_metrics(_aligned(t).filter(F.col("type") == "bounding box"), 0.5, ["category"])
-    return out.withColumn("mean_iou", F.round("mean_iou", 6))
+    return out.withColumn("mean_iou", F.round("mean_iou", 9))
 
 
-@query(oracle(f"""with {SCORED} select category, round(coalesce(avg(recall_w), 0), 6) as word_recall, count(*) as n_samples
+@query(oracle(f"""with {SCORED} select category, round(coalesce(avg(recall_w), 0), 9) as word_recall, count(*) as n_samples
     from scored where type = 'captioning' group by category""", "pred"))
 def caption_word_recall(t: Tables) -> DataFrame:
     out = mt.word_recall(_aligned(t).filter(F.col("type") == "captioning"), ["category"])
-    return out.withColumn("word_recall", F.round("word_recall", 6))
+    return out.withColumn("word_recall", F.round("word_recall", 9))
 
 
 _REPORT = f"""{SCORED}, c as (select type, count(*) filter (where rn = 'yes' and pn = 'yes') as tp,
@@ -102,23 +102,23 @@ _REPORT = f"""{SCORED}, c as (select type, count(*) filter (where rn = 'yes' and
       avg(iou) as mean_iou, count(*) filter (where iou >= 0.5) as hits, coalesce(avg(recall_w), 0) as wr from scored group by type),
     m as (select *, case when tp + fp > 0 then tp / cast(tp + fp as double) else 0 end as precision,
       case when tp + fn > 0 then tp / cast(tp + fn as double) else 0 end as recall from c)
-    select 'type' as scope, type as name, 'accuracy' as metric, round((tp + tn) / cast(n as double), 6) as value from m where type = 'binary'
-    union all select 'type', type, 'precision', round(precision, 6) from m where type = 'binary'
-    union all select 'type', type, 'recall', round(recall, 6) from m where type = 'binary'
-    union all select 'type', type, 'f1', round(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end, 6)
+    select 'type' as scope, type as name, 'accuracy' as metric, round((tp + tn) / cast(n as double), 9) as value from m where type = 'binary'
+    union all select 'type', type, 'precision', round(precision, 9) from m where type = 'binary'
+    union all select 'type', type, 'recall', round(recall, 9) from m where type = 'binary'
+    union all select 'type', type, 'f1', round(case when precision + recall > 0 then 2 * precision * recall / (precision + recall) else 0 end, 9)
       from m where type = 'binary'
-    union all select 'type', type, 'accuracy', round(same / cast(n as double), 6) from m where type = 'mcq'
-    union all select 'type', type, 'mean_iou', round(mean_iou, 6) from m where type = 'bounding box'
-    union all select 'type', type, 'precision_at_iou', round(hits / cast(n as double), 6) from m where type = 'bounding box'
-    union all select 'type', type, 'word_recall', round(wr, 6) from m where type = 'captioning'
+    union all select 'type', type, 'accuracy', round(same / cast(n as double), 9) from m where type = 'mcq'
+    union all select 'type', type, 'mean_iou', round(mean_iou, 9) from m where type = 'bounding box'
+    union all select 'type', type, 'precision_at_iou', round(hits / cast(n as double), 9) from m where type = 'bounding box'
+    union all select 'type', type, 'word_recall', round(wr, 9) from m where type = 'captioning'
     union all select 'type', type, 'n_samples', n from m where type = 'captioning'
-    union all select 'category', category, 'accuracy', round(count(*) filter (where pn = rn) / cast(count(*) as double), 6) from scored group by category
+    union all select 'category', category, 'accuracy', round(count(*) filter (where pn = rn) / cast(count(*) as double), 9) from scored group by category
     union all select 'category', category, 'n_samples', count(*) from scored group by category"""
 
 
 @query(oracle(f"with {_REPORT}", "pred"))
 def evaluation_report(t: Tables) -> DataFrame:
-    return mt.evaluation_report(_aligned(t)).withColumn("value", F.round("value", 6))
+    return mt.evaluation_report(_aligned(t)).withColumn("value", F.round("value", 9))
 
 
 # --- multi-label ------------------------------------------------------------------------------------------------------
@@ -151,11 +151,11 @@ def thresholded_labels(t: Tables) -> DataFrame:
     m as (select *, case when len(predicted) > 0 then hit / cast(len(predicted) as double) else 0 end as precision,
       case when len(truth) > 0 then hit / cast(len(truth) as double) else 0 end as recall from h),
     f as (select {_F1} from m)
-    select count(*) as n_samples, count(*) filter (where f1 >= 0.5) as n_good, round(avg(precision), 6) as mean_precision,
-      round(avg(recall), 6) as mean_recall, round(avg(f1), 6) as mean_f1 from f""", "ann"))
+    select count(*) as n_samples, count(*) filter (where f1 >= 0.5) as n_good, round(avg(precision), 9) as mean_precision,
+      round(avg(recall), 9) as mean_recall, round(avg(f1), 9) as mean_f1 from f""", "ann"))
 def multilabel_scores(t: Tables) -> DataFrame:
     out = mt.multilabel_prf(_multilabel(t))
-    return out.withColumns({c: F.round(c, 6) for c in ("mean_precision", "mean_recall", "mean_f1")})
+    return out.withColumns({c: F.round(c, 9) for c in ("mean_precision", "mean_recall", "mean_f1")})
 
 
 @query(oracle(f"""with {_ML_SQL} select ann_id, 'This satellite image shows a landscape characterized by ' ||
@@ -186,7 +186,7 @@ def audit_task_types(t: Tables) -> DataFrame:
 
 
 @query(oracle(f"""with {_AUDIT} select audit_type, category, count(*) as n, cast(median(words) as double) as median_words,
-      round(avg(words), 6) as mean_words, max(words) as max_words, count(*) filter (where words <= 1) as single_token,
+      round(avg(words), 9) as mean_words, max(words) as max_words, count(*) filter (where words <= 1) as single_token,
       count(*) filter (where words <= 5) as short_le5, count(*) filter (where words > 5 and words <= 30) as medium_6_30,
       count(*) filter (where words > 30) as long_gt30,
       count(*) filter (where {contains_sql('lower(ans)', fv.COUNTRY_WORDS)}) as has_country,
@@ -194,7 +194,7 @@ def audit_task_types(t: Tables) -> DataFrame:
       count(*) filter (where {contains_sql('lower(ans)', fv.MEASUREMENT_WORDS)}) as has_measurement
     from ty group by audit_type, category""", "ann"))
 def answer_audit(t: Tables) -> DataFrame:
-    return mt.audit_answers(_entries(t)).withColumn("mean_words", F.round("mean_words", 6))
+    return mt.audit_answers(_entries(t)).withColumn("mean_words", F.round("mean_words", 9))
 
 
 @query(oracle(f"""with {_AUDIT}, r as (select *, row_number() over (partition by audit_type, category order by ann_id) as example from ty)
@@ -205,37 +205,37 @@ def audit_examples(t: Tables) -> DataFrame:
     return mt.audit_examples(_entries(t), "ann_id")
 
 
-@query(oracle(f"""select type, round(avg(len(prediction)), 6) as avg_length, cast(min(len(prediction)) as bigint) as min_length,
+@query(oracle(f"""select type, round(avg(len(prediction)), 9) as avg_length, cast(min(len(prediction)) as bigint) as min_length,
       cast(max(len(prediction)) as bigint) as max_length,
-      round(avg({" + ".join(f"cast(contains(lower(prediction), '{w}') as int)" for w in fv.CAPTION_KEYWORDS)}), 6) as avg_keywords
+      round(avg({" + ".join(f"cast(contains(lower(prediction), '{w}') as int)" for w in fv.CAPTION_KEYWORDS)}), 9) as avg_keywords
     from pred group by type""", "pred"))
 def caption_quality(t: Tables) -> DataFrame:
     out = mt.caption_quality(t.pred.withColumn("caption", F.col("prediction")), by=["type"])
-    return out.withColumns({"avg_length": F.round("avg_length", 6), "avg_keywords": F.round("avg_keywords", 6),
+    return out.withColumns({"avg_length": F.round("avg_length", 9), "avg_keywords": F.round("avg_keywords", 9),
                             "min_length": F.col("min_length").cast("bigint"), "max_length": F.col("max_length").cast("bigint")})
 
 
 @query("""with s as (select l_returnflag = 'A' as is_same, l_tax * 5 + l_discount as score from lineitem)
-    select round(avg(score) filter (where is_same), 6) as same_mean, round(avg(score) filter (where not is_same), 6) as diff_mean,
+    select round(avg(score) filter (where is_same), 9) as same_mean, round(avg(score) filter (where not is_same), 9) as diff_mean,
       count(*) filter (where (is_same and score < 0.5) or (not is_same and score > 0.5)) as n_correct, count(*) as n_total,
-      round(avg(score) filter (where not is_same) - avg(score) filter (where is_same), 6) as separation from s""")
+      round(avg(score) filter (where not is_same) - avg(score) filter (where is_same), 9) as separation from s""")
 def change_score_separation(t: Tables) -> DataFrame:
     rows = t.lineitem.select(
         (F.col("l_returnflag") == "A").alias("is_same"), (F.col("l_tax") * 5 + F.col("l_discount")).alias("score")
     )
     out = mt.change_separation(rows)
-    return out.withColumns({c: F.round(c, 6) for c in ("same_mean", "diff_mean", "separation")})
+    return out.withColumns({c: F.round(c, 9) for c in ("same_mean", "diff_mean", "separation")})
 
 
 @query("""with s as (select 1 - l_discount as o, l_discount as s, l_tax * 5 as d from lineitem)
-    select round(avg(o), 6) as optical_mean, round(avg(s), 6) as sar_mean, round(avg(d), 6) as distance_mean, count(*) as n_total,
+    select round(avg(o), 9) as optical_mean, round(avg(s), 9) as sar_mean, round(avg(d), 9) as distance_mean, count(*) as n_total,
       count(*) filter (where d > 0.3) as n_disagreements from s""")
 def modality_contributions(t: Tables) -> DataFrame:
     d = F.col("l_discount")
     rows = t.lineitem.select((1 - d).alias("optical_contribution"), d.alias("sar_contribution"),
                              (F.col("l_tax") * 5).alias("modality_distance"))
     out = mt.contribution_summary(rows)
-    return out.withColumns({c: F.round(c, 6) for c in ("optical_mean", "sar_mean", "distance_mean")})
+    return out.withColumns({c: F.round(c, 9) for c in ("optical_mean", "sar_mean", "distance_mean")})
 
 
 _RUNS = """runs as (
@@ -275,13 +275,13 @@ def run_comparison(t: Tables) -> DataFrame:
 @query(oracle("""with r as (select pk % 4 as n_boxes, pk % 9 <> 0 as valid, case when sk % 31 = 0 then 'timeout' end as error,
       confidence as latency from detections)
     select count(*) as n_runs, count(error) as n_errors, count(*) filter (where error is null and valid) as n_valid_geometry,
-      cast(sum(n_boxes) filter (where error is null) as bigint) as n_boxes, round(avg(latency) filter (where error is null), 6) as mean_latency_s,
+      cast(sum(n_boxes) filter (where error is null) as bigint) as n_boxes, round(avg(latency) filter (where error is null), 9) as mean_latency_s,
       case when count(error) = 0 and count(*) filter (where valid) = count(*) then 'GOOD' else 'NEEDS WORK' end as verdict from r""", "detections"))
 def detection_summary(t: Tables) -> DataFrame:
     d = t.detections.select(
         (F.col("pk") % 4).alias("n_boxes"), (F.col("pk") % 9 != 0).alias("valid_boxes"),
         F.when(F.col("sk") % 31 == 0, F.lit("timeout")).alias("error"), F.col("confidence").alias("latency_s"))
-    return mt.detection_summary(d).withColumn("mean_latency_s", F.round("mean_latency_s", 6))
+    return mt.detection_summary(d).withColumn("mean_latency_s", F.round("mean_latency_s", 9))
 
 
 @query(oracle("""select ann_id, case when a like '%yes%' then 'yes' when a like '%no%' then 'no' else a end as answer from (
@@ -313,7 +313,7 @@ def served_boxes(t: Tables) -> DataFrame:
     return rows.select("ann_id", "i", "b.label", "b.confidence", "b.x1", "b.y2")
 
 
-@query(oracle("select ann_id, round((confidence + confidence / 3) / 2, 6) as mean_confidence from detections", "detections"))
+@query(oracle("select ann_id, round((confidence + confidence / 3) / 2, 9) as mean_confidence from detections", "detections"))
 def mean_box_confidence(t: Tables) -> DataFrame:
     mean = geometry.mean_box_confidence(F.col("detections"))
-    return _detection_lists(t).select("ann_id", F.round(mean, 6).alias("mean_confidence"))
+    return _detection_lists(t).select("ann_id", F.round(mean, 9).alias("mean_confidence"))
