@@ -109,21 +109,23 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         "dim", F.pmod(spread, F.lit(q_tiles)).alias("qt"), F.explode(F.sequence(F.lit(0), F.lit(c_tiles - 1))).alias("ct"),
         "vec_id", "v",
     )
+    # the two sides come from one table: every column of the right one gets a name of its own, or a cogroup mixes them up
     right = rows.select(
-        "dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_tiles - 1).cast("long"))).alias("qt"),
-        F.pmod(spread, F.lit(c_tiles)).cast("int").alias("ct"), "vec_id", "v",
+        F.col("dim").alias("c_dim"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_tiles - 1).cast("long"))).alias("c_qt"),
+        F.pmod(spread, F.lit(c_tiles)).cast("int").alias("c_ct"), F.col("vec_id").alias("c_id"), F.col("v").alias("c_v"),
     )
 
     def tile(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(q) and len(c):
             found = list(nearest_in_tile(
-                q["vec_id"].to_numpy(), np.stack(q["v"].to_numpy()), c["vec_id"].to_numpy(), np.stack(c["v"].to_numpy()), k
+                q["vec_id"].to_numpy(), np.stack(q["v"].to_numpy()), c["c_id"].to_numpy(), np.stack(c["c_v"].to_numpy()), k
             ))
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    keys = ["dim", "qt", "ct"]
-    best = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(tile, "query_id long, vec_id long, score double")
+    pairs = left.groupBy("dim", "qt", "ct").cogroup(right.groupBy("c_dim", "c_qt", "c_ct"))
+    best = pairs.applyInPandas(tile, "query_id long, vec_id long, score double")
 
     def merge(part: pd.DataFrame) -> pd.DataFrame:
         top = heapq.nsmallest(k, zip((-part["score"]).tolist(), part["vec_id"].tolist()))
