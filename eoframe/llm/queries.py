@@ -42,8 +42,8 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""
 with v as (select vec_id, embedding::double[] as e from embeddings
-    where vec_id is not null and embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-      and len(list_filter(embedding, x -> x <> 0)) > 0),
+    where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+      and len(list_filter(embedding, lambda x: x <> 0)) > 0),
   n as (select vec_id, e, list_inner_product(e, e) as sq from v),
   p as (select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e) / sqrt(q.sq * c.sq) as score
     from n q join n c on q.vec_id <> c.vec_id and len(q.e) = len(c.e) where q.vec_id % 50 = 0),
