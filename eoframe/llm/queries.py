@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eoframe.llm import exact_dedup, mixing, nearest, packing, sharding, wavelet
+from eoframe.llm import exact_dedup, mixing, nearest, packing, quality, sharding, simhash, wavelet
 from eoframe.llm.tables import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,11 @@ def op3_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_file())
 
 
+@register()
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 @register()
 def op5_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.assign_shards(sharding.sized_rows(documents(spark, sf_dir)), shards=8)
@@ -96,6 +101,12 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@register()
+def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @register()
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(documents(spark, sf_dir), tokenizer_file())
