@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eoframe.llm import exact_dedup, mixing, nearest, packing, quality, sharding, simhash, wavelet
+from eoframe.llm import exact_dedup, mixing, nearest, packing, quality, repeats, sharding, simhash, wavelet
 from eoframe.llm.tables import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,12 @@ def op5_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register()
+def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @register(f"""
 with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{mixing.WORD}')), 0) as size,
     greatest(0.1::double, 1.0::double - 4.0::double * (length(coalesce(text, ''))
