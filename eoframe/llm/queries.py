@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eoframe.llm import exact_dedup, mixing, nearest, packing, quality, repeats, sharding, simhash, wavelet
+from eoframe.llm import exact_dedup, mixing, nearest, packing, pages, quality, repeats, sharding, simhash, wavelet
 from eoframe.llm.tables import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -73,6 +73,11 @@ def op5_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register()
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 @register()
 def op7_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeats.remove_repeats(documents(spark, sf_dir))
