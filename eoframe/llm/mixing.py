@@ -48,7 +48,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     level = (total - F.coalesce(F.sum("top").over(ahead), F.lit(0.0))) / F.sum("w").over(rest)
     rows = rows.select("*", level.alias("level"))
     fits = F.when(F.col("level") <= F.col("top") / F.col("w"), F.col("level"))
-    final = F.min(fits).over(every)
+    final = F.max(fits).over(every)  # levels fall from the first that fits on
     target = F.least(F.col("top"), F.coalesce(final, F.lit(float("inf"))) * F.col("w"))
     return rows.select("source", "source_size", target.alias("target"))
 

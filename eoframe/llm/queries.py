@@ -97,7 +97,7 @@ with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '{mixing
       over (order by 2.0::double * source_size / w, source asc nulls last rows between unbounded preceding and 1 preceding), 0))
       / sum(w) over (order by 2.0::double * source_size / w, source asc nulls last
         rows between current row and unbounded following) as level from s),
-  t as (select source, source_size, least(2.0::double * source_size, coalesce(min(case when level <= 2.0::double
+  t as (select source, source_size, least(2.0::double * source_size, coalesce(max(case when level <= 2.0::double
       * source_size / w then level end) over (), 'infinity'::double) * w) as target from l),
   e as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as epochs from t),
   r as (select k.*, source_size, target, epochs, target - epochs::double * source_size as missing,
@@ -115,7 +115,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir))
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 @register()

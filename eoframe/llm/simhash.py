@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
@@ -13,88 +14,122 @@ from pyspark.sql import functions as F
 from eoframe.llm.components import connected
 from eoframe.llm.tables import materialize
 
-SHINGLE_WORDS = 3
-SEED = 42
-#: Fingerprints link at this many differing bits or fewer. The anchors below are laid out for this number.
-MOST_BITS = 2
-#: Groups at one anchor larger than this are compared by segments.
+#: Groups at one anchor larger than this are compared by segments where few bits may differ.
 COMPARED_WHOLE = 1024
 HASHES_AT_ONCE = 1 << 16
 
 
-def fingerprint(text: str | None, words_per_shingle: int = SHINGLE_WORDS, seed: int = SEED) -> int:
-    """The 64-bit fingerprint of a whole text; 0 without words."""
+@dataclass(frozen=True)
+class Sketch:
+    """How texts become fingerprints and which of these link.
+
+    A fingerprint has ``words`` 64-bit words. The first ``anchored`` of them are cut into pieces of 2 ** ``code`` bits; the anchors of a piece are the words of
+    the Hamming code of length 2 ** code - 1, with either value of the bit that is left. Every piece is within one flip of an
+    anchor (the covering radius), and it is copied to all anchors within two, so two pieces that differ in at most one bit meet.
+    Fingerprints link at ``most`` differing bits or fewer. None is missed while ``most`` is below twice the number of pieces;
+    beyond that, a pair is missed only if it differs in two bits or more in every piece.
+    """
+
+    shingle: int = 3
+    seed: int = 42
+    words: int = 1
+    anchored: int = 1
+    code: int = 5
+    most: int = 2
+
+    @property
+    def names(self) -> list[str]:
+        return [f"fp{i}" for i in range(self.words)]
+
+
+#: Three-word shingles, 64 bits, two of which may differ.
+STRICT = Sketch()
+#: Five-word shingles and 256 bits. Similarity 0.8 of shingle sets is a cosine of 0.89, at which 39 bits differ on average.
+SIMILAR = Sketch(shingle=5, words=4, anchored=2, code=4, most=39)
+
+
+def _bits(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def _another(hashes: np.ndarray, nth: int) -> np.ndarray:
+    """The nth further hash made from a hash."""
+    x = hashes + np.uint64(nth * 0x9E3779B97F4A7C15 % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def fingerprint(text: str | None, sketch: Sketch = STRICT) -> list[int]:
+    """The words of a whole text's fingerprint; 0 without words in the text."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8").lower().split()  # bytes: A-Z alone are lower-cased, ASCII white space alone splits
     if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= words_per_shingle:
+        return [0] * sketch.words
+    joined, seed = b" ".join(words), sketch.seed
+    if len(words) <= sketch.shingle:
         hashes = [xxh64_intdigest(joined, seed)]
     else:
         ends = list(accumulate([len(w) + 1 for w in words], initial=-1))
-        hashes = [xxh64_intdigest(joined[s + 1 : e], seed) for s, e in zip(ends, ends[words_per_shingle:])]
-    ones = np.zeros(64, dtype=np.int64)
+        hashes = [xxh64_intdigest(joined[s + 1 : e], seed) for s, e in zip(ends, ends[sketch.shingle :])]
+    ones = np.zeros((sketch.words, 64), dtype=np.int64)
     for at in range(0, len(hashes), HASHES_AT_ONCE):
-        part = np.array(hashes[at : at + HASHES_AT_ONCE], dtype="<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+        part = np.array(hashes[at : at + HASHES_AT_ONCE], dtype=np.uint64)
+        for w in range(sketch.words):
+            ones[w] += _bits(_another(part, w) if w else part)
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, sketch: Sketch = STRICT) -> DataFrame:
+    """doc_id and the fingerprint's words (fp0, ..., as signed longs) of every row."""
+    schema = pa.schema([("doc_id", pa.int64())] + [(n, pa.int64()) for n in sketch.names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), words_per_shingle, seed) for t in batch.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], schema=schema)
+            found = np.array([fingerprint(t.as_py(), sketch) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
+            columns = [pa.array(found[:, w]) for w in range(sketch.words)] if len(found) else [pa.array([], pa.int64())] * sketch.words
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=schema)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    told = ", ".join(f"{n} long" for n in ["doc_id", *sketch.names])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, told)
 
 
-def _syndromes(half: np.ndarray) -> np.ndarray:
-    """Of the 31 low bits: the exclusive or of the positions (from 1) of the bits that are set; 0 for a code word."""
-    out = np.zeros(len(half), dtype=np.int64)
-    for p in range(1, 32):
-        out ^= np.where(half >> (p - 1) & 1, p, 0)
+def _syndromes(pieces: np.ndarray, length: int) -> np.ndarray:
+    """Of the ``length`` low bits: the exclusive or of the positions (from 1) of the bits that are set; 0 for a code word."""
+    out = np.zeros(len(pieces), dtype=np.int64)
+    for p in range(1, length + 1):
+        out ^= np.where(pieces >> (p - 1) & 1, p, 0)
     return out
 
 
-def home_anchors(half: np.ndarray) -> np.ndarray:
-    """The nearest anchor of each 32-bit half: the anchors are the words of the Hamming code of length 31, which reaches every
-    word by one flip at most, with either value of bit 31."""
-    s = _syndromes(half)
-    return half ^ np.where(s > 0, np.left_shift(1, np.maximum(s, 1) - 1), 0)
-
-
-def near_anchors(half: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Every anchor within two flips (covering radius 1 and threshold 1) of each half: row numbers and anchors."""
-    s, rows, home = _syndromes(half), np.arange(len(half)), home_anchors(half)
-    at, anchors = [rows, rows], [home, home ^ (1 << 31)]
+def near_anchors(pieces: np.ndarray, code: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every anchor within two flips of each piece, its nearest one first: row numbers and anchors."""
+    length = (1 << code) - 1
+    s, rows = _syndromes(pieces, length), np.arange(len(pieces))
+    home = pieces ^ np.where(s > 0, np.left_shift(1, np.maximum(s, 1) - 1), 0)
+    at, anchors = [rows, rows], [home, home ^ (1 << length)]
     off = np.flatnonzero(s > 0)
-    for i in range(1, 32):
+    for i in range(1, length + 1):
         j = s[off] ^ i  # flipping positions i and j, whose exclusive or is the syndrome
-        use = off[(j > i)]
+        use = off[j > i]
         at.append(use)
-        anchors.append(half[use] ^ (1 << (i - 1)) ^ np.left_shift(1, (s[use] ^ i) - 1))
+        anchors.append(pieces[use] ^ (1 << (i - 1)) ^ np.left_shift(1, (s[use] ^ i) - 1))
     return np.concatenate(at), np.concatenate(anchors)
 
 
-def _halves(fps: np.ndarray) -> list[np.ndarray]:
-    u = fps.view(np.uint64)
-    return [(u & np.uint64(0xFFFFFFFF)).astype(np.int64), (u >> np.uint64(32)).astype(np.int64)]
-
-
-def anchor_rows(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, fp) rows: each fingerprint at every anchor near either half. Two that differ in two bits agree in all but one bit
-    of one half at most, so the home anchor of one is near the other. A key tells the half and the anchor."""
-    keys, found = [], []
-    for side, half in enumerate(_halves(fps)):
-        at, anchors = near_anchors(half)
-        keys.append(anchors << 1 | side)
-        found.append(fps[at])
+def anchor_rows(fps: np.ndarray, anchored: int, code: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and row numbers: each fingerprint (a row of words) at every anchor near one of its pieces. A key tells the piece's
+    place and the anchor."""
+    keys, found, width = [], [], 1 << code
+    unsigned = np.ascontiguousarray(fps).view(np.uint64)
+    per_word = 64 // width
+    for word in range(anchored):
+        for k in range(per_word):
+            piece = unsigned[:, word] >> np.uint64(k * width) & np.uint64((1 << width) - 1)
+            at, anchors = near_anchors(piece.astype(np.int64), code)
+            keys.append(anchors << 8 | (word * per_word + k))
+            found.append(at)
     return np.concatenate(keys), np.concatenate(found)
 
 
@@ -114,87 +149,102 @@ class _Sets:
 
 
 def _close(a: np.ndarray, b: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    found = [(i + r, j) for r in range(0, len(a), 512)
-             for i, j in [np.nonzero(np.bitwise_count(a[r : r + 512, None] ^ b[None, :]) <= most)]]
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    differ = np.zeros((len(a), len(b)), dtype=np.uint16)
+    for w in range(a.shape[1]):
+        differ += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+    return np.nonzero(differ <= most)
 
 
-def group_links(fps: np.ndarray, most: int = MOST_BITS) -> list[tuple[int, int]]:
-    """Links among the distinct fingerprints of one anchor that span what they connect: at most one less than there are.
+def group_links(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Links (row numbers) among the distinct fingerprints of one anchor that span what they connect: fewer than there are rows.
 
-    A large group is cut by three segments of the word (two flips leave one untouched) before pairs are looked at.
+    A large group is cut by ``most`` + 1 segments of the first word (so many flips leave one untouched) before pairs are looked
+    at, where these are wide enough.
     """
-    sets, links, u = _Sets(len(fps)), [], fps.view(np.uint64)
-    if len(u) <= COMPARED_WHOLE:
-        parts = [np.arange(len(u))]
-    else:
-        parts = []
-        for shift, width in ((0, 21), (21, 21), (42, 22)):
-            segment = u >> np.uint64(shift) & np.uint64((1 << width) - 1)
+    sets, links, u = _Sets(len(fps)), [], np.ascontiguousarray(fps).view(np.uint64)
+    parts = [np.arange(len(u))]
+    if len(u) > COMPARED_WHOLE and u.shape[1] == 1 and most <= 3:
+        parts, width = [], 64 // (most + 1)
+        for k in range(most + 1):
+            segment = u[:, 0] >> np.uint64(k * width) & np.uint64((1 << width) - 1)
             order = np.argsort(segment, kind="stable")
-            cuts = np.flatnonzero(np.diff(segment[order])) + 1
-            parts += [p for p in np.split(order, cuts) if len(p) > 1]
+            parts += [p for p in np.split(order, np.flatnonzero(np.diff(segment[order])) + 1) if len(p) > 1]
     for part in parts:
         own = u[part]
         for a in range(0, len(own), 512):  # a block against itself and what follows
-            i, j = _close(own[a : a + 512], own[a:], most)
-            for x, y in zip(part[a + i[j > i]].tolist(), part[a + j[j > i]].tolist()):
-                if sets.join(x, y):
-                    links.append((int(fps[x]), int(fps[y])))
+            for b in range(a, len(own), 8192):
+                i, j = _close(own[a : a + 512], own[b : b + 8192], most)
+                after = i + a < j + b
+                for x, y in zip(part[a + i[after]].tolist(), part[b + j[after]].tolist()):
+                    if sets.join(x, y):
+                        links.append((x, y))
     return links
 
 
-def anchor_links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (fp) that connect all pairs at ``MOST_BITS`` or fewer differing bits."""
-    rows_schema = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
+def anchor_links(nodes: DataFrame, sketch: Sketch = STRICT) -> DataFrame:
+    """``nodes``: node (long) and a distinct fingerprint. Links (a, b) between nodes that connect all pairs that meet at an
+    anchor and differ in few enough bits. The fingerprints of an anchor are compared in one task, which holds them as numbers;
+    it yields fewer links than there are fingerprints, never all pairs."""
+    names = ["node", *sketch.names]
+    rows_schema = pa.schema([("key", pa.int64())] + [(n, pa.int64()) for n in names])
     link_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def table(batch: pa.RecordBatch) -> np.ndarray:
+        return np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, found = anchor_rows(batch.column(0).to_numpy(zero_copy_only=False))
-            for s in range(0, len(keys), 65536):
-                part = [pa.array(keys[s : s + 65536]), pa.array(found[s : s + 65536])]
-                yield pa.RecordBatch.from_arrays(part, schema=rows_schema)
+            rows = table(batch)
+            for r in range(0, len(rows), 4096):
+                keys, at = anchor_rows(rows[r : r + 4096, 1:], sketch.anchored, sketch.code)
+                for s in range(0, len(keys), 65536):
+                    part = rows[r + at[s : s + 65536]]
+                    columns = [keys[s : s + 65536], *(np.ascontiguousarray(part[:, c]) for c in range(part.shape[1]))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=rows_schema)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+        held = [table(b) for b in batches if b.num_rows]
         if not held:
             return
-        keys, fps = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
-        order = np.argsort(keys, kind="stable")
-        keys, fps = keys[order], fps[order]
-        starts = np.concatenate([[0], np.flatnonzero(np.diff(keys)) + 1])
-        ends = np.concatenate([starts[1:], [len(keys)]])
+        rows = np.concatenate(held)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        rows = rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])]
+        starts = np.concatenate([[0], np.flatnonzero(np.diff(rows[:, 0])) + 1])
+        ends = np.concatenate([starts[1:], [len(rows)]])
         several = ends - starts > 1
-        links: list[tuple[int, int]] = []
-        for s, e in zip(starts[several].tolist(), ends[several].tolist()):
-            links += group_links(np.unique(fps[s:e]))
+        links = [(int(rows[s + x, 1]), int(rows[s + y, 1]))
+                 for s, e in zip(starts[several].tolist(), ends[several].tolist())
+                 for x, y in group_links(rows[s:e, 2:], sketch.most)]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], schema=link_schema)
 
-    replicas = distinct.select("fp").mapInArrow(replicate, "key long, fp long")
-    parts = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    told = ", ".join(f"{n} long" for n in ["key", *names])
+    replicas = nodes.select(*names).mapInArrow(replicate, told)
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return replicas.repartition(parts, "key").mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable over links) of every row.
+def near_duplicates(docs: DataFrame, sketch: Sketch = STRICT) -> DataFrame:
+    """doc_id, the fingerprint's words and component_id (smallest doc_id reachable over links) of every row.
 
     Equal fingerprints are one node, whatever the number of copies; texts without words have fingerprint 0 and link like any
     other. A null doc_id belongs to its text's component and is never its smallest id unless it is the only one. Rows that
     repeat stay as they are; an empty table gives no rows; other columns play no part.
     """
-    rows = materialize(fingerprints(docs, words_per_shingle, seed), "fingerprints")
-    nodes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
-    roots = connected(anchor_links(nodes))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
-    placed = materialize(placed.select("fp", "first", F.coalesce("root", "fp").alias("root")), "fingerprint-roots")
+    names = sketch.names
+    rows = fingerprints(docs, sketch)
+    node = F.col("fp0") if sketch.words == 1 else F.xxhash64(*names)
+    rows = materialize(rows.withColumn("node", node), "fingerprints")
+    nodes = materialize(rows.groupBy("node", *names).agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
+    roots = connected(anchor_links(nodes, sketch))
+    placed = nodes.select("node", "first").join(roots, "node", "left")
+    placed = materialize(placed.select("node", "first", F.coalesce("root", "node").alias("root")), "fingerprint-roots")
     least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = materialize(placed.join(least, "root").select("fp", "component_id"), "fingerprint-components")
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialize(placed.join(least, "root").select("node", "component_id"), "fingerprint-components")
+    return rows.join(named, "node").select("doc_id", *names, "component_id")
 
 
-def keep_one_each(docs: DataFrame, words_per_shingle: int = 5, seed: int = SEED) -> DataFrame:
+def keep_one_each(docs: DataFrame, sketch: Sketch = SIMILAR) -> DataFrame:
     """The documents with the smallest id of each component, with all their columns. Ids must be unique and not null."""
-    found = near_duplicates(docs, words_per_shingle, seed)
+    found = near_duplicates(docs, sketch)
     stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id"))
     return docs.join(stay, F.col("doc_id") == F.col("_id"), "left_semi")
