@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from eoframe.llm.tables import materialize, shared_dir
+from eoframe.llm.tables import free_name, materialize, shared_dir
 
 #: A group of copies is joined back in this many parts.
 SALTS = 32
@@ -86,10 +86,12 @@ def add_batch(index: DigestIndex, docs: DataFrame, id_col: str = "doc_id", text_
 def keep_distinct(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; of rows that repeat an id and its text one stays."""
     decisions = add_batch(index or DigestIndex(docs.sparkSession), docs).where("kept")
-    stay = decisions.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumn("_digest", text_digest(F.col("text")))
-    same = rows["doc_id"].eqNullSafe(stay["_id"]) & (rows["_digest"] == stay["_sha"])
+    other_id, other_digest = free_name(docs, "_id"), free_name(docs, "_sha")
+    digest, copy = free_name(docs, "_digest"), free_name(docs, "_copy")
+    stay = decisions.select(F.col("doc_id").alias(other_id), F.col("text_sha256").alias(other_digest))
+    rows = docs.withColumn(digest, text_digest(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col(other_id)) & (F.col(digest) == F.col(other_digest))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    repeats = Window.partitionBy("doc_id", "_digest").orderBy(F.xxhash64(*others) if others else F.lit(0))
-    once = rows.join(stay, same, "left_semi").withColumn("_copy", F.row_number().over(repeats))
-    return once.where("_copy = 1").select(*docs.columns)
+    repeats = Window.partitionBy("doc_id", digest).orderBy(F.xxhash64(*others) if others else F.lit(0))
+    once = rows.join(stay, same, "left_semi").withColumn(copy, F.row_number().over(repeats))
+    return once.where(F.col(copy) == 1).select(*docs.columns)

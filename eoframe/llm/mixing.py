@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eoframe.llm.tables import materialize, unit_hash
+from eoframe.llm.tables import free_name, materialize, unit_hash
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -96,7 +96,8 @@ def sized_documents(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix with all their columns, each as many times as the mix takes it. Ids must be unique."""
     taken = mix(sized_documents(docs)).where("taken > 0")
-    times = taken.select(F.col("doc_id").alias("_id"), (F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    joined = docs.join(times, F.col("doc_id") == F.col("_id"))
-    copies = joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy"))
+    other, times, copy = free_name(docs, "_id"), free_name(docs, "_times"), free_name(docs, "_copy")
+    often = taken.select(F.col("doc_id").alias(other), (F.col("taken") / F.col("size")).cast("int").alias(times))
+    joined = docs.join(often, F.col("doc_id") == F.col(other))
+    copies = joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy))
     return copies.select(*docs.columns)

@@ -6,7 +6,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -117,10 +116,14 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = EN
     groups = count_parts(pieces.count(), GROUP)
     drawn = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).alias("_group")
 
-    def fill(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True])
-        seqs, offsets = best_fit_decreasing(part["length"].tolist(), window)
-        group = int(part["_group"].iloc[0])
-        return part.drop(columns="_group").assign(sequence_id=np.array(seqs, dtype=np.int64) * groups + group, offset=offsets)
+    out = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
-    return pieces.select("*", drawn).groupBy("_group").applyInPandas(fill, f"{PIECES}, sequence_id long, offset long")
+    def fill(part: pa.Table) -> pa.Table:
+        keys = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
+        part = part.sort_by(keys)
+        seqs, offsets = best_fit_decreasing(part.column("length").to_pylist(), window)
+        ids = np.array(seqs, dtype=np.int64) * groups + part.column("_group")[0].as_py()
+        columns = [*(part.column(n).combine_chunks() for n in out.names[:5]), pa.array(ids), pa.array(offsets, pa.int64())]
+        return pa.Table.from_arrays(columns, schema=out)
+
+    return pieces.select("*", drawn).groupBy("_group").applyInArrow(fill, f"{PIECES}, sequence_id long, offset long")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eoframe.llm.packing import in_slices
-from eoframe.llm.tables import count_parts, unit_hash
+from eoframe.llm.tables import count_parts, free_name, unit_hash
 
 #: Features are hashed to this many bits.
 BITS = 18
@@ -209,7 +209,5 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier accepts, with all their columns."""
-    name = "_quality"
-    while name in docs.columns:
-        name = "_" + name
+    name = free_name(docs, "_quality")
     return score_column(docs, fit(docs, labels), name).where(F.col(name) >= 0.5).select(*docs.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eoframe.llm.components import connected
-from eoframe.llm.tables import materialize
+from eoframe.llm.tables import free_name, materialize
 
 #: Groups at one anchor larger than this are compared by segments where few bits may differ.
 COMPARED_WHOLE = 1024
@@ -245,6 +245,6 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = STRICT) -> DataFrame:
 
 def keep_one_each(docs: DataFrame, sketch: Sketch = SIMILAR) -> DataFrame:
     """The documents with the smallest id of each component, with all their columns. Ids must be unique and not null."""
-    found = near_duplicates(docs, sketch)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_id"))
-    return docs.join(stay, F.col("doc_id") == F.col("_id"), "left_semi")
+    found, other = near_duplicates(docs, sketch), free_name(docs, "_id")
+    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(other))
+    return docs.join(stay, F.col("doc_id") == F.col(other), "left_semi")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eoframe.session import materialize, shared_dir
 
-__all__ = ["count_parts", "documents", "materialize", "running_sums", "shared_dir", "table", "unit_hash"]
+__all__ = ["count_parts", "documents", "free_name", "materialize", "running_sums", "shared_dir", "table", "unit_hash"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,14 @@ def unit_hash(key: Column, seed: str) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**48))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def count_parts(rows: int, per_part: int) -> int:
     """How many parts hold ``rows`` at ``per_part`` each, at least one."""
     return max(1, -(-rows // per_part))

@@ -18,6 +18,7 @@ from eoframe.llm.tokens import encoder
 END_ID = 2
 #: A shard ends with the document that brings it to this many ids.
 SHARD_IDS = 1 << 20
+SHARD_COLUMNS = "part int, nth int, n_ids long, doc_ids array<long>, lengths array<long>, matrix binary"
 MAGIC = b"WVM1"
 #: Ones are counted up to every this many bits.
 STRIDE = 512
@@ -133,7 +134,7 @@ class WaveletMatrix:
 def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
     """Encodes (doc_id, text) whole, appends ``end_id`` to each and writes shards in ascending doc_id order.
 
-    The file format is Parquet with a row per shard: first_id, range (its place in the order), doc_ids, lengths (ids of each
+    The file format is Parquet with a row per shard: part and nth (its place in the order), n_ids, doc_ids, lengths (ids of each
     document) and matrix (see ``build``). Documents are never split; a shard ends with the one that fills it.
     """
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -172,8 +173,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
         if held:
             yield shard()
 
-    out = "part int, nth int, n_ids long, doc_ids array<long>, lengths array<long>, matrix binary"
-    rows.mapInArrow(encode, out).write.parquet(path)
+    rows.mapInArrow(encode, SHARD_COLUMNS).write.parquet(path)
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
@@ -206,4 +206,4 @@ def token_files(docs: DataFrame, tokenizer: str) -> DataFrame:
     spark = docs.sparkSession
     path = f"{shared_dir(spark, 'wavelet')}/shards"
     write_shards(docs, tokenizer, path)
-    return read_documents(spark.read.parquet(path))
+    return read_documents(spark.read.schema(SHARD_COLUMNS).parquet(path))
