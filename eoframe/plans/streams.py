@@ -60,16 +60,21 @@ def health_stream(t: Tables) -> DataFrame:
     return run_to_parquet(health.health_stream(calls), "health").select("event_id", "decision", "state", "transition")
 
 
-@query(oracle("""select o_orderkey as order_key, 10 as completed_at from order_patches where o_orderkey % 9 <> 0""", "order_patches"))
+@query(oracle(f"""with b as (select unnest({[*fv.PACKED_BANDS, "B09"]}) as band)
+    select o_orderkey as order_key, 10 as completed_at, string_agg(band || '=' || band || '@' || cast(o_orderkey as varchar(20)), ',' order by band) as payloads
+    from order_patches cross join b where o_orderkey % 9 <> 0 and band <> 'B09' group by o_orderkey""", "order_patches"))
 def gather_stream(t: Tables) -> DataFrame:
     """Bands of each order's patch as a stream; B12 never arrives for some, so these are never emitted."""
     orders = StreamTables(t, "orders").orders
     bands = F.array(*[F.lit(b) for b in [*fv.PACKED_BANDS, "B09"]])
     members = orders.select("o_orderkey", F.posexplode(bands).alias("i", "band")).select(
-        F.col("o_orderkey").cast("string").alias("patch_id"), "band", (F.col("i") + 1).alias("pos"), F.col("band").alias("payload"))
+        F.col("o_orderkey").cast("string").alias("patch_id"), "band", (F.col("i") + 1).alias("pos"), F.concat_ws("@", "band", F.col("o_orderkey").cast("string")).alias("payload"))
     members = members.filter(~((F.col("band") == "B12") & (F.col("patch_id").cast("bigint") % 9 == 0)))
     done = run_to_parquet(gather.gather_stream(members, "patch_id", "band", "payload", "pos", fv.PACKED_BANDS, reemit=True), "gather")
-    return done.filter(F.size("items") == 10).select(F.col("key").cast("bigint").alias("order_key"), F.col("completed_at").cast("int").alias("completed_at"))
+    held = F.array_sort(F.transform(F.map_entries("items"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return done.filter(F.size("items") == 10).select(
+        F.col("key").cast("bigint").alias("order_key"), F.col("completed_at").cast("int").alias("completed_at"),
+        F.array_join(held, ",").alias("payloads"))
 
 
 @query(oracle("select o_orderkey, patch_id from order_patches where patch_id not in (select patch_id from cached)", "order_patches", "cached"))
@@ -94,16 +99,22 @@ def validate_stream(t: Tables) -> DataFrame:
     return parts[0].union(parts[1])
 
 
-@query(oracle(f"""with keep as (select request_id from outputs group by request_id having count(distinct model_name) = 3),
-    firsts as (select o.request_id, model_name, min(position) as first_at from outputs o join keep k on o.request_id = k.request_id group by 1, 2),
+_HELD = """firsts as (select request_id, model_name, min(position) as first_at from outputs group by 1, 2),
     done as (select request_id, max(first_at) as completed_at from firsts group by request_id),
     held as (select o.request_id, o.model_name, max(position) as position from outputs o join done d on o.request_id = d.request_id
       where position <= completed_at group by 1, 2),
-    o as (select x.*, {quality_plans._NORM} as norm from outputs x join held h on x.request_id = h.request_id and x.model_name = h.model_name and x.position = h.position),
-    s as (select request_id, count(*) as n_outputs, case when min(norm) = max(norm) then 'AGREEMENT' else 'DISAGREEMENT' end as status, avg(confidence) as c from o group by request_id)
-    select request_id, n_outputs, status, round(least(1, greatest(0, 0.7e0 * c + 0.3e0 - case when status = 'AGREEMENT' then 0 else 0.2e0 end)), 6) as final_confidence from s""", "outputs"))
+    last_outputs as (select * from (select x.*, row_number() over (partition by x.request_id, x.model_name order by x.confidence) as nth from outputs x
+      join held h on x.request_id = h.request_id and x.model_name = h.model_name and x.position = h.position) where nth = 1)"""
+
+
+@query(oracle(f"""with {_HELD}, {quality_plans.REPORTS.replace("from outputs", "from last_outputs")},
+    c as (select request_id, avg(confidence) as c from last_outputs group by request_id)
+    select r.request_id, n_outputs, status, round(least(1, greatest(0, 0.7e0 * c + 0.3e0
+      - case status when 'AGREEMENT' then 0 when 'PARTIAL_AGREEMENT' then 0.08e0 else 0.2e0 end)), 6) as final_confidence
+    from reports r join c on r.request_id = c.request_id""", "outputs"))
 def reconcile_stream(t: Tables) -> DataFrame:
-    out = flows.reconcile_stream(StreamTables(t, "lineitem").outputs, ["model-1", "model-2", "model-3"])
+    expected = t.outputs.groupBy("request_id").agg(F.countDistinct("model_name").alias("n_models"))
+    out = flows.reconcile_stream(StreamTables(t, "lineitem").outputs, expected)
     return out.select("request_id", "n_outputs", "status", F.round("final_confidence", 6).alias("final_confidence"))
 
 

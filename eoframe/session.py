@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def local_session(cores: str = "8", app: str = "eoframe", memory: str = "8g") -> SparkSession:
     """A session for tests and the bench. A cluster brings its own session and its own settings."""
     return (
@@ -19,6 +22,7 @@ def local_session(cores: str = "8", app: str = "eoframe", memory: str = "8g") ->
         # a few megabytes would be coalesced into one or two tasks, which leaves most local cores idle
         .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

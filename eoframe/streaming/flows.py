@@ -31,16 +31,18 @@ def validate_stream(stream: DataFrame, cfg: ValidationConfig | None = None) -> d
 OUTPUT_PAYLOAD = "model_name string, prediction string, pred_kind string, confidence double, position bigint"
 
 
-def reconcile_stream(outputs: DataFrame, models: list[str], cfg: ConfidenceConfig | None = None) -> DataFrame:
-    """Reports and confidence of requests once every expected model has answered.
+def reconcile_stream(
+    outputs: DataFrame, expected: DataFrame, cfg: ConfidenceConfig | None = None, folder: str | None = None
+) -> DataFrame:
+    """Reports and confidence of requests once every model has answered; ``expected`` (request_id, n_models) says how many.
 
     The gather keeps one compact text per model and request; completed requests are unpacked in the batch and go through
     the same operators as the batch job.
     """
-    packed = outputs.withColumn(
+    packed = outputs.join(expected.select("request_id", "n_models"), "request_id").withColumn(
         "payload", F.to_json(F.struct("model_name", "prediction", "pred_kind", "confidence", "position"))
     )
-    complete = gather_stream(packed, "request_id", "model_name", "payload", "position", models)
+    complete = gather_stream(packed, "request_id", "model_name", "payload", "position", "n_models")
 
     def sinks(batch: DataFrame) -> dict[str, DataFrame]:
         rows = batch.select(F.col("key").alias("request_id"), F.explode("items").alias("model", "payload")).select(
@@ -63,6 +65,6 @@ def reconcile_stream(outputs: DataFrame, models: list[str], cfg: ConfidenceConfi
         )
         return {"reports": scored.select("request_id", "n_outputs", "status", "impact", "final_confidence")}
 
-    return run_batches(complete, "reconcile", sinks)["reports"]
+    return run_batches(complete, "reconcile", sinks, folder)["reports"]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from eoframe.streaming.runtime import ROCKSDB
+from eoframe.streaming.runtime import needs_rocksdb
 
 OUTPUT = "key string, status string, completed_at bigint, items map<string,string>"
 STATE = "held string, done boolean"
@@ -18,13 +18,15 @@ STATE = "held string, done boolean"
 class CompleteSet(StatefulProcessor):
     """State of a key: the items held so far (at most as many as are wanted) and whether the set was emitted.
 
+    What is wanted are the listed items, or without a list as many different ones as the rows' ``expected`` says.
+
     A repeated item replaces the held payload. After emission the key is either skipped for good (``reemit=False``, one
     flag of state per key) or forgotten, so that a later item starts a new set (``reemit=True``; put ``skip_stored``
     before it to drop members of stored keys without keeping state for them). With ``timeout_ms`` an incomplete key is emitted as such and dropped, which
     the reference does not do; it keeps the state bounded.
     """
 
-    def __init__(self, items: list[str], reemit: bool = False, timeout_ms: int | None = None):
+    def __init__(self, items: list[str] | None, reemit: bool = False, timeout_ms: int | None = None):
         self.items, self.reemit, self.timeout_ms = items, reemit, timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -36,11 +38,12 @@ class CompleteSet(StatefulProcessor):
         held, done = (json.loads(kept[0]), bool(kept[1])) if kept else ({}, False)
         fresh, out = not held and not done, []
         batch = pd.concat(list(rows)).sort_values("pos", kind="stable")
+        wanted = len(self.items) if self.items is not None else int(batch["expected"].max())
         for item, payload, pos in zip(batch["item"], batch["payload"], batch["pos"]):
             if done and not self.reemit:
                 break
             held[item] = payload
-            if len(held) == len(self.items):
+            if len(held) >= wanted:
                 out.append((key[0], "complete", int(pos), held))
                 held, done = {}, not self.reemit
         # a set that came whole within one batch leaves no state behind (and costs no write) when it may be emitted again
@@ -65,17 +68,20 @@ class CompleteSet(StatefulProcessor):
 
 
 def gather_stream(
-    members: DataFrame, key: str, item: str, payload: str, order: str, items: list[str], reemit: bool = False,
+    members: DataFrame, key: str, item: str, payload: str, order: str, items: list[str] | str, reemit: bool = False,
     timeout_ms: int | None = None,
 ) -> DataFrame:
-    """Streaming twin of ``gather_complete``. Unlisted items are dropped before the shuffle."""
-    members.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    listed = members.filter(F.col(item).isin(items) & (F.col(key) != "")).select(
+    """Streaming twin of ``gather_complete``. ``items`` lists what makes a set (others are dropped before the shuffle), or names
+    the column that says how many different items the key's set has."""
+    needs_rocksdb(members.sparkSession)
+    counted = isinstance(items, str)
+    known = F.lit(True) if counted else F.col(item).isin(items)
+    listed = members.filter(known & (F.col(key) != "")).select(
         F.col(key).alias("key"), F.col(item).alias("item"), F.col(payload).cast("string").alias("payload"),
-        F.col(order).cast("bigint").alias("pos"),
+        F.col(order).cast("bigint").alias("pos"), (F.col(items) if counted else F.lit(None)).cast("int").alias("expected"),
     )
     return listed.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=CompleteSet(items, reemit, timeout_ms), outputStructType=OUTPUT, outputMode="Append",
+        statefulProcessor=CompleteSet(None if counted else items, reemit, timeout_ms), outputStructType=OUTPUT, outputMode="Append",
         timeMode="ProcessingTime" if timeout_ms else "None",
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from eoframe.config import HealthConfig
 from eoframe.operators.health import DECISION, replay
-from eoframe.streaming.runtime import ROCKSDB
+from eoframe.streaming.runtime import needs_rocksdb
 
 
 class ServiceHealth(StatefulProcessor):
@@ -35,7 +35,7 @@ class ServiceHealth(StatefulProcessor):
 
 def health_stream(calls: DataFrame, cfg: HealthConfig | None = None) -> DataFrame:
     cfg = cfg or HealthConfig()
-    calls.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    needs_rocksdb(calls.sparkSession)
     typed = calls.select(
         F.col("service").cast("bigint"), F.col("event_id").cast("bigint"), F.col("ts_ms").cast("bigint"),
         F.col("ok").cast("int"),

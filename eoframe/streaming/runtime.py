@@ -6,9 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from eoframe.session import shared_dir
+from eoframe.session import ROCKSDB, shared_dir
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+def needs_rocksdb(spark: SparkSession) -> None:
+    """The stateful operators keep their state in RocksDB. A session that names no store gets it; one that names another is
+    told, since a running checkpoint cannot change its store."""
+    name, default = "spark.sql.streaming.stateStore.providerClass", "HDFSBackedStateStoreProvider"
+    now = spark.conf.get(name, default)
+    if now.endswith(default):
+        spark.conf.set(name, ROCKSDB)
+    elif now != ROCKSDB:
+        raise ValueError(f"{name} must be {ROCKSDB}")
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,34 +25,48 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def run_to_parquet(stream: DataFrame, purpose: str) -> DataFrame:
-    """Process everything available into a parquet sink (exactly once through its log) and read it."""
+def run_to_parquet(stream: DataFrame, purpose: str, folder: str | None = None) -> DataFrame:
+    """Process everything available into a parquet sink (exactly once through its log) and read it.
+
+    ``folder`` holds the checkpoint and the sink. A stream that is started again with its folder goes on where it stopped:
+    rows that it wrote are neither lost nor written twice. Without one, the run is a new one in a fresh shared folder.
+    """
     spark = stream.sparkSession
-    out, state = shared_dir(spark, purpose), shared_dir(spark, f"{purpose}-state")
+    folder = folder or shared_dir(spark, purpose)
     query = (
-        stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", state)
-        .trigger(availableNow=True).start(out)
+        stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True).start(f"{folder}/rows")
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 def run_batches(
-    stream: DataFrame, purpose: str, sinks: Callable[[DataFrame], dict[str, DataFrame]]
+    stream: DataFrame, purpose: str, sinks: Callable[[DataFrame], dict[str, DataFrame]], folder: str | None = None
 ) -> dict[str, DataFrame]:
-    """foreachBatch into named parquet folders. Each batch overwrites its own sub-folder, so a batch that is repeated
-    after a failure does not add rows twice."""
+    """foreachBatch into named parquet folders, resumable as ``run_to_parquet``. Each batch overwrites its own sub-folder, so
+    a batch that is repeated after a failure does not add rows twice. A batch is kept while its sinks are written, so it is
+    computed once. Names and columns come from an empty batch, so a source without rows gives empty tables."""
     spark = stream.sparkSession
-    base, state = shared_dir(spark, purpose), shared_dir(spark, f"{purpose}-state")
-    schemas: dict = {}
+    folder = folder or shared_dir(spark, purpose)
+    schemas = {name: df.schema for name, df in sinks(spark.createDataFrame([], stream.schema)).items()}
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
         for name, df in sinks(batch).items():
-            schemas[name] = df.schema
-            df.write.mode("overwrite").parquet(f"{base}/{name}/batch={batch_id}")
+            df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+        batch.unpersist()
 
     query = (
-        stream.writeStream.foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return {n: spark.read.schema(s).parquet(f"{base}/{n}").drop("batch") for n, s in schemas.items()}
+    jvm = spark.sparkContext._jvm
+    out = {}
+    for name, schema in schemas.items():
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        read = spark.read.schema(schema).parquet(f"{folder}/{name}") if there else spark.createDataFrame([], schema)
+        out[name] = read.select(*schema.names)
+    return out

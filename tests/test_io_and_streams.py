@@ -10,7 +10,7 @@ from eoframe.operators import annotations as an
 from eoframe.operators import provenance as pv
 from eoframe.sources import readers, writers
 from eoframe.streaming import gather, health
-from eoframe.streaming.runtime import run_to_parquet
+from eoframe.streaming.runtime import run_batches, run_to_parquet
 
 
 def test_jsonl_round_trip_by_split(spark, tmp_path):
@@ -40,6 +40,7 @@ def test_index_and_catalog(spark, tmp_path):
     (tmp_path / "sub" / "p1.npz").write_bytes(b"12345")
     (tmp_path / "img.TIF").write_bytes(b"abc")
     (tmp_path / "notes.txt").write_text("no")
+    (tmp_path / "notes.txt").chmod(0)  # not opened
     index = readers.imagery_index(spark, str(tmp_path))
     assert [tuple(r) for r in index.collect()] == [("p1", 5)]
     assert "content" not in index._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[-1]
@@ -85,3 +86,36 @@ def test_sections_to_nearest_later_marker(spark):
     df = spark.createDataFrame([("SAR evidence: dark Optical Evidence: green",), ("plain",)], "t string")
     got = [tuple(r) for r in df.select(*[c.alias(n) for n, c in parts.items()]).collect()]
     assert got == [("green", "dark", "", ""), ("", "", "plain", "")]
+
+
+def test_a_stopped_stream_goes_on_where_it_was(spark, tmp_path):
+    """Two starts on one folder: sets begun before the stop are completed, nothing is doubled or lost."""
+    schema, source, folder = "k string, band string, payload string, pos bigint", tmp_path / "in", str(tmp_path / "out")
+
+    def arrive(n, rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(source / f"b{n}"))
+
+    def start():
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(source))
+        gathered = gather.gather_stream(stream, "k", "band", "payload", "pos", ["A", "B"])
+        return sorted((r["key"], r["items"]["A"], r["items"]["B"]) for r in run_to_parquet(gathered, "t", folder).collect())
+
+    arrive(0, [("p", "A", "a1", 1), ("q", "A", "x", 2), ("q", "B", "y", 3)])
+    assert start() == [("q", "x", "y")]
+    arrive(1, [("p", "B", "b1", 4), ("q", "B", "late", 5)])
+    assert start() == [("p", "a1", "b1"), ("q", "x", "y")]
+    assert start() == [("p", "a1", "b1"), ("q", "x", "y")]
+
+
+def test_batches_of_an_empty_source_give_empty_tables(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    stream = spark.readStream.schema("k int").parquet(str(tmp_path / "none"))
+    out = run_batches(stream, "t", lambda b: {"even": b.filter("k % 2 = 0"), "odd": b.filter("k % 2 = 1")})
+    assert {n: (df.columns, df.count()) for n, df in out.items()} == {"even": (["k"], 0), "odd": (["k"], 0)}
+
+
+def test_a_set_whose_size_the_rows_tell(spark, tmp_path):
+    schema = "k string, band string, payload string, pos bigint, n int"
+    stream = write_batches(spark, tmp_path, [[("p", "A", "a", 1, 1), ("q", "A", "x", 2, 2)], [("q", "C", "y", 3, 2)]], schema)
+    got = run_to_parquet(gather.gather_stream(stream, "k", "band", "payload", "pos", "n"), "t").collect()
+    assert sorted((r["key"], r["items"]) for r in got) == [("p", {"A": "a"}), ("q", {"A": "x", "C": "y"})]
