@@ -63,25 +63,30 @@ def match_boxes(a: Column, b: Column, threshold: float = 0.5) -> Column:
 
     def serve(acc: Column, box: Column) -> Column:
         def better(best: Column, j: Column) -> Column:
-            score = box_iou(box, F.get(b, j))
-            return F.when(
-                ~F.array_contains(acc["used"], j) & (score > best["v"]), F.struct(j.alias("j"), score.alias("v"))
-            ).otherwise(best)
+            def choose(score: Column) -> Column:
+                free = ~F.array_contains(acc["used"], j) & (score > best["v"])
+                return F.when(free, F.struct(j.alias("j"), score.alias("v"))).otherwise(best)
+
+            return F.get(F.transform(F.array(box_iou(box, F.get(b, j))), choose), F.lit(0))
 
         best = F.aggregate(
             F.sequence(F.lit(0), F.size(b) - 1), F.struct(F.lit(-1).alias("j"), F.lit(0.0).alias("v")), better
         )
-        same = F.lower(F.coalesce(box["label"], F.lit(""))) == F.lower(
-            F.coalesce(F.get(b, best["j"])["label"], F.lit(""))
-        )
-        return F.when(
-            (best["j"] >= 0) & (best["v"] >= threshold),
-            F.struct(
-                F.array_append(acc["used"], best["j"]).alias("used"),
-                F.array_append(acc["ious"], best["v"]).alias("ious"),
-                F.array_append(acc["labels"], same).alias("labels"),
-            ).cast(state),
-        ).otherwise(acc)
+
+        def take(best: Column) -> Column:
+            same = F.lower(F.coalesce(box["label"], F.lit(""))) == F.lower(
+                F.coalesce(F.get(b, best["j"])["label"], F.lit(""))
+            )
+            return F.when(
+                (best["j"] >= 0) & (best["v"] >= threshold),
+                F.struct(
+                    F.array_append(acc["used"], best["j"]).alias("used"),
+                    F.array_append(acc["ious"], best["v"]).alias("ious"),
+                    F.array_append(acc["labels"], same).alias("labels"),
+                ).cast(state),
+            ).otherwise(acc)
+
+        return F.get(F.transform(F.array(best), take), F.lit(0))  # names the fold over b, so it runs once
 
     na, nb = F.size(a), F.size(b)
     folded = F.when((na > 0) & (nb > 0), F.aggregate(a, start, serve)).otherwise(start)

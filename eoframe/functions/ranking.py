@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eoframe.session import materialize
+
 _H, _B, _K = "__hash", "__bucket", "__key"
 
 
@@ -99,6 +101,9 @@ def keep_first_by(
     per_stratum = small.join(cuts, _null_safe(small, cuts, by, "__c_"), "left").select(
         *[F.col(c).alias("__s_" + c) for c in by], "limit", "__at"
     )
+    # Written, the table has a known size: Spark broadcasts it below its threshold, so the wide rows are not moved by stratum;
+    # beyond that it joins them by sort and splits hot strata.
+    per_stratum = materialize(per_stratum, "cuts")
     out = df.join(per_stratum, _null_safe(df, per_stratum, by, "__s_"))
     keep = F.col("limit").isNull() | (
         (F.col("limit") > 0) & (F.col("__at").isNull() | (_position(seed, key) <= F.col("__at")))

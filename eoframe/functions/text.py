@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eoframe import fixed_values as fv
@@ -149,18 +149,21 @@ def parse_bbox(text: Column) -> Column:
 
 def modality_sections(text: Column) -> dict[str, Column]:
     """Split a sectioned response; each section ends at the nearest later marker, no section means all is fused."""
-    upper = F.upper(text)
+    def places(upper: Column) -> Column:
+        """Where each marker begins, all behind the starts of the others found in the same upper-case text."""
+        found = []
+        for name, marker in fv.RESPONSE_SECTIONS:
+            start = F.locate(marker, upper) + len(marker)
+            ends = [F.nullif(_locate_from(upper, other, start), F.lit(0)) for n, other in fv.RESPONSE_SECTIONS if n != name]
+            found.append(F.struct(start.alias("start"), F.least(*ends).alias("end")).alias(name))
+        return F.struct(*found)
+
+    at = F.get(F.transform(F.array(F.upper(text)), places), F.lit(0))
     raw: dict[str, Column] = {}
     for name, marker in fv.RESPONSE_SECTIONS:
-        at = F.locate(marker, upper)
-        start = at + len(marker)
-        ends = [
-            F.when(_locate_from(upper, other, start) > 0, _locate_from(upper, other, start))
-            for other_name, other in fv.RESPONSE_SECTIONS
-            if other_name != name
-        ]
-        end = F.coalesce(F.least(*ends), F.length(text) + 1)
-        raw[name] = F.when(at > 0, strip(F.substring(text, start, end - start))).otherwise(F.lit(""))
+        start = at[name]["start"]
+        end = F.coalesce(at[name]["end"], F.length(text) + 1)
+        raw[name] = F.when(start > len(marker), strip(F.substring(text, start, end - start))).otherwise(F.lit(""))
     nothing = reduce(lambda a, b: a & b, [c == "" for c in raw.values()])
     raw["fused"] = F.when(nothing, text).otherwise(raw["fused"])
     return raw
@@ -177,14 +180,25 @@ def _intent_keyword_task(q: Column) -> Column:
     return out.otherwise(F.lit(None).cast("string"))
 
 
-def classify_intent(query: Column, scope: Column, hint: Column) -> tuple[Column, Column]:
-    """(task, reject reason). Scope shortcuts and defaults skip the strict scope check; hints and keywords do not."""
-    q = strip(F.regexp_replace(F.lower(query), r"\s+", " "))
-    keyword = _intent_keyword_task(q)
-    shortcut = (
-        F.when((scope == "bi_temporal") & contains_any(q, fv.BI_TEMPORAL_WORDS), F.lit("change"))
-        .when((scope == "cross_modal") | contains_any(q, fv.CROSS_MODAL_WORDS), F.lit("fusion"))
-    )
+def intent_facts(df: DataFrame, query: Column, scope: Column) -> DataFrame:
+    """Adds what the verdict reads: the task that keywords name and the one that the scope names. The query is normalised in
+    a lambda over a one-element array, which names it for every word test, so it is computed once a row."""
+    normal = strip(F.regexp_replace(F.lower(query), r"\s+", " "))
+
+    def facts(q: Column) -> Column:
+        shortcut = (
+            F.when((scope == "bi_temporal") & contains_any(q, fv.BI_TEMPORAL_WORDS), F.lit("change"))
+            .when((scope == "cross_modal") | contains_any(q, fv.CROSS_MODAL_WORDS), F.lit("fusion"))
+        )
+        return F.struct(_intent_keyword_task(q).alias("keyword"), shortcut.alias("shortcut"))
+
+    return df.withColumn("__intent", F.get(F.transform(F.array(normal), facts), F.lit(0)))
+
+
+def intent_verdict(scope: Column, hint: Column) -> tuple[Column, Column]:
+    """(task, reject reason) over the facts. Scope shortcuts and defaults skip the strict scope check; hints and keywords do
+    not."""
+    keyword, shortcut = F.col("__intent.keyword"), F.col("__intent.shortcut")
     default = F.when(scope == "bi_temporal", F.lit("change")).otherwise(F.lit("vqa"))
     checked = F.coalesce(hint, F.when(shortcut.isNull(), keyword))
     task = F.coalesce(hint, shortcut, keyword, default)

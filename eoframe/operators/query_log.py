@@ -11,8 +11,12 @@ from eoframe.functions import text
 
 def classify_queries(df: DataFrame) -> DataFrame:
     """Adds task and reject_reason over (query, input_scope, task_hint)."""
-    task, reason = text.classify_intent(F.col("query"), F.col("input_scope"), F.col("task_hint"))
-    return df.withColumns({"task": task, "reject_reason": reason})
+    staged = text.intent_facts(df, F.col("query"), F.col("input_scope"))
+    task, reason = text.intent_verdict(F.col("input_scope"), F.col("task_hint"))
+    return staged.withColumn("__v", F.struct(task.alias("task"), reason.alias("reason"))).select(
+        *[c for c in df.columns if c not in ("task", "reject_reason")],
+        F.col("__v.task").alias("task"), F.col("__v.reason").alias("reject_reason"),
+    )
 
 
 def classify_queries_regex(df: DataFrame) -> DataFrame:
@@ -50,7 +54,7 @@ def registry_table(df: DataFrame) -> DataFrame:
 
 def check_scope(df: DataFrame, registry: DataFrame) -> DataFrame:
     """Task/scope compatibility with reasons. A task without a registry row has no scope requirement."""
-    need = F.broadcast(registry.select("task", F.col("required_scope").alias("__need")))  # one row per tool
+    need = registry.select("task", F.col("required_scope").alias("__need"))
     joined = df.join(need, "task", "left")
     reasons = F.array_compact(
         F.array(
@@ -67,9 +71,7 @@ def check_scope(df: DataFrame, registry: DataFrame) -> DataFrame:
 def dispatch(queries: DataFrame, registry: DataFrame) -> DataFrame:
     """Tool and final status of classified queries. A classifier refusal or an invalid input is ``rejected``; a missing
     tool or a registry scope violation is ``failed``."""
-    tools = F.broadcast(
-        registry.filter("enabled").select("task", "endpoint", F.col("required_scope").alias("__need"))
-    )
+    tools = registry.filter("enabled").select("task", "endpoint", F.col("required_scope").alias("__need"))
     joined = queries.join(tools, "task", "left")
     refused = F.col("reject_reason").isNotNull()
     no_tool, wrong = F.col("endpoint").isNull(), F.col("__need") != F.col("input_scope")
@@ -116,16 +118,19 @@ def trace_events(dispatched: DataFrame) -> DataFrame:
     )
 
 
+EVENT_FIELDS = ["block", "message", "endpoint", "details"]
+
+
 def assemble_traces(events: DataFrame) -> DataFrame:
     """Ordered path, final status and first failing state of each request.
 
-    Steps are first reduced to one per (request, state, status): at most a few dozen combinations exist, so the array
-    built afterwards is bounded however often a request repeats an event.
+    Every event counts, repeated ones too; those that carry further fields (``EVENT_FIELDS``) keep them. The trace of a
+    request is the result itself, so its events meet in one row.
     """
-    steps = events.groupBy("request_id", "state", "status").agg(F.min("step").alias("step"))
+    fields = ["step", "state", "status", *[c for c in EVENT_FIELDS if c in events.columns]]
     failed = F.when(F.col("status") == "failed", F.col("step"))
-    traces = steps.groupBy("request_id").agg(
-        F.sort_array(F.collect_list(F.struct("step", "state", "status"))).alias("events"),
+    traces = events.groupBy("request_id").agg(
+        F.sort_array(F.collect_list(F.struct(*fields))).alias("events"),
         F.count(F.lit(1)).alias("n_events"),
         F.min_by("state", failed).alias("failing_state"),
         F.max_by("state", "step").alias("last_state"),

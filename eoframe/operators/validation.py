@@ -215,6 +215,8 @@ def validate_images(images: DataFrame, cfg: ValidationConfig | None = None, stri
 
 def assemble_pairs(pairs: DataFrame, images: DataFrame) -> DataFrame:
     """Attach both image structs, put the optical one first in optical/radar pairs, compute overlap, name bad pairs."""
+    code, name = text.normalize_crs(F.col("crs"), F.col("epsg"))  # once per image, not per pair
+    images = images.withColumns({"crs_code": code, "crs_name": name})
     record = images.select("image_id", F.struct(*images.columns).alias("img"))
     first = record.select(F.col("image_id").alias("first_id"), F.col("img").alias("first"))
     second = record.select(F.col("image_id").alias("second_id"), F.col("img").alias("second"))
@@ -243,9 +245,8 @@ def assemble_pairs(pairs: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def crs_compatibility(a: Column, b: Column) -> tuple[Column, Column]:
-    """(compatible, reason) of two image structs."""
-    e1, n1 = text.normalize_crs(a["crs"], a["epsg"])
-    e2, n2 = text.normalize_crs(b["crs"], b["epsg"])
+    """(compatible, reason) of two image structs as ``assemble_pairs`` makes them."""
+    e1, n1, e2, n2 = a["crs_code"], a["crs_name"], b["crs_code"], b["crs_name"]
     both_codes, both_names = e1.isNotNull() & e2.isNotNull(), n1.isNotNull() & n2.isNotNull()
     ok = F.when(both_codes, e1 == e2).when(both_names, n1 == n2).otherwise(F.lit(False))
     reason = (

@@ -136,7 +136,7 @@ _IY = "(least(a_by_, b_by_) + 100 - greatest(a_by_, b_by_))"
 _AREA = f"(case when {_IX} <= 0 or {_IY} <= 0 then cast(0 as double) else {_IX} * {_IY} end)"
 _PAIRS = f"""{_IMG}, joined as (select p.pair_id, p.pair_type, p.pair_type = 'OPTICAL_SAR' and f.modality = 'sar'
       and s.modality in ('optical', 'multispectral', 'hyperspectral') as swap, {", ".join(f"f.{c} as f_{c}, s.{c} as s_{c}" for c in _SIDES)}
-      from image_pairs p join img f on p.first_id = f.image_id join img s on p.second_id = s.image_id),
+      from image_pairs p left join img f on p.first_id = f.image_id left join img s on p.second_id = s.image_id),
     ab0 as (select pair_id, pair_type, {", ".join(f"case when swap then s_{c} else f_{c} end as a_{c}, case when swap then f_{c} else s_{c} end as b_{c}" for c in _SIDES)} from joined),
     ab as (select *, case when a_bx is not null and b_bx is not null then {_AREA} / nullif(20000 - {_AREA}, 0) end as iou, {_AREA} / 10000 as small_overlap,
       {crs_code_sql('a_crs', 'a_epsg')} as a_code, {crs_code_sql('b_crs', 'b_epsg')} as b_code,
@@ -146,12 +146,10 @@ _PAIRS = f"""{_IMG}, joined as (select p.pair_id, p.pair_type, p.pair_type = 'OP
 
 
 def _pairs(t: Tables) -> DataFrame:
-    return va.assemble_pairs(t.image_pairs, t.image_records).filter(
-        F.col("primary").isNotNull() & F.col("secondary").isNotNull()
-    )
+    return va.assemble_pairs(t.image_pairs, t.image_records)
 
 
-@query(oracle(f"""with {_PAIRS} select pair_id, a_image_id as primary_id, b_image_id as secondary_id, case when modality_ok then 'ok' else 'modality mismatch' end as verdict,
+@query(oracle(f"""with {_PAIRS} select pair_id, a_image_id as primary_id, b_image_id as secondary_id, case when a_image_id is null or b_image_id is null then 'missing image' when modality_ok then 'ok' else 'modality mismatch' end as verdict,
     coalesce(round(iou, 6), -1) as overlap from ab""", "images", "image_pairs"))
 def pair_assembly(t: Tables) -> DataFrame:
     return _pairs(t).select(

@@ -11,6 +11,7 @@ from eoframe.operators import annotations as an
 from eoframe.operators import metadata as md
 from eoframe.operators import pairs as tp
 from eoframe.operators import pixels as px
+from eoframe.operators import query_log as ql
 from eoframe.operators import radar
 from eoframe.operators import reconcile as rc
 from eoframe.operators import validation as va
@@ -47,10 +48,11 @@ def test_format(spark, raw, want):
 
 
 def test_substring_rules_match_inside_words(spark):
-    task, reason = text.classify_intent(F.lit("Is it necessary?"), F.lit("single"), lit(None))
-    assert tuple(one(spark, task, reason)) == ("fusion", None)  # "sar" in "necessary"; the shortcut skips the scope check
-    task, reason = text.classify_intent(F.lit("combine them"), F.lit("single"), lit(None))
-    assert one(spark, reason.alias("r"))["r"] is not None  # keyword hits do check the scope
+    asked = spark.createDataFrame([("Is it necessary?", "single", None), ("combine them", "single", None)], "query string, input_scope string, task_hint string")
+    found = {r["query"]: r for r in ql.classify_queries(asked).collect()}
+    sar, combine = found["Is it necessary?"], found["combine them"]
+    assert (sar["task"], sar["reject_reason"]) == ("fusion", None)  # "sar" in "necessary"; the shortcut skips the scope check
+    assert combine["reject_reason"] is not None  # keyword hits do check the scope
     assert one(spark, text.normalize_yes_no(F.lit("unknown")).alias("a"))["a"] == "no"
     assert one(spark, radar.classify_sar(F.array(F.lit("Which season"))).alias("c"))["c"] == ["water"]
     assert one(spark, text.audit_type(F.lit("answer with a word, not a number")).alias("t"))["t"] == "binary_yn"
