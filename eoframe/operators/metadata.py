@@ -177,9 +177,19 @@ def parse_ontology_json(df: DataFrame, col: str = "payload") -> DataFrame:
     )
 
 
+def _nested(columns: str) -> str:
+    """Top-level "name type" columns as the fields of a struct."""
+    out, depth = [], 0
+    for part in columns.split(", "):
+        out.append(part.replace(" ", ":", 1) if depth == 0 else part)
+        depth += part.count("<") - part.count(">")
+    return ",".join(out)
+
+
 def parse_pair_json(df: DataFrame, col: str = "payload") -> DataFrame:
-    """Pair records in either key style: primary/secondary with a type, or optical/sar, which is always OPTICAL_SAR."""
-    image = "struct<image_id:string,modality:string>"
+    """Pair records in either key style: primary/secondary with a type, or optical/sar, which is always OPTICAL_SAR. The
+    nested images keep every field of an image record, numbers as text."""
+    image = f"struct<{_nested(IMAGE_JSON_SCHEMA.removesuffix(', _bad string'))}>"
     schema = (
         f"pair_id string, pair_type string, primary_image {image}, secondary_image {image}, optical_image {image}, "
         f"sar_image {image}, co_registration_status string, spatial_overlap_iou double, temporal_baseline_days double, "
@@ -226,9 +236,11 @@ def parse_provenance_json(df: DataFrame, col: str = "payload") -> DataFrame:
     for name in ("input_hash", "model_name", "task"):
         missing = missing.when(f(name).isNull(), F.lit(f"missing {name}"))
     return staged.select(
-        *df.columns, *[f(n).alias(n) for n in ("input_hash", "model_name", "task", "input_id", "source_filename")],
+        *df.columns,
+        *[f(n).alias(n) for n in ("input_hash", "model_name", "task", "timestamp", "input_id", "source_filename")],
         *[F.coalesce(f(n), F.lit(d)).alias(n) for n, d in defaults.items()],
         F.coalesce(f("lineage_parent_ids"), F.array().cast("array<string>")).alias("lineage_parent_ids"),
+        F.coalesce(f("execution_parameters"), F.create_map().cast("map<string,string>")).alias("execution_parameters"),
         F.when(F.col("__r").isNull() | f("_bad").isNotNull(), F.lit("malformed json"))
         .otherwise(missing.otherwise(F.lit(None))).alias("reject_reason"),
     )

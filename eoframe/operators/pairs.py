@@ -9,6 +9,7 @@ from eoframe.functions import text
 from eoframe.functions.ranking import count_of, keep_first
 from eoframe.operators.annotations import label_sets
 from eoframe.operators.sampling import split_rows
+from eoframe.session import materialize
 
 BLOCK = 2000
 
@@ -31,23 +32,13 @@ def temporal_pairs(patches: DataFrame, carry: list[str] | None = None, block: in
     """Every pair of patches of one location with different dates, earlier first. ``carry`` columns come along as
     ``<name>_t1`` and ``<name>_t2``.
 
-    The result itself holds all those pairs, so the work is spread, not cut: a location with more than ``block``
-    patches is laid out as a grid of blocks. Its patches get a row block and a column block by hash, each is repeated
-    along the other axis, and every grid cell joins about block x block patches in its own task. Ordinary locations
-    have one cell and are neither repeated nor counted twice.
+    The result itself holds all those pairs, so the work is spread, not cut: every location is laid out as a grid of
+    ceil(patches / block) rows and columns. A patch gets a row and a column by hash, is repeated along the other axis, and
+    every cell of the grid joins about block x block patches in its own task; ``block`` is the size of a task.
     """
     carry = carry or []
     cols = ["patch_id", "location_key", "date_str", "date", "tile", "pixel_x", "pixel_y", *carry]
-    base = patches.select(*cols)
-    hot = (
-        base.groupBy("location_key").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > block)
-        .select("location_key", F.ceil(F.col("__n") / block).cast("int").alias("__cells"))
-    )
-    laid = base.join(hot, "location_key", "left").withColumn("__cells", F.coalesce("__cells", F.lit(1)))
-    own = F.pmod(F.hash("patch_id"), F.col("__cells"))
-    others = F.explode(F.sequence(F.lit(0), F.col("__cells") - 1))
-    left = laid.withColumn("__row", own).withColumn("__col", others)
-    right = laid.withColumn("__col", own).withColumn("__row", others)
+    left, right = _grid(patches.select(*cols), "patch_id", block)
 
     def side(df: DataFrame, n: str) -> DataFrame:
         keep = ["patch_id", "date_str", "date", "tile", "pixel_x", "pixel_y", *carry]
@@ -64,6 +55,18 @@ def temporal_pairs(patches: DataFrame, carry: list[str] | None = None, block: in
     )
 
 
+def _grid(rows: DataFrame, key: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a self join on location_key, with the grid cell (__row, __col) as a further join key."""
+    cells = rows.groupBy("location_key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__cells"))
+    laid = rows.join(cells, "location_key")
+    own = F.pmod(F.hash(key), F.col("__cells"))
+    others = F.explode(F.sequence(F.lit(0), F.col("__cells") - 1))
+    return (
+        laid.withColumn("__row", own).withColumn("__col", others).drop("__cells"),
+        laid.withColumn("__col", own).withColumn("__row", others).drop("__cells"),
+    )
+
+
 def gap_days(first: Column, second: Column) -> Column:
     """Days between two dates, 0 when one is unknown."""
     return F.coalesce(F.abs(F.datediff(second, first)), F.lit(0))
@@ -105,11 +108,11 @@ def changed_pairs(ann: DataFrame, cached: DataFrame) -> DataFrame:
     )
 
 
-def balance_self_pairs(pairs: DataFrame, patches: DataFrame, seed: int) -> DataFrame:
-    """Self pairs (a patch with itself, similarity 1) until unchanged pairs match changed ones or patches run out."""
-    tally = pairs.agg(
-        F.greatest(F.lit(0), F.sum(F.when(F.col("change_label") == 1, 1).otherwise(-1))).alias("n")
-    ).scalar()
+def balance_self_pairs(ann: DataFrame, patches: DataFrame, seed: int) -> DataFrame:
+    """Self pairs (a patch with itself, similarity 1) until unchanged pairs match changed ones or patches run out. The real
+    pairs are counted by weight, not listed."""
+    changed = F.when(F.col("change_type") == "no_change", -F.col("weight")).otherwise(F.col("weight"))
+    tally = materialize(pair_weights(ann, patches).agg(F.greatest(F.lit(0), F.sum(changed)).alias("n")), "pair-tally").scalar()
     chosen = keep_first(parse_patch_id(patches.select("patch_id")), seed, "patch_id", F.coalesce(tally, F.lit(0)))
     none = F.array().cast("array<string>")
     return chosen.select(
@@ -124,28 +127,29 @@ def balance_self_pairs(pairs: DataFrame, patches: DataFrame, seed: int) -> DataF
 
 def build_temporal_pairs(ann: DataFrame, cached: DataFrame, seed: int) -> DataFrame:
     """Real pairs, balancing self pairs, then the 70/15/15 split of pairs."""
-    from eoframe.session import materialize
-
     patches = cached.select("patch_id").distinct()
-    # The pair table is read five times below (balance, two cuts, output): write it once to the shared folder.
-    real = materialize(changed_pairs(ann, patches), "temporal-pairs")
-    everything = real.unionByName(balance_self_pairs(real, patches, seed)).withColumn(
-        "pair_key", F.concat_ws("|", "patch_t1", "patch_t2")
-    )
+    # The pair table is read by two cuts and the output: write it once to the shared folder.
+    everything = changed_pairs(ann, patches).unionByName(balance_self_pairs(ann, patches, seed))
+    everything = materialize(everything, "temporal-pairs").withColumn("pair_key", F.concat_ws("|", "patch_t1", "patch_t2"))
     return split_rows(everything, seed, "pair_key", [("train", 0.7), ("val", 0.15)], "test")
 
 
-def pair_weights(ann: DataFrame, cached: DataFrame) -> DataFrame:
+def pair_weights(ann: DataFrame, cached: DataFrame, block: int = BLOCK) -> DataFrame:
     """Change type and gap of all pairs with their number, without listing the pairs.
 
     Patches of one location, date and label set behave alike, so they are counted first and the counts are paired:
-    what is joined is bounded by dates and label sets of a location, however many patches share them.
+    what is joined is bounded by dates and label sets of a location, however many patches share them, and a location with
+    many of them is laid out as a grid.
     """
     located = with_labels(parse_patch_id(cached.select("patch_id").distinct()), ann)
-    cells = located.groupBy("location_key", "date_str", "date", "labels").agg(F.count(F.lit(1)).alias("n"))
-    a = cells.select("location_key", *[F.col(c).alias(f"{c}_1") for c in ("date_str", "date", "labels", "n")])
-    b = cells.select("location_key", *[F.col(c).alias(f"{c}_2") for c in ("date_str", "date", "labels", "n")])
-    pairs = a.join(b, "location_key").filter(F.col("date_str_1") < F.col("date_str_2"))
+    counted = located.groupBy("location_key", "date_str", "date", "labels").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.withColumn("cell_key", F.concat_ws("|", F.col("date_str"), F.to_json("labels")))
+    sides = _grid(counted, "cell_key", block)
+    a, b = [
+        s.select("location_key", "__row", "__col", *[F.col(c).alias(f"{c}_{i}") for c in ("date_str", "date", "labels", "n")])
+        for i, s in enumerate(sides, 1)
+    ]
+    pairs = a.join(b, ["location_key", "__row", "__col"]).filter(F.col("date_str_1") < F.col("date_str_2"))
     return pairs.select(
         label_change(F.col("labels_1"), F.col("labels_2"))["change_type"].alias("change_type"),
         gap_days(F.col("date_1"), F.col("date_2")).alias("gap"),

@@ -79,10 +79,12 @@ def split_by_patch(
 ) -> DataFrame:
     """train/val by patch, so no patch is on both sides: val gets max(floor, int(n*frac)) patches.
 
-    ``universe`` (patch_id) ranks the selected patches instead of those having entries. The label is a function of the
-    patch id and one cut, so entries are labelled without a join.
+    ``universe`` (patch_id) ranks the selected patches instead of those having entries, and entries of other patches are
+    left out. The label is a function of the patch id and one cut, so entries are labelled without a join.
     """
     ids = entries.select(F.col("image").alias("patch_id")) if universe is None else universe.select("patch_id")
+    if universe is not None:
+        entries = entries.join(ids, F.col("image") == F.col("patch_id"), "left_semi")
     ids = ids.distinct()
     size = F.greatest(F.lit(floor), F.floor(count_of(ids) * F.lit(frac)).cast("bigint"))
     cut = cut_at(ids, seed, "patch_id", size)
@@ -107,8 +109,9 @@ def split_rows(
 
 def split_groups(df: DataFrame, seed: int, by: str, fractions: list[tuple[str, float]], rest: str) -> DataFrame:
     """Leak-free option: split the distinct groups and give every row its group's side."""
-    sides = split_rows(df.select(by).distinct(), seed, by, fractions, rest)
-    return df.join(sides, by)
+    other = f"__{by}"
+    sides = split_rows(df.select(F.col(by).alias(other)).distinct(), seed, other, fractions, rest)
+    return df.join(sides, F.col(by).eqNullSafe(F.col(other))).drop(other)
 
 
 def cap_balanced(df: DataFrame, col: str, total: int, seed: int, key: str) -> DataFrame:

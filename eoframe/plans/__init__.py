@@ -1,4 +1,4 @@
 """Registered queries: each pairs a Spark plan with the SQL that must give the same rows."""
 
-from eoframe.plans import catalog, generate, imagery, metadata, pixels, quality, requests, sampling, scoring, streams  # noqa: F401
+from eoframe.plans import catalog, generate, imagery, metadata, pixels, quality, requests, roundtrips, sampling, scoring, streams  # noqa: F401
 from eoframe.plans.registry import REGISTRY  # noqa: F401

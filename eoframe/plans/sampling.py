@@ -251,8 +251,7 @@ _SELF = f"""need as (select greatest(0, sum(case when n_changes > 0 then 1 else
 @query(oracle(f"""with {_LOC}, {_SETS}, {_CHANGE}, {_SELF} select patch_id as patch_t1, patch_id as patch_t2, d as date_t1,
     'no_change_self' as change_type, location_key from selfs""", "cached", "ann"))
 def self_pair_balance(t: Tables) -> DataFrame:
-    pairs = tp.changed_pairs(t.ann, t.cached)
-    return tp.balance_self_pairs(pairs, t.cached, SEED).select(
+    return tp.balance_self_pairs(t.ann, t.cached, SEED).select(
         "patch_t1", "patch_t2", "date_t1", "change_type", "location_key"
     )
 

@@ -151,7 +151,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                else case when l_partkey % 2 = 0 then 'forest' else 'Urban Area' end end as prediction,
              case when l_suppkey % 23 = 0 then 'none' else 'text' end as pred_kind,
              1 - l_tax as confidence, l_partkey as pk, l_suppkey as sk
-           from lineitem where l_linenumber <= 3""",
+           from lineitem""",
     ),
     "detections": (
         ["ann"],
@@ -168,6 +168,9 @@ def _spark_text(sql: str) -> str:
     )
 
 
+SPREAD = ("lineitem", "orders", "events", "part", "conversations")
+
+
 class Tables:
     """Lazy access to the base tables of one scale-factor folder and to the views above."""
 
@@ -175,12 +178,9 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir.rstrip("/")
 
     def base(self, name: str) -> DataFrame:
-        """One base table. The test tables are single files with a single row group, which only one task can read: the
-        large ones are spread over the cores. Tables of many files are read as they are."""
+        """One base table. The facts are dealt over the cores, since one file with one row group is read by one task."""
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        spread = name in ("lineitem", "orders", "events") and len(df.inputFiles()) < cores
-        return df.repartition(cores) if spread else df
+        return df.repartition(self.spark.sparkContext.defaultParallelism) if name in SPREAD else df
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in VIEWS:

@@ -12,7 +12,7 @@ INSTRUCTION_SCHEMA = (
     "output string, type string, category string"
 )
 MANIFEST_SCHEMA = "patch_id string, s1_name string"
-MAX_HASHED_BYTES = 2_000_000_000  # a binary value cannot exceed 2 GB
+HASHED_AT_ONCE = 1 << 22
 
 
 def read_annotations(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
@@ -25,10 +25,10 @@ def read_instructions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(INSTRUCTION_SCHEMA).json(path)
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+def read_manifest(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """A manifest written as one JSON array. Such a file cannot be split, so it is one task per file; large manifests
-    should be written as JSON lines or parquet."""
-    return spark.read.schema(MANIFEST_SCHEMA).option("multiLine", "true").json(path)
+    should be JSON lines (``lines``), as ``write_manifest`` makes them."""
+    return spark.read.schema(MANIFEST_SCHEMA).option("multiLine", str(not lines).lower()).json(path)
 
 
 def imagery_index(spark: SparkSession, path: str, glob: str = "*.npz") -> DataFrame:
@@ -43,14 +43,32 @@ def imagery_index(spark: SparkSession, path: str, glob: str = "*.npz") -> DataFr
 
 
 def raster_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Accepted raster files with size and SHA-256. Files above the binary limit are listed with a null hash."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    ext = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
-    accepted = files.filter(ext.isin(fv.RASTER_EXTENSIONS))
-    small = accepted.filter(F.col("length") <= MAX_HASHED_BYTES).select(
-        "path", ext.alias("extension"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256")
-    )
-    large = accepted.filter(F.col("length") > MAX_HASHED_BYTES).select(
-        "path", ext.alias("extension"), F.col("length").alias("size_bytes"), F.lit(None).cast("string").alias("sha256")
+    """Accepted raster files with size and SHA-256. Files of other types are not opened; an accepted one of any size is read in
+    chunks by the task that hashes it."""
+    letters = {e.lower().lstrip(".") for e in fv.RASTER_EXTENSIONS}
+    names = ",".join(sorted("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in letters))
+    files = (
+        spark.read.format("binaryFile").option("pathGlobFilter", f"*.{{{names}}}").option("recursiveFileLookup", "true").load(path)
     )
-    return small.union(large)
+    ext = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
+    listed = files.select("path", ext.alias("extension"), F.col("length").alias("size_bytes"))
+    listed = listed.repartition(spark.sparkContext.defaultParallelism, "path")
+
+    def hash_files(batches):
+        import hashlib
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for batch in batches:
+            digests = []
+            for uri in batch.column(0).to_pylist():
+                store, name = fs.FileSystem.from_uri(uri)
+                digest = hashlib.sha256()
+                with store.open_input_stream(name) as stream:
+                    while chunk := stream.read(HASHED_AT_ONCE):
+                        digest.update(chunk)
+                digests.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], names=[*batch.schema.names, "sha256"])
+
+    return listed.mapInArrow(hash_files, "path string, extension string, size_bytes long, sha256 string")

@@ -12,7 +12,9 @@ SOME = [
     "training_set_build", "annotation_profile", "label_sets", "patch_sample_v2", "row_split_70_15_15", "label_changes",
     "complete_patches", "radar_questions", "evaluation_report", "answer_audit", "crs_normalisation", "image_validation",
     "pair_validation", "box_matching", "disagreement", "final_confidence", "execution_traces", "band_stretch",
-    "spectral_indices", "service_health",
+    "spectral_indices", "service_health", "instruction_files", "manifest_files", "report_files", "patch_store_files",
+    "query_intent", "execution_traces", "pair_assembly", "crs_compatibility", "reconcile_stream", "gather_stream", "type_caps",
+    "balanced_cap", "change_gap_stats", "self_pair_balance", "temporal_dataset", "normalised_predictions", "modality_sections",
 ]
 
 

@@ -108,3 +108,52 @@ def test_member_paths_too_short_or_other_files(spark):
     paths = spark.createDataFrame([("a/b/c.tif",), ("r\\t\\patch\\patch_B02.tif",), ("r/t/p/readme.txt",)], "path string")
     got = [tuple(r) for r in paths.select(text.member_patch(F.col("path"), "parent"), text.member_band(F.col("path"), "parent")).collect()]
     assert [g[0] for g in got] == ["", "patch", ""] and got[1][1] == "B02"
+
+
+def test_null_groups_keep_their_rows(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else f"g{i % 7}") for i in range(40)], "id int, g string")
+    out = sm.split_groups(df, 3, "g", [("train", 0.7), ("val", 0.15)], "test")
+    assert out.columns == ["id", "g", "split"] and out.count() == 40
+    assert out.groupBy("g").agg(F.countDistinct("split").alias("n")).agg(F.max("n")).first()[0] == 1
+
+
+def test_entries_outside_the_universe_are_left_out(spark):
+    entries = spark.range(100).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("image"))
+    universe = spark.range(45).select(F.concat(F.lit("p"), F.col("id").cast("string")).alias("patch_id"))
+    out = sm.split_by_patch(entries, 0.2, 3, universe=universe)
+    assert {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {"val": 9, "train": 36}
+
+
+def test_repeated_trace_events_all_count(spark):
+    from eoframe.operators import query_log as ql
+
+    events = spark.createDataFrame([("r", 1, "CLASSIFY", "started", "m1"), ("r", 2, "CLASSIFY", "started", "m2"), ("r", 3, "CLASSIFY", "failed", "m3")],
+                                   "request_id string, step int, state string, status string, message string")
+    trace = ql.assemble_traces(events).first()
+    assert trace["n_events"] == 3 and [e["message"] for e in trace["events"]] == ["m1", "m2", "m3"]
+    assert (trace["failing_state"], trace["final_status"]) == ("CLASSIFY", "rejected")
+
+
+def test_draws_do_not_move_wide_rows_by_stratum(spark, keyed, tmp_path):
+    keyed.withColumn("wide", F.repeat(F.lit("x"), 50)).write.parquet(str(tmp_path / "t"))
+    wide = spark.read.parquet(str(tmp_path / "t"))
+    limits = spark.createDataFrame([("hot", 100), (None, 5)], "stratum string, limit bigint")
+    plan = keep_first_by(wide, 7, "key", ["stratum"], limits)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_pair_weights_on_a_grid_equal_listed_pairs(spark):
+    ids = [f"S2A_M_2017{1 + i % 12:02d}{1 + i // 12:02d}T000000_N_R_T1_0_0" for i in range(40)]
+    patches = spark.createDataFrame([(p,) for p in ids], "patch_id string")
+    ann = spark.createDataFrame([(p, "land cover", ["a", "b", "a, b"][i % 3]) for i, p in enumerate(ids)], "patch_id string, category string, output string")
+    listed = tp.temporal_pairs(tp.parse_patch_id(patches)).count()
+    assert tp.pair_weights(ann.withColumn("type", F.lit("binary")).withColumn("input", F.col("output")), patches, block=5).agg(F.sum("weight")).first()[0] == listed
+
+
+def test_pair_records_keep_every_image_field(spark):
+    from eoframe.operators import metadata as md
+
+    image = '{"image_id": "i", "width": 5, "crs": "EPSG:4326", "bands": [{"band_index": 1, "band_id": "VV"}], "extra_metadata": {"a": "b"}}'
+    rows = spark.createDataFrame([(f'{{"pair_id": "p", "primary_image": {image}, "secondary_image": {image}}}',)], "payload string")
+    r = md.parse_pair_json(rows).first()
+    assert (r["primary"]["width"], r["primary"]["crs"], r["secondary"]["bands"][0]["band_id"], r["primary"]["extra_metadata"]) == ("5", "EPSG:4326", "VV", {"a": "b"})
