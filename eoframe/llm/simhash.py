@@ -238,7 +238,8 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = STRICT) -> DataFrame:
     roots = connected(anchor_links(nodes, sketch))
     placed = nodes.select("node", "first").join(roots, "node", "left")
     placed = materialize(placed.select("node", "first", F.coalesce("root", "node").alias("root")), "fingerprint-roots")
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written, so that the join below has two plain tables and Spark can split a component with very many fingerprints
+    least = materialize(placed.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
     named = materialize(placed.join(least, "root").select("node", "component_id"), "fingerprint-components")
     return rows.join(named, "node").select("doc_id", *names, "component_id")
 
