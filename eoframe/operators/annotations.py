@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from eoframe import fixed_values as fv
 from eoframe.functions import text
+from eoframe.session import materialize
 
 ENTRY_TYPE = "array<struct<from:string,value:string>>"
 
@@ -90,26 +91,31 @@ def class_statistics(labels: DataFrame) -> DataFrame:
 
 
 def profile_annotations(ann: DataFrame) -> DataFrame:
-    """metric, key, value: totals, distinct training patches, rows by type and by category (nulls not counted)."""
-    train = filter_split(ann, "train")
-    totals = ann.agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("split") == "train").alias("train")
-    ).select(
-        F.explode(F.create_map(F.lit("total_annotations"), "total", F.lit("train_annotations"), "train")).alias(
-            "metric", "value"
-        )
-    )
-    patches = train.agg(F.countDistinct("patch_id").alias("value")).withColumn("metric", F.lit("unique_patches"))
+    """metric, key, value: totals, distinct training patches, rows by type and by category (nulls not counted).
+
+    The annotations are read twice: once counted by (split, type, category), from which all counts are taken, and once for the
+    distinct patches.
+    """
+    counted = ann.groupBy("split", "type", "category").agg(F.count(F.lit(1)).alias("n"))
+    counted = materialize(counted, "profile")
+    train = F.col("split") == "train"
+    patches = filter_split(ann, "train").agg(F.countDistinct("patch_id").alias("value"))
+
+    def row(df: DataFrame, metric: str, key: Column) -> DataFrame:
+        return df.select(F.lit(metric).alias("metric"), key.alias("key"), F.coalesce("value", F.lit(0)).cast("long").alias("value"))
 
     def by(col: str) -> DataFrame:
-        counted = train.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("key"))
-        return counted.agg(F.count(F.lit(1)).alias("value")).withColumn("metric", F.lit(f"rows_by_{col}"))
+        rows = counted.filter(train & F.col(col).isNotNull()).groupBy(F.col(col).alias("key"))
+        return row(rows.agg(F.sum("n").alias("value")), f"rows_by_{col}", F.col("key"))
 
+    every = F.lit("all")
     return reduce(
         lambda a, b: a.unionByName(b),
-        [f.select("metric", "key", "value") for f in (
-            totals.withColumn("key", F.lit("all")), patches.withColumn("key", F.lit("all")), by("type"), by("category"),
-        )],
+        [
+            row(counted.agg(F.sum("n").alias("value")), "total_annotations", every),
+            row(counted.filter(train).agg(F.sum("n").alias("value")), "train_annotations", every),
+            row(patches, "unique_patches", every), by("type"), by("category"),
+        ],
     )
 
 
