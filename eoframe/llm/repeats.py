@@ -116,7 +116,9 @@ class Run:
         self.rests = np.frombuffer(rests, "<u2").tolist()
         self.heads = np.frombuffer(heads, "<u2").tolist()
         self.counts = np.frombuffer(counts, "<u4").tolist()
-        self.tails, self.places = tails, np.frombuffer(places, PLACE)
+        self.tails = pa.decompress(tails, sum(self.rests), "zstd", asbytes=True)
+        n_places = sum(self.counts) * PLACE.itemsize
+        self.places = np.frombuffer(pa.decompress(places, n_places, "zstd", asbytes=True), PLACE)
         self.i, self.at, self.place, self.string = -1, 0, 0, b""
 
     @staticmethod
@@ -133,7 +135,8 @@ class Run:
             places.append(place)
             before = string
         small = [np.array(x, "<u2").tobytes() for x in (shared, rests, heads)]
-        return (*small, np.array(counts, "<u4").tobytes(), b"".join(tails), np.concatenate(places).tobytes())
+        large = [pa.compress(x, "zstd", asbytes=True) for x in (b"".join(tails), np.concatenate(places).tobytes())]
+        return (*small, np.array(counts, "<u4").tobytes(), *large)
 
     def step(self) -> bool:
         """Goes to the next suffix; ``lcp`` is then what it shares with the one before."""
