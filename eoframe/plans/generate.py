@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eoframe import fixed_values as fv
-from eoframe.functions.ranking import hash_index  # noqa: F401
 from eoframe.operators import annotations as an
 from eoframe.operators import radar
 from eoframe.plans.registry import contains_sql, query, sql_text
