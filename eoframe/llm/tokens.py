@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import regex
 
 #: Words remembered by one worker process; beyond it only the first ones stay, which are the most frequent ones.
-WORDS_HELD, WORDS_KEPT = 1_000_000, 250_000
-#: Below this character, text is in composed form already and lower-cases character by character.
-PLAIN_BELOW = "\u0250"
+WORDS_HELD, WORDS_KEPT = 1_000_000, 800_000
+#: Pieces of words remembered, whose ids are Python objects.
+PIECES_HELD = 30_000
+#: Beside these printable characters of Latin script, text may not be in composed form or lower-case character by character.
+UNKNOWN = re.compile("[^\n!-~\u00a1-\u00ac\u00ae-\u024f]")
 
 
 class _Index(dict):
@@ -63,38 +66,51 @@ class WordEncoder:
         self.n_ids = self.n_words = 0
 
     def _forget(self) -> None:
-        kept = _Index()
-        for word in islice(self.index, WORDS_KEPT):
-            kept[word] = len(kept)
-        self.index, self.n_words = kept, len(kept)
-        self.n_ids = int(self.starts[len(kept) - 1] + self.lengths[len(kept) - 1])
+        while len(self.index) > WORDS_KEPT:
+            self.index.popitem()  # the newest
+        self.n_words = len(self.index)
+        self.n_ids = int(self.starts[self.n_words - 1] + self.lengths[self.n_words - 1])
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), dtype=a.dtype)])
 
-    def _word_ids(self, word: str) -> list[int]:
-        if not self.direct or max(word) >= PLAIN_BELOW or not word.isprintable() or any(s in word for s in self.special):
-            return self.tokenizer.encode(word, add_special_tokens=False).ids
-        lower = word.lower()
-        if lower.isalpha():
-            return self._piece_ids(lower)
-        return [i for piece in self.pieces.findall(lower) for i in self._piece_ids(piece)]
-
-    def _piece_ids(self, piece: str) -> tuple[int, ...]:
-        ids = self.known.get(piece)
-        if ids is None:
-            shown = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
-            ids = self.known[piece] = tuple([t.id for t in self.model.tokenize(shown)])
-        return ids
+    def _plain_ids(self, words: list[str]) -> list[list[int] | tuple[int, ...]]:
+        """Ids of words that the shortcut knows, lower-cased already."""
+        known, pieces, model, out = self.known, self.pieces.findall, self.model.tokenize, []
+        for word in words:
+            ids = known.get(word)
+            if ids is None:
+                if word.isalpha():
+                    shown = word if word.isascii() else word.encode("utf-8").decode("latin-1").translate(self.letters)
+                    ids = known[word] = tuple([t.id for t in model(shown)])
+                else:
+                    ids = []
+                    for piece in pieces(word):
+                        own = known.get(piece)
+                        if own is None:
+                            shown = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(self.letters)
+                            own = known[piece] = tuple([t.id for t in model(shown)])
+                        ids.extend(own)
+            out.append(ids)
+        return out
+
+    def _word_ids(self, word: str) -> list[int] | tuple[int, ...]:
+        if self.direct and not UNKNOWN.search(word) and not any(s in word for s in self.special):
+            return self._plain_ids([word.lower()])[0]
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
 
     def _learn(self) -> None:
         words, self.index.pending = self.index.pending, []
-        if len(self.known) > WORDS_HELD // 2:
+        if len(self.known) > PIECES_HELD:
             self.known.clear()
         if not words:
             return
-        parts = [self._word_ids(w.decode("utf-8")) for w in words]
+        text = b"\n".join(words).decode("utf-8")  # words hold no line ends
+        if self.direct and not UNKNOWN.search(text) and not any(s in text for s in self.special):
+            parts = self._plain_ids(text.lower().split("\n"))
+        else:
+            parts = [self._word_ids(w) for w in text.split("\n")]
         counts = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         n = int(counts.sum())
         self.ids = self._room(self.ids, self.n_ids + n)
