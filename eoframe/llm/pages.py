@@ -21,8 +21,8 @@ SUPPORT, MAIN_SHARE = 0.5, 0.6
 
 #: Elements whose content is never main text, by the meaning HTML gives them.
 NEVER = frozenset(
-    "aside button canvas datalist dialog fieldset figcaption footer form head header iframe input label legend math menu nav "
-    "noframes noscript object option output script search select style svg template textarea title".split()
+    "aside canvas datalist dialog fieldset footer form head header iframe input label legend menu nav noframes noscript option "
+    "script search select style svg template textarea title".split()
 )
 RAW = frozenset("script style title textarea noscript iframe noframes template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,7 +33,9 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup "
     "time tt u var wbr".split()
 )
-#: Roles, and words in class and id names, that mark what is not main text.
+#: Elements that no class, id or role takes out; ``MAINS`` also keep what they stand in from being marked.
+WHOLE, MAINS = frozenset("html body main article".split()), frozenset(["main", "article"])
+#: Roles, and whole class and id names (without a number at the end), that mark what is not main text.
 ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 MARKS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer "
@@ -46,7 +48,7 @@ _PIECE = re.compile(
     r"|</?([A-Za-z][^\s/<>]*+)([^<>]*+)>", re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.IGNORECASE)
-_NAME = re.compile(r"[A-Za-z]+")
+_NUMBER = re.compile(r"[-_]?\d+$")
 _DIGITS = re.compile(r"\d+")
 
 
@@ -70,6 +72,8 @@ class _Open:
     tag: str
     path: str | None  # None: not a container
     hidden: bool
+    mark: int | None  # number of a marked element
+    main: int | None  # number of a main or an article
 
 
 @dataclass
@@ -81,16 +85,26 @@ class Page:
 def parse(source: str | None) -> Page:
     """Blocks of text outside of what is never main text, and how often each container path opens.
 
-    Tolerant: end tags without a start are ignored, elements left open end with their parent, a lone "<" is text.
+    Tolerant: end tags without a start are ignored, elements left open end with their parent, a lone "<" is text. A marked
+    element is left out with all it holds, unless the page's main element (the first main with text, or else the article with
+    most text) stands in it, or the page has no text outside of marked elements.
     """
     text, page = source or "", Page()
     stack: list[_Open] = []
     hidden, path, run = 0, "", []
+    blocks: list[tuple[Block, frozenset[int]]] = []
+    opened: list[tuple[str, frozenset[int]]] = []
+    mains: list[tuple[bool, frozenset[int]]] = []  # is it a main, and the marked elements that it stands in
+    lengths: dict[int, int] = {}
+    marks = numbers = frozenset()
+    marked = 0
 
     def flush() -> None:
         words = " ".join(entities.unescape("".join(run)).split())
         if words:
-            page.blocks.append(Block(path, words))
+            blocks.append((Block(path, words), marks))
+            for n in numbers:
+                lengths[n] = lengths.get(n, 0) + len(words)
         run.clear()
 
     at = 0
@@ -109,13 +123,15 @@ def parse(source: str | None) -> Page:
                 flush()
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == tag), None)
             if depth is not None:
-                if tag in INLINE and any(o.path is not None or o.hidden for o in stack[depth + 1 :]):
+                if tag in INLINE and any(o.path is not None or o.hidden or o.mark is not None for o in stack[depth + 1 :]):
                     continue
-                flush_needed = any(o.path is not None for o in stack[depth:])
+                flush_needed = any(o.path is not None or o.mark is not None for o in stack[depth:])
                 if flush_needed:
                     flush()
                 hidden -= sum(o.hidden for o in stack[depth:])
                 del stack[depth:]
+                marks = frozenset(o.mark for o in stack if o.mark is not None)
+                numbers = frozenset(o.main for o in stack if o.main is not None)
                 path = next((o.path for o in reversed(stack) if o.path is not None), "")
             continue
         if tag in RAW:
@@ -128,23 +144,41 @@ def parse(source: str | None) -> Page:
         if tag in VOID:
             continue
         told = {k.lower(): v.strip("\"'") for k, v in _ATTRIBUTE.findall(m[2] or m[4] or "")}
-        names = {n.lower() for k in ("class", "id") for n in _NAME.findall(told.get(k, ""))}
-        hide = tag in NEVER or told.get("role", "").lower() in ROLES or not names.isdisjoint(MARKS)
-        if hide:
+        names = {_NUMBER.sub("", n.lower()) for k in ("class", "id") for n in told.get(k, "").split()}
+        hide = tag in NEVER or (tag not in WHOLE and told.get("role", "").lower() in ROLES)
+        mark = main = None
+        if not hidden and not hide:
+            if tag in MAINS:
+                main = len(mains)
+                mains.append((tag == "main", marks))
+                numbers |= {main}
+            if tag not in WHOLE and not names.isdisjoint(MARKS):
+                mark, marked = marked, marked + 1
+        if hide or mark is not None:
             flush()
+        if mark is not None:
+            marks |= {mark}
         own = None
         if tag in CONTAINERS and not hidden and not hide:
             flush()
             label = ".".join([tag, *sorted(_DIGITS.sub("#", told.get("class", "")).split())])
             path = own = f"{path}/{label}"
-            page.containers[path] = page.containers.get(path, 0) + 1
+            opened.append((path, marks))
         elif tag == "p":  # a paragraph ends the one before it
             last = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].tag == "p" or stack[i].path is not None), None)
-            if last is not None and stack[last].tag == "p" and not any(o.hidden for o in stack[last:]):
+            if last is not None and stack[last].tag == "p" and not any(o.hidden or o.mark is not None for o in stack[last:]):
                 del stack[last:]
-        stack.append(_Open(tag, own, hide))
+        stack.append(_Open(tag, own, hide, mark, main))
         hidden += hide
     flush()
+    best = max(lengths, key=lambda n: (mains[n][0], -n if mains[n][0] else lengths[n], -n), default=None)
+    free = mains[best][1] if best is not None else frozenset()
+    if all(m - free for _, m in blocks):
+        free = frozenset(range(marked))
+    page.blocks = [b for b, m in blocks if m <= free]
+    for p, m in opened:
+        if m <= free:
+            page.containers[p] = page.containers.get(p, 0) + 1
     return page
 
 

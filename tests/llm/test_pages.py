@@ -30,6 +30,23 @@ def test_one_page(spark, html, text):
     assert texts(spark, [(1, "http://h.example/x", html)]) == {1: text}
 
 
+@pytest.mark.parametrize("html, text", [
+    ("<body class='no-sidebar'><p>text</p></body>", "text"),
+    ("<div class='content-sidebar-wrap'><p>text</p></div>", "text"),
+    ("<article class='post share-enabled'><p>text</p></article>", "text"),
+    ("<article class='post related'><p>text</p></article>", "text"),
+    ("<article><section id='related-work'><p>text</p></section></article>", "text"),
+    ("<div class='widget'><main><p>text</p></main><p>more</p></div>", "text more"),
+    ("<div class='comments'><article>short</article></div><article><p>main article</p><p class=share>s</p></article>", "main article"),
+    ("<div class='social'><p>all there is</p></div>", "all there is"),
+    ("<p>one <span class='ad'>buy</span> two</p>", "one two"),
+    ("<article><p>a</p><figure><img><figcaption>cap</figcaption></figure><math><mi>x</mi></math><object>o</object>"
+     "<p><output>5</output><button>b</button></p></article>", "a cap x o 5 b"),
+])
+def test_names_of_elements_that_hold_the_main_text(spark, html, text):
+    assert texts(spark, [(1, "http://h.example/x", html)]) == {1: text}
+
+
 def test_template_of_a_host_finds_the_main_slot_without_names(spark):
     rows = [(i, f"http://h.example/{i}", f"<div class=a1><p>links {i} here</p></div><div class=b2><div class=c3>"
              f"<p>{'story ' * (20 + i)}</p></div></div><div class=d4>bottom</div>") for i in range(6)]
