@@ -1,4 +1,4 @@
-"""Main text of web pages by template deduction from the pages of a host."""
+"""Main text of web pages: what does not repeat over the pages of a host."""
 
 from __future__ import annotations
 
@@ -9,14 +9,15 @@ from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from eoframe.llm.tables import materialize
 
 #: A host with fewer pages takes the template of all pages.
 PAGES_FOR_TEMPLATE = 3
-#: Share of a host's pages that must hold a template token, and share of the text that the main slot must hold.
+#: Share of a host's pages that must hold what repeats, and share of the text that the main slot must hold.
 SUPPORT, MAIN_SHARE = 0.5, 0.6
 
 #: Elements whose content is never main text, by the meaning HTML gives them.
@@ -186,85 +187,111 @@ def within(path: str, container: str) -> bool:
     return path == container or path.startswith(container + "/")
 
 
-def main_text(page: Page, templates: list[str | None]) -> str:
-    """The blocks in the main slot of the first template whose slot the page has; all blocks if it has none of them."""
-    slot = next((t for t in templates if t and t in page.containers), "")
-    return " ".join(b.text for b in page.blocks if within(b.path, slot))
+def _letters(text: str) -> str | None:
+    """The text without its figures, if it has any beside letters."""
+    plain = _DIGITS.sub("#", text)
+    return plain if plain != text and any(c.isalpha() for c in plain) else None
 
 
-def _mix(page_id: int | None, count: int) -> int:
-    x = ((page_id or 0) * 0x9E3779B97F4A7C15 + count * 0xBF58476D1CE4E5B9 + 1) & (2**64 - 1)
-    x = ((x ^ (x >> 31)) * 0x94D049BB133111EB) & (2**64 - 1)
-    x ^= x >> 29
+def _token(text: str) -> int:
+    x = xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
     return x - 2**64 if x >> 63 else x
 
 
-def template_slots(pages: DataFrame) -> DataFrame:
-    """One row per host and one for all pages (host null): pages and slot, the path of the template's main slot ("": all).
+@dataclass(frozen=True)
+class Template:
+    """The main slot and the tokens (hashes of path and text, and of path and text without figures) that repeat."""
 
-    A container's occurrence vector is its count on each page. Containers of a host with one vector form an equivalence class.
-    A class is valid if its containers occur once on each page that has them and those are at least ``SUPPORT`` of the host's
-    pages; classes nest as their paths do, and with the page itself make the template. The main slot is the deepest container of
-    the template that holds ``MAIN_SHARE`` of the text. Vectors are compared by a digest that is summed up before rows meet, so a
-    host with many pages is no long task.
+    slot: str | None
+    repeated: frozenset[int]
+
+
+def main_text(page: Page, own: Template | None, general: Template | None) -> str:
+    """The blocks whose text is not the template's: that of the host, or of all pages if the host has none. Outside of the main
+    slot, a text that differs in figures only is the template's too."""
+    told = own or general
+    if told is None or not told.repeated:
+        return " ".join(b.text for b in page.blocks)
+    slot = next((t.slot for t in (own, general) if t and t.slot and t.slot in page.containers), "")
+    kept = []
+    for b in page.blocks:
+        if _token(f"{b.path}\n{b.text}") in told.repeated:
+            continue
+        plain = None if within(b.path, slot) else _letters(b.text)
+        if plain is None or _token(f"{b.path}\n#{plain}") not in told.repeated:
+            kept.append(b.text)
+    return " ".join(kept)
+
+
+def templates(pages: DataFrame) -> DataFrame:
+    """One row per host and one for all pages (host null): pages (different ones), slot and repeated.
+
+    Tokens are the opened containers and the blocks of text. Pages of a host with the same blocks count once. A container or a
+    text belongs to the template if it occurs equally often on each page that has it and those are at least ``SUPPORT`` of the
+    host's pages and ``PAGES_FOR_TEMPLATE``; a host has fewer than 1 / ``SUPPORT`` times as many of them as a page has tokens.
+    slot is the deepest container of the template, once on a page, that holds ``MAIN_SHARE`` of the text ("": the page). Counts
+    are summed up before rows meet, so a host with many pages is no long task.
     """
-    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("pages", pa.int64()), ("least", pa.int64()),
-                        ("most", pa.int64()), ("vector", pa.int64()), ("chars", pa.int64())])
+    schema = pa.schema([("host", pa.string()), ("path", pa.string()), ("token", pa.int64()), ("page", pa.int64()),
+                        ("times", pa.int64()), ("chars", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held: dict[tuple[str | None, str], list[int]] = {}
-            for page_id, url, source in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+            rows: list[tuple] = []
+            for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 page, host = parse(source), host_of(url)
+                digest = _token("\n".join(b.text for b in page.blocks))
                 chars: dict[str, int] = dict.fromkeys(page.containers, 0)
                 chars[""] = 0
+                found: dict[int, int] = {}
                 for b in page.blocks:
+                    plain = _letters(b.text)
+                    for t in (b.text, None if plain is None else "#" + plain):
+                        if t is not None:
+                            token = _token(f"{b.path}\n{t}")
+                            found[token] = found.get(token, 0) + 1
                     p = b.path
                     while True:
                         chars[p] += len(b.text)
                         if not p:
                             break
                         p = p.rpartition("/")[0]
-                for p, n in chars.items():
-                    times = page.containers.get(p, 1)
-                    for h in (host, None):
-                        row = held.setdefault((h, p), [0, times, times, 0, 0])
-                        row[0] += 1
-                        row[1], row[2] = min(row[1], times), max(row[2], times)
-                        row[3] ^= _mix(page_id, times)
-                        row[4] += n
-            columns = list(zip(*[(h, p, *row) for (h, p), row in held.items()])) or [[] for _ in schema]
+                rows += [(host, p, 0, digest, page.containers.get(p, 1), n) for p, n in chars.items()]
+                rows += [(host, None, t, digest, n, 0) for t, n in found.items()]
+            columns = list(zip(*rows)) or [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    told = "host string, path string, pages long, least long, most long, vector long, chars long"
-    tokens = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
-    tokens = tokens.mapInArrow(count, told).groupBy("host", "path").agg(
-        F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("most").alias("most"),
-        F.bit_xor("vector").alias("vector"), F.sum("chars").alias("chars"),
+    told = "host string, path string, token long, page long, times long, chars long"
+    tokens = pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(count, told)
+    once = tokens.groupBy("host", "path", "token", "page").agg(F.max("times").alias("times"), F.max("chars").alias("chars"))
+    hosts = once.groupBy("host", "path", "token").agg(
+        F.count(F.lit(1)).alias("pages"), F.min("times").alias("least"), F.max("times").alias("most"), F.sum("chars").alias("chars")
     )
-    host = Window.partitionBy("host")
-    whole = tokens.select(
-        "*", F.max(F.when(F.col("path") == "", F.col("pages"))).over(host).alias("of"),
-        F.max(F.when(F.col("path") == "", F.col("chars"))).over(host).alias("text"),
+    hosts = materialize(hosts, "page-tokens")
+    every = hosts.groupBy("path", "token").agg(
+        F.sum("pages").alias("pages"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("chars").alias("chars")
     )
-    classes = whole.groupBy("host", "vector", "pages", "least", "most", "of", "text").agg(
-        F.collect_list(F.struct("path", "chars")).alias("members")
+    both = hosts.unionByName(every.withColumn("host", F.lit(None).cast("string")))
+    page = both.where(F.col("path") == "").select(F.col("host").alias("_h"), F.col("pages").alias("of"), F.col("chars").alias("text"))
+    both = both.where((F.col("pages") >= PAGES_FOR_TEMPLATE) & (F.col("least") == F.col("most")))
+    both = both.join(page, F.col("host").eqNullSafe(F.col("_h"))).where(F.col("pages") >= SUPPORT * F.col("of"))
+    main = (F.col("most") == 1) & (F.col("chars") >= MAIN_SHARE * F.col("text"))
+    depth = F.when(main, F.struct(F.size(F.split("path", "/")), F.col("chars"), F.col("path")))
+    return both.groupBy("host").agg(
+        F.max("of").alias("pages"), F.max(depth)["path"].alias("slot"),
+        F.collect_list(F.when(F.col("path").isNull(), F.col("token"))).alias("repeated"),
     )
-    valid = classes.where((F.col("least") == 1) & (F.col("most") == 1) & (F.col("pages") >= SUPPORT * F.col("of")))
-    slots = valid.select("host", "of", "text", F.explode("members").alias("m")).where(F.col("m.chars") >= MAIN_SHARE * F.col("text"))
-    depth = F.struct(F.size(F.split("m.path", "/")), F.col("m.chars"), F.col("m.path"))
-    return slots.groupBy("host").agg(F.max("of").alias("pages"), F.max_by("m.path", depth).alias("slot"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text (the main text, empty if none) of every page.
 
-    Null html is empty; a page without a host shares the template of pages without one; rows that repeat stay as they are. A page
-    that lacks its host's main slot takes that of all pages, or else all text outside of what is never main text.
+    Null html is empty; a page without a host shares the template of pages without one; rows that repeat stay as they are. A host
+    with fewer than ``PAGES_FOR_TEMPLATE`` different pages takes the template of all pages.
     """
-    slots = materialize(template_slots(pages), "page-templates")
-    every = slots.where(F.col("host").isNull()).first()
-    general = every["slot"] if every else ""
+    found = materialize(templates(pages), "page-templates")
+    every = found.where(F.col("host").isNull()).first()
+    general = Template(every["slot"], frozenset(every["repeated"])) if every else None
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string()), ("host", pa.string())])
 
     def add_host(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,13 +301,16 @@ def extract(pages: DataFrame) -> DataFrame:
 
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     rows = rows.mapInArrow(add_host, "page_id long, url string, html string, host string")
-    own = slots.where(F.col("host").isNotNull() & (F.col("pages") >= PAGES_FOR_TEMPLATE)).select("host", "slot")
-    joined = rows.join(own, "host", "left").select("page_id", "url", "html", "slot")
+    own = found.where(F.col("host").isNotNull()).select("host", "slot", "repeated")
+    joined = rows.join(own, "host", "left").select("page_id", "url", "html", "slot", "repeated")
     out = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(parse(h), [s, general]) for h, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = []
+            for source, slot, repeated in zip(*[batch.column(i).to_pylist() for i in (2, 3, 4)]):
+                told = None if repeated is None else Template(slot, frozenset(repeated))
+                texts.append(main_text(parse(source), told, general))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], schema=out)
 
     return joined.mapInArrow(cut, "page_id long, url string, text string")

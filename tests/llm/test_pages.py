@@ -53,6 +53,23 @@ def test_template_of_a_host_finds_the_main_slot_without_names(spark):
     assert texts(spark, rows) == {i: ("story " * (20 + i)).strip() for i in range(6)}
 
 
+def test_all_slots_of_a_host_stay(spark):
+    def page(i):
+        return (f"<div class=top>Our site</div><article><h1>Title {'abcdef'[i]}</h1><div class=lead><p>lead {'uvwxyz'[i]}</p></div>"
+                f"<div class=body><p>{'story ' * (20 + i)}</p></div><div class=more>{'mnopqr'[i]} end {i}</div></article>")
+
+    rows = [(i, f"http://h.example/{i}", page(i)) for i in range(6)]
+    assert texts(spark, rows) == {
+        i: f"Title {'abcdef'[i]} lead {'uvwxyz'[i]} {'story ' * (20 + i)}{'mnopqr'[i]} end {i}" for i in range(6)
+    }
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    rows = [(i, f"http://h.example/{i}", "<article><p>the same story</p></article>") for i in range(5)]
+    rows += [(7, "http://h.example/7", "<article><p>another</p></article>")]
+    assert texts(spark, rows) == dict.fromkeys(range(5), "the same story") | {7: "another"}
+
+
 def test_every_row_comes_back(spark):
     rows = [(1, None, "<p>a</p>"), (1, None, "<p>a</p>"), (2, "not a url", None), (None, "http://[bad", "<p>b</p>")]
     frame = spark.createDataFrame([(i, u, h, "x") for i, u, h in rows], SCHEMA)
