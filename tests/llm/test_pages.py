@@ -64,6 +64,14 @@ def test_all_slots_of_a_host_stay(spark):
     }
 
 
+def test_a_line_that_repeats_inside_the_main_slot_goes(spark):
+    rows = [(i, f"http://h.example/{i}", f"<article><p>{'story ' * (20 + i)}</p><p>Get our letter.</p><p>{i} apples</p></article>")
+            for i in range(6)]
+    rows += [(9, "http://other.example/", "<article><p>Another letter.</p></article>")]
+    want = {i: f"{'story ' * (20 + i)}{i} apples" for i in range(6)} | {9: "Another letter."}
+    assert texts(spark, rows) == want
+
+
 def test_copies_of_a_page_are_no_template(spark):
     rows = [(i, f"http://h.example/{i}", "<article><p>the same story</p></article>") for i in range(5)]
     rows += [(7, "http://h.example/7", "<article><p>another</p></article>")]
