@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eoframe.llm.tables import free_name, materialize, unit_hash
+from eoframe.llm.tables import free_name, materialize, text_hash, unit_hash
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -94,10 +94,32 @@ def sized_documents(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The documents of the mix with all their columns, each as many times as the mix takes it. Ids must be unique."""
-    taken = mix(sized_documents(docs)).where("taken > 0")
-    other, times, copy = free_name(docs, "_id"), free_name(docs, "_times"), free_name(docs, "_copy")
-    often = taken.select(F.col("doc_id").alias(other), (F.col("taken") / F.col("size")).cast("int").alias(times))
-    joined = docs.join(often, F.col("doc_id") == F.col(other))
-    copies = joined.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy))
+    """The documents of the mix with all their columns, each as many times as the mix takes it.
+
+    A document is told by its id (which may be null) and its text; of rows that repeat both, each is taken as often as one of
+    them is in the mix.
+    """
+    other, other_digest, digest, times, turn, copy = (
+        free_name(docs, n) for n in ("_id", "_sha", "_digest", "_times", "_turn", "_copy")
+    )
+    sized = docs.select(
+        "doc_id", "source", word_count(F.col("text")).alias("size"), symbol_weight(F.col("text")).alias("weight"),
+        text_hash(F.col("text")).alias("digest"),
+    )
+    often = F.when(F.col("taken") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(F.lit(0))
+    taken = mix(sized).groupBy(F.col("doc_id").alias(other), F.col("digest").alias(other_digest), F.col("source").alias(turn)).agg(
+        F.array_sort(F.collect_list(often)).alias(times)
+    )
+    taken = materialize(taken.where(F.array_max(times) > 0), "mix-taken")
+    rows = docs.withColumn(digest, text_hash(F.col("text")))
+    same = (
+        F.col("doc_id").eqNullSafe(F.col(other)) & (F.col(digest) == F.col(other_digest))
+        & F.col("source").eqNullSafe(F.col(turn))
+    )
+    once = rows.join(taken.where(F.size(times) == 1), same).withColumn(turn, F.lit(1))
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "source")]
+    repeats = Window.partitionBy("doc_id", digest, "source").orderBy(F.xxhash64(*others) if others else F.lit(0))
+    several = rows.join(taken.where(F.size(times) > 1), same).withColumn(turn, F.row_number().over(repeats))
+    counted = once.unionByName(several).withColumn(times, F.element_at(times, F.col(turn))).where(F.col(times) > 0)
+    copies = counted.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy))
     return copies.select(*docs.columns)

@@ -8,11 +8,11 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eoframe.llm.components import connected
-from eoframe.llm.tables import free_name, materialize
+from eoframe.llm.tables import free_name, materialize, text_hash
 
 #: Groups at one anchor larger than this are compared by segments where few bits may differ.
 COMPARED_WHOLE = 1024
@@ -82,18 +82,20 @@ def fingerprint(text: str | None, sketch: Sketch = STRICT) -> list[int]:
     return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, sketch: Sketch = STRICT) -> DataFrame:
-    """doc_id and the fingerprint's words (fp0, ..., as signed longs) of every row."""
-    schema = pa.schema([("doc_id", pa.int64())] + [(n, pa.int64()) for n in sketch.names])
+def fingerprints(docs: DataFrame, sketch: Sketch = STRICT, digest: bool = False) -> DataFrame:
+    """doc_id, if wanted the text's digest, and the fingerprint's words (fp0, ..., as signed longs) of every row."""
+    own = ["doc_id", "digest"] if digest else ["doc_id"]
+    schema = pa.schema([(n, pa.int64()) for n in [*own, *sketch.names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), sketch) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
+            found = np.array([fingerprint(t.as_py(), sketch) for t in batch.column(len(own))], dtype=np.uint64).view(np.int64)
             columns = [pa.array(found[:, w]) for w in range(sketch.words)] if len(found) else [pa.array([], pa.int64())] * sketch.words
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=schema)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *columns], schema=schema)
 
-    told = ", ".join(f"{n} long" for n in ["doc_id", *sketch.names])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, told)
+    told = ", ".join(f"{n} long" for n in [*own, *sketch.names])
+    named = [F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("digest")][: len(own)]
+    return docs.select(*named, F.col("text").cast("string")).mapInArrow(run, told)
 
 
 def _syndromes(pieces: np.ndarray, length: int) -> np.ndarray:
@@ -224,6 +226,19 @@ def anchor_links(nodes: DataFrame, sketch: Sketch = STRICT) -> DataFrame:
     return replicas.repartition(parts, "key").mapInArrow(compare, "a long, b long").distinct()
 
 
+def _placed(rows: DataFrame, first: Column, sketch: Sketch) -> tuple[DataFrame, DataFrame]:
+    """``rows``: node and fingerprint. Tables of node and root, and of root and the least ``first`` of its component's rows."""
+    nodes = materialize(rows.groupBy("node", *sketch.names).agg(F.min(first).alias("first")), "fingerprint-nodes")
+    roots = connected(anchor_links(nodes, sketch))
+    placed = nodes.select("node", "first").join(roots, "node", "left")
+    placed = materialize(placed.select("node", "first", F.coalesce("root", "node").alias("root")), "fingerprint-roots")
+    return placed, placed.groupBy("root").agg(F.min("first").alias("first"))
+
+
+def _with_node(rows: DataFrame, sketch: Sketch) -> DataFrame:
+    return rows.withColumn("node", F.col("fp0") if sketch.words == 1 else F.xxhash64(*sketch.names))
+
+
 def near_duplicates(docs: DataFrame, sketch: Sketch = STRICT) -> DataFrame:
     """doc_id, the fingerprint's words and component_id (smallest doc_id reachable over links) of every row.
 
@@ -232,21 +247,23 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = STRICT) -> DataFrame:
     repeat stay as they are; an empty table gives no rows; other columns play no part.
     """
     names = sketch.names
-    rows = fingerprints(docs, sketch)
-    node = F.col("fp0") if sketch.words == 1 else F.xxhash64(*names)
-    rows = materialize(rows.withColumn("node", node), "fingerprints")
-    nodes = materialize(rows.groupBy("node", *names).agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
-    roots = connected(anchor_links(nodes, sketch))
-    placed = nodes.select("node", "first").join(roots, "node", "left")
-    placed = materialize(placed.select("node", "first", F.coalesce("root", "node").alias("root")), "fingerprint-roots")
+    rows = materialize(_with_node(fingerprints(docs, sketch), sketch), "fingerprints")
+    placed, least = _placed(rows, F.col("doc_id"), sketch)
     # written, so that the join below has two plain tables and Spark can split a component with very many fingerprints
-    least = materialize(placed.groupBy("root").agg(F.min("first").alias("component_id")), "component-ids")
+    least = materialize(least.withColumnRenamed("first", "component_id"), "component-ids")
     named = materialize(placed.join(least, "root").select("node", "component_id"), "fingerprint-components")
     return rows.join(named, "node").select("doc_id", *names, "component_id")
 
 
 def keep_one_each(docs: DataFrame, sketch: Sketch = SIMILAR) -> DataFrame:
-    """The documents with the smallest id of each component, with all their columns. Ids must be unique and not null."""
-    found, other = near_duplicates(docs, sketch), free_name(docs, "_id")
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(other))
-    return docs.join(stay, F.col("doc_id") == F.col(other), "left_semi")
+    """The documents with the smallest id of each component, with all their columns.
+
+    A document is told by its id and its text, so an id may be null (the last of its component) or stand for several texts (of
+    those in one component one stays). Rows that repeat id and text stay or go together.
+    """
+    rows = materialize(_with_node(fingerprints(docs, sketch, digest=True), sketch), "fingerprints")
+    least = _placed(rows, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest"), sketch)[1]
+    other, other_digest, digest = (free_name(docs, n) for n in ("_id", "_sha", "_digest"))
+    stay = materialize(least.select(F.col("first.doc_id").alias(other), F.col("first.digest").alias(other_digest)), "documents-kept")
+    same = F.col("doc_id").eqNullSafe(F.col(other)) & (F.col(digest) == F.col(other_digest))
+    return docs.withColumn(digest, text_hash(F.col("text"))).join(stay, same, "left_semi").select(*docs.columns)

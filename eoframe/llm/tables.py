@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eoframe.session import materialize, shared_dir
 
-__all__ = ["count_parts", "documents", "free_name", "materialize", "running_sums", "shared_dir", "table", "unit_hash"]
+__all__ = ["count_parts", "documents", "free_name", "materialize", "running_sums", "shared_dir", "table", "text_hash", "unit_hash"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,11 @@ def unit_hash(key: Column, seed: str) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("long") + F.lit(0.5)) / F.lit(float(2**48))
 
 
+def text_hash(text: Column) -> Column:
+    """Tells texts under one id apart (64 bits). A null text equals the empty one."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, or a longer one that no column of the table has."""
     taken = {c.lower() for c in df.columns}

@@ -89,3 +89,15 @@ def test_copies_in_the_mix(spark):
         times[r.doc_id] += 1
     assert times == {i: taken // n for i, n, _, _, taken in plain(rows) if taken}
     assert mixing.mixed_documents(docs(spark, [])).count() == 0
+
+
+def test_null_and_repeated_ids_in_the_mix(spark):
+    rows = [*EDGE, (1, "another text of the first id", "s0"), (None, "one more without an id", "s1"), (8, "one", "s3")]
+    mixed = mixing.mixed_documents(docs(spark, rows, CLASHES))
+    want = defaultdict(int)
+    for i, n, _, _, taken in plain(rows):
+        want[i, n] += taken // n if taken else 0
+    got = defaultdict(int)
+    for r in mixed.collect():
+        got[r.doc_id, len(re.findall(mixing.WORD, r.text or ""))] += 1
+    assert got == {k: n for k, n in want.items() if n}
