@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eoframe.llm import exact_dedup, mixing, nearest, packing, pages, quality, repeats, sharding, simhash, wavelet
+from eoframe.llm import exact_dedup, mixing, nearest, packing, pages, periods, quality, repeats, sharding, simhash, wavelet
 from eoframe.llm.tables import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,8 @@ def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register()
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(documents(spark, sf_dir), tokenizer_file())
+
+
+@register()
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.run_digests(periods.periodic_runs(documents(spark, sf_dir), plant=True))

@@ -12,7 +12,7 @@ from eoframe.llm.tables import documents, materialize, table
 
 
 def test_names():
-    assert [int(n[2:].split("_")[0]) for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
