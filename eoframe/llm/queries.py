@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eoframe.llm import exact_dedup, mixing, nearest, packing, pages, periods, quality, repeats, sharding, simhash, wavelet
+from eoframe.llm import exact_dedup, mixing, nearest, packing, pages, periods, quality, repeats, sharding, simhash, threshold
+from eoframe.llm import trie, wavelet
 from eoframe.llm.tables import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,6 +124,51 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(documents(spark, sf_dir), tokenizer_file())
 
 
+@register("""
+with v as (select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e
+    from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+  p as (select q.r as query_row, q.vec_id as query_id, c.r, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+    from v q join v c on q.r <> c.r and len(q.e) = len(c.e) where q.vec_id % 100 = 0),
+  k as (select *, row_number() over (partition by query_row order by score desc, vec_id nulls last, r) as rank from p)
+select query_id, cast(rank as int) as rank, vec_id, score from k where rank <= 10
+""")
+def op11_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold.top_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+CRC32 = """xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(cast({0} as varchar), ''), lambda ch: ord(ch)::bigint)),
+  lambda acc, b: list_reduce([xor(acc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, i: xor(y >> 1, 3988292384::bigint * (y & 1)))),
+  4294967295::bigint)"""
+
+
+@register(f"""
+with x as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+  t as (select conv_id, turn, md5(length(role) || ':' || role || text) as dg, length(text) as chars from x),
+  o as (select *, row_number() over (partition by conv_id order by turn nulls first, dg) - 1 as pos from t),
+  c as (select conv_id, conv_id - conv_id % 100 as base, {CRC32.format('conv_id')} % 6 as h from (select distinct conv_id from o)),
+  r as (select c.conv_id, 0 as part, pos, dg, chars from c join o on o.conv_id = c.base and pos < h
+    union all select c.conv_id, 1, pos, dg, chars from c join o on o.conv_id = c.conv_id and pos >= h),
+  s as (select conv_id, dg, chars, row_number() over (partition by conv_id order by part, pos) as d from r),
+  p as (select conv_id, d, chars, md5(string_agg(dg, '') over (partition by conv_id order by d)) as node from s
+    union all select conv_id, 0, 0, '' from c),
+  n as (select d, node, min(conv_id) as m, count(*) as n_convs, any_value(chars) as chars from p group by d, node),
+  a as (select n.d, n.node, n.m, n.n_convs, n.chars, p.d as up_d, p.node as up from n join p on p.conv_id = n.m and p.d <= n.d),
+  k as (select up_d as d, up as node, count(*) filter (where d = up_d + 1) as n_children,
+    sum((n_convs - 1) * chars)::bigint as saved_tokens from a group by 1, 2),
+  f as (select a.up_d as d, a.up as node, count(*) as n_leaves from a join k on k.d = a.d and k.node = a.node
+    where k.n_children = 0 group by 1, 2),
+  e as (select d, node, string_agg(cast(conv_id as varchar), ',' order by conv_id) as ids
+    from (select conv_id, d, node, row_number() over (partition by conv_id order by d desc) as last from p) where last = 1 group by 1, 2)
+select n.m as conv_id, n.d as depth, q.m as parent_conv_id, n.n_convs, k.n_children, f.n_leaves, k.saved_tokens,
+  sha256(coalesce(e.ids, '')) as ends_sha256
+from n join k on k.d = n.d and k.node = n.node join f on f.d = n.d and f.node = n.node
+left join a on a.d = n.d and a.node = n.node and a.up_d = n.d - 1 left join n q on q.d = a.up_d and q.node = a.up
+left join e on e.d = n.d and e.node = n.node
+""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 @register()
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.run_digests(periods.periodic_runs(documents(spark, sf_dir), plant=True))
