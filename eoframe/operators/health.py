@@ -1,18 +1,23 @@
 """Service-health state over a call log: the circuit rule "three failures in a row open a service for ten seconds".
 
 The rule is sequential per service, and one service may hold a third of all calls, so a service is never replayed in one
-task. Its log is cut into time chunks, and each chunk is first summarised as a *transition*: for every state a chunk can
-be entered in, the state it is left in. Closed states are few; an open service matters only through the first call after
-its pause, so open entries are ranges over the calls of one pause length, with equal outcomes merged. Composing these
-small tables in order gives every chunk's entry state, and then all chunks are replayed independently.
-
-1. (service, chunk) -> transition table          parallel
-2. service          -> entry state of each chunk over a few merged rows per chunk
-3. (service, chunk) -> decision of every call    parallel
+task. Its log is cut into chunks of so many calls, and each chunk is first summarised as a *transition*: for every state a
+chunk can be entered in, the state it is left in. Closed states are few; an open service matters only through the first call
+after its pause, so open entries are ranges over the calls of one pause length, with equal outcomes merged. Two transitions
+that follow each other compose to one of the same form, so chunks are folded as a tree of ``FAN`` children a node:
+
+1. (service, chunk)           -> transition                          parallel
+2. up:   (service, node)      -> transition of its children          parallel, a round per level
+3. down: (service, node)      -> entry state of each of its children parallel, a round per level
+4. (service, chunk)           -> decision of every call              parallel
+
+No task holds more than one chunk or ``FAN`` transitions, whatever a service's log.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -21,10 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eoframe.config import HealthConfig
+from eoframe.functions.positions import with_positions
+from eoframe.session import materialize
 
-TRANSITION = "service bigint, chunk bigint, entry int, upto_ms bigint, leave int, leave_ms bigint"
-ENTRY = "service bigint, chunk bigint, entry int, opened_ms bigint"
+TRANSITION = "service bigint, node bigint, first_ms bigint, entry int, upto_ms bigint, leave int, leave_ms bigint"
+ENTRY = "service bigint, node bigint, entry int, opened_ms bigint"
 DECISION = "service bigint, event_id bigint, ts_ms bigint, ok int, decision string, state string, transition string"
+CHUNK, FAN = 4096, 64
 
 
 def _transitions(ts: np.ndarray, ok: np.ndarray, limit: int, pause: int) -> list[tuple[int, int, int, int]]:
@@ -53,17 +61,48 @@ def _transitions(ts: np.ndarray, ok: np.ndarray, limit: int, pause: int) -> list
     return rows
 
 
-def _compose(table: pd.DataFrame, limit: int, pause: int) -> list[tuple[int, int, int]]:
-    """(chunk, entry, opened_ms) of each chunk of one service, in order."""
-    state, since, out = 0, 0, []
-    for chunk, part in table.sort_values(["chunk", "entry", "upto_ms"], kind="stable").groupby("chunk", sort=True):
-        out.append((int(chunk), state, since))
-        rows = part[part["entry"] == state]
-        if state == limit:
-            rows = rows[rows["upto_ms"] >= since + pause]
-        if len(rows):  # otherwise the pause outlasts the chunk and the service stays open
-            state, since = int(rows.iloc[0]["leave"]), int(rows.iloc[0]["leave_ms"])
-    return out
+class Transition:
+    """What a stretch of calls makes of every entry state: of 0 .. limit - 1 failures, and of open, by when the pause ends."""
+
+    def __init__(self, first_ms: int, closed: list[tuple[int, int]], opened: list[tuple[int, int, int]]):
+        self.first_ms, self.closed, self.opened = first_ms, closed, opened
+
+    @staticmethod
+    def read(part: pd.DataFrame, limit: int) -> list[Transition]:
+        """The transitions of a table, by node."""
+        out = []
+        for _, rows in part.sort_values(["node", "entry", "upto_ms"]).groupby("node", sort=True):
+            held = list(zip(rows["entry"].tolist(), rows["upto_ms"].tolist(), rows["leave"].tolist(), rows["leave_ms"].tolist()))
+            closed, opened = [r[2:] for r in held if r[0] < limit], [r[1:] for r in held if r[0] == limit]
+            out.append(Transition(int(rows["first_ms"].iloc[0]), closed, opened))
+        return out
+
+    def rows(self) -> list[tuple[int, int, int, int, int]]:
+        held = [(entry, 0, *to) for entry, to in enumerate(self.closed)] + [(len(self.closed), *row) for row in self.opened]
+        return [(self.first_ms, *row) for row in held]
+
+    def apply(self, state: int, since: int, pause: int) -> tuple[int, int]:
+        if state < len(self.closed):
+            return self.closed[state]
+        i = bisect_left(self.opened, since + pause, key=lambda row: row[0])
+        return self.opened[i][1:] if i < len(self.opened) else (state, since)  # the pause outlasts the stretch
+
+    def then(self, after: Transition, pause: int) -> Transition:
+        """Both stretches as one. A pause that outlasts the first one ends in the second; none ends later than a pause after the
+        first call, so the open entries stay as many as the calls of one pause."""
+        closed = [after.apply(*to, pause) for to in self.closed]
+        opened = [(upto, *after.apply(*to, pause)) for upto, *to in self.opened]
+        last = self.opened[-1][0] if self.opened else self.first_ms - 1
+        if last < self.first_ms + pause:
+            opened += [row for row in after.opened if row[0] > last]
+        merged: list[tuple[int, int, int]] = []
+        for row in opened:
+            if merged and merged[-1][0] >= self.first_ms + pause:
+                break
+            if merged and merged[-1][1:] == row[1:]:
+                merged.pop()
+            merged.append(row)
+        return Transition(self.first_ms, closed, merged)
 
 
 def step(state: int, since: int, ts: int, ok: bool, limit: int, pause: int) -> tuple[int, int, str, str]:
@@ -93,31 +132,67 @@ def replay(calls: pd.DataFrame, state: int, since: int, limit: int, pause: int)
     return out, state, since
 
 
-def service_health(calls: DataFrame, cfg: HealthConfig | None = None, chunk_ms: int = 3_600_000) -> DataFrame:
+def service_health(calls: DataFrame, cfg: HealthConfig | None = None, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """Decision, state and transition of every call over (service, event_id, ts_ms, ok), ordered by (ts_ms, event_id)."""
     cfg = cfg or HealthConfig()
     limit, pause = cfg.failure_threshold, cfg.recovery_ms
     log = calls.select(
-        F.col("service").cast("bigint"), F.col("event_id").cast("bigint"), F.col("ts_ms").cast("bigint"),
-        F.col("ok").cast("int"), F.floor(F.col("ts_ms") / chunk_ms).cast("bigint").alias("chunk"),
+        F.col("service").cast("bigint"), F.col("event_id").cast("bigint"), F.col("ts_ms").cast("bigint"), F.col("ok").cast("int")
     )
+    log = with_positions(log, ["ts_ms", "event_id"], ["service"])
+    log = materialize(log.withColumn("node", F.floor(F.col("pos") / chunk)).drop("pos"), "health-chunks")
 
     def summarise(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts_ms", "event_id"])
+        first = int(pdf["ts_ms"].iloc[0])
         rows = _transitions(pdf["ts_ms"].to_numpy(), pdf["ok"].to_numpy(), limit, pause)
-        return pd.DataFrame([(key[0], key[1], *r) for r in rows], columns=["service", "chunk", "entry", "upto_ms", "leave", "leave_ms"])
-
-    def compose(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = _compose(pdf, limit, pause)
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["service", "chunk", "entry", "opened_ms"])
+        return pd.DataFrame([(*key, first, *r) for r in rows], columns=_names(TRANSITION))
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts_ms", "event_id"])
         return replay(pdf, int(pdf["entry"].iloc[0]), int(pdf["opened_ms"].iloc[0]), limit, pause)[0]
 
-    table = log.groupBy("service", "chunk").applyInPandas(summarise, TRANSITION)
-    entries = table.groupBy("service").applyInPandas(compose, ENTRY)
-    return log.join(entries, ["service", "chunk"]).groupBy("service", "chunk").applyInPandas(decide, DECISION)
+    table = materialize(log.groupBy("service", "node").applyInPandas(summarise, TRANSITION), "health-transitions")
+    entries = materialize(entry_states(table, limit, pause, fan), "health-entries")
+    return log.join(entries, ["service", "node"]).groupBy("service", "node").applyInPandas(decide, DECISION)
+
+
+def _names(ddl: str) -> list[str]:
+    return [field.split()[0] for field in ddl.split(", ")]
+
+
+def under_parent(table: DataFrame, fan: int) -> DataFrame:
+    return table.withColumn("parent", F.floor(F.col("node") / fan))
+
+
+def entry_states(table: DataFrame, limit: int, pause: int, fan: int = FAN) -> DataFrame:
+    """The state in which each chunk is entered, from the chunks' transitions (numbered from 0 within a service)."""
+
+    def fold(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = reduce(lambda a, b: a.then(b, pause), Transition.read(pdf, limit))
+        return pd.DataFrame([(*key, *r) for r in whole.rows()], columns=_names(TRANSITION))
+
+    def unfold(key: tuple[Any, ...], children: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        state, out = (int(entry["entry"].iloc[0]), int(entry["opened_ms"].iloc[0])), []
+        for node, child in zip(sorted(children["node"].unique()), Transition.read(children, limit)):
+            out.append((key[0], int(node), *state))
+            state = child.apply(*state, pause)
+        return pd.DataFrame(out, columns=_names(ENTRY))
+
+    levels, last = [table], table.agg(F.max("node")).first()[0] or 0
+    while last >= fan:
+        upper = under_parent(levels[-1], fan).groupBy("service", "parent").applyInPandas(fold, TRANSITION)
+        levels.append(materialize(upper, "health-level"))
+        last //= fan
+    start = [F.lit(0).cast(t).alias(n) for n, t in (("node", "bigint"), ("entry", "int"), ("opened_ms", "bigint"))]
+    entries = levels[-1].select("service").distinct().select("service", *start)
+    for level in reversed(levels):
+        above = entries.withColumnsRenamed({"service": "e_service", "node": "e_node"})  # told apart, as both sides come from one
+        children = under_parent(level, fan).groupBy("service", "parent")
+        entries = children.cogroup(above.groupBy("e_service", "e_node")).applyInPandas(unfold, ENTRY)
+        if level is not levels[0]:
+            entries = materialize(entries, "health-entries")
+    return entries
 
 
 def health_summary(decisions: DataFrame) -> DataFrame:

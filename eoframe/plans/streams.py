@@ -43,7 +43,7 @@ _DECISIONS = HEALTH + " select event_id, decision, case when state = 3 then 'OPE
 
 @query(oracle(_DECISIONS, "calls"))
 def service_health(t: Tables) -> DataFrame:
-    return hl.service_health(t.calls, chunk_ms=600_000).select("event_id", "decision", "state", "transition")
+    return hl.service_health(t.calls).select("event_id", "decision", "state", "transition")
 
 
 @query(oracle(HEALTH + """ select service, count(*) filter (where decision = 'executed') as total_calls, count(*) filter (where decision = 'executed' and ok = 1) as total_successes,
@@ -51,7 +51,7 @@ def service_health(t: Tables) -> DataFrame:
     cast(sum(length(move) - length(replace(move, '>', ''))) as bigint) as n_transitions, case when arg_max(state, rn) = 3 then 'OPEN' else 'CLOSED' end as last_state
     from run where rn > 0 group by service""", "calls"))
 def service_health_summary(t: Tables) -> DataFrame:
-    return hl.health_summary(hl.service_health(t.calls, chunk_ms=600_000))
+    return hl.health_summary(hl.service_health(t.calls))
 
 
 @query(oracle(_DECISIONS, "calls"))
@@ -60,19 +60,35 @@ def health_stream(t: Tables) -> DataFrame:
     return run_to_parquet(health.health_stream(calls), "health").select("event_id", "decision", "state", "transition")
 
 
-@query(oracle(f"""with b as (select unnest({[*fv.PACKED_BANDS, "B09"]}) as band)
-    select o_orderkey as order_key, 10 as completed_at, string_agg(band || '=' || band || '@' || cast(o_orderkey as varchar(20)), ',' order by band) as payloads
-    from order_patches cross join b where o_orderkey % 9 <> 0 and band <> 'B09' group by o_orderkey""", "order_patches"))
+@query(oracle(f"""with m as (select o_orderkey as order_key, band, copy_no, copy_no * 6 + (ordinal * 7 + o_orderkey) % 10 + 1 + o_orderkey % 4 as pos,
+      band || '@' || cast(copy_no as varchar(2)) as payload
+    from orders cross join (select unnest({[*fv.PACKED_BANDS, "B09", "B02"]}) as band, generate_subscripts({[*fv.PACKED_BANDS, "B09", "B02"]}, 1) as i) s
+      cross join lateral (select case when i = 12 then 1 else 0 end as copy_no, case when i = 12 then 1 else i end as ordinal) c
+    where band <> 'B09' and not (band = 'B12' and o_orderkey % 9 = 0) and (copy_no = 0 or o_orderkey % 5 = 0)),
+    f as (select order_key, band, min(pos) as first_at from m group by 1, 2),
+    c as (select order_key, max(first_at) as completed_at from f group by 1 having count(*) = 10),
+    h as (select m.order_key, completed_at, band, arg_max(payload, pos) as payload from m join c on m.order_key = c.order_key
+      where pos <= completed_at group by 1, 2, 3)
+    select order_key, cast(completed_at as int) as completed_at, string_agg(band || '=' || payload, ',' order by band) as payloads
+    from h group by 1, 2"""))
 def gather_stream(t: Tables) -> DataFrame:
-    """Bands of each order's patch as a stream; B12 never arrives for some, so these are never emitted."""
+    """Bands of each order's patch as a stream, in an order of its own; B02 comes twice for some, B12 never for others, so these
+    are never emitted."""
     orders = StreamTables(t, "orders").orders
-    bands = F.array(*[F.lit(b) for b in [*fv.PACKED_BANDS, "B09"]])
-    members = orders.select("o_orderkey", F.posexplode(bands).alias("i", "band")).select(
-        F.col("o_orderkey").cast("string").alias("patch_id"), "band", (F.col("i") + 1).alias("pos"), F.concat_ws("@", "band", F.col("o_orderkey").cast("string")).alias("payload"))
-    members = members.filter(~((F.col("band") == "B12") & (F.col("patch_id").cast("bigint") % 9 == 0)))
-    done = run_to_parquet(gather.gather_stream(members, "patch_id", "band", "payload", "pos", fv.PACKED_BANDS, reemit=True), "gather")
+    names = [*fv.PACKED_BANDS, "B09", "B02"]
+    specs = F.array(*[F.struct(F.lit(b).alias("band"), F.lit(i + 1 if i < 11 else 1).alias("ordinal"), F.lit(i // 11).alias("copy_no"))
+                      for i, b in enumerate(names)])
+    key = F.col("o_orderkey")
+    members = orders.select("o_orderkey", F.explode(specs).alias("s")).select(
+        key.cast("string").alias("patch_id"), key.alias("k"), "s.*",
+        (F.col("s.copy_no") * 6 + (F.col("s.ordinal") * 7 + key) % 10 + 1 + key % 4).alias("pos"),
+        F.concat_ws("@", "s.band", F.col("s.copy_no").cast("string")).alias("payload"),
+    )
+    members = members.where(~((F.col("band") == "B12") & (F.col("k") % 9 == 0)) & ((F.col("copy_no") == 0) | (F.col("k") % 5 == 0)))
+    rule = gather.SetRule("patch_id", "band", "payload", "pos", fv.PACKED_BANDS, ttl_ms=flows.PATIENCE_MS)
+    done = gather.gather(members, rule)["sets"]
     held = F.array_sort(F.transform(F.map_entries("items"), lambda e: F.concat_ws("=", e["key"], e["value"])))
-    return done.filter(F.size("items") == 10).select(
+    return done.select(
         F.col("key").cast("bigint").alias("order_key"), F.col("completed_at").cast("int").alias("completed_at"),
         F.array_join(held, ",").alias("payloads"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +9,7 @@ from eoframe.config import ConfidenceConfig, ValidationConfig
 from eoframe.operators import query_log as ql
 from eoframe.operators import reconcile as rc
 from eoframe.operators import validation as va
-from eoframe.streaming.gather import gather_stream
+from eoframe.streaming.gather import SetRule, gather
 from eoframe.streaming.runtime import run_batches
 
 
@@ -28,33 +27,34 @@ def validate_stream(stream: DataFrame, cfg: ValidationConfig | None = None) -> d
     return run_batches(stream, "validation", sinks)
 
 
-OUTPUT_PAYLOAD = "model_name string, prediction string, pred_kind string, confidence double, position bigint"
+#: A request that some model never answers is given up after a day.
+PATIENCE_MS = 86_400_000
 
 
 def reconcile_stream(
-    outputs: DataFrame, expected: DataFrame, cfg: ConfidenceConfig | None = None, folder: str | None = None
+    outputs: DataFrame, expected: DataFrame, cfg: ConfidenceConfig | None = None, folder: str | None = None,
+    ttl_ms: int | None = PATIENCE_MS,
 ) -> DataFrame:
     """Reports and confidence of requests once every model has answered; ``expected`` (request_id, n_models) says how many.
 
-    The gather keeps one compact text per model and request; completed requests are unpacked in the batch and go through
-    the same operators as the batch job.
+    Completed requests go through the same operators as the batch job. A request that stays incomplete for ``ttl_ms`` gets none;
+    answers that come later than that after its report would begin it anew.
     """
-    packed = outputs.join(expected.select("request_id", "n_models"), "request_id").withColumn(
-        "payload", F.to_json(F.struct("model_name", "prediction", "pred_kind", "confidence", "position"))
+    answers = outputs.join(expected.select("request_id", "n_models"), "request_id").withColumn(
+        "answer", F.struct("model_name", "prediction", "pred_kind", "confidence", "position")
     )
-    complete = gather_stream(packed, "request_id", "model_name", "payload", "position", "n_models")
+    rule = SetRule("request_id", "model_name", "answer", "position", "n_models", ttl_ms=ttl_ms)
 
-    def sinks(batch: DataFrame) -> dict[str, DataFrame]:
-        rows = batch.select(F.col("key").alias("request_id"), F.explode("items").alias("model", "payload")).select(
-            "request_id", F.from_json("payload", OUTPUT_PAYLOAD).alias("o")
-        ).select("request_id", "o.*")
-        rows = rows.withColumn(
+    def sinks(sets: DataFrame) -> dict[str, DataFrame]:
+        whole = sets.where("status = 'complete'").select(F.col("key").alias("request_id"), F.explode("items").alias("model", "o"))
+        rows = whole.select("request_id", "o.*").withColumn(
             "boxes",
             F.lit(None).cast("array<struct<min_x:double,min_y:double,max_x:double,max_y:double,label:string,confidence:double>>"),
         )
         reports = rc.detect_disagreement(rows)
         means = rows.groupBy("request_id").agg(F.avg("confidence").alias("model_confidence"))
-        absent = {n: F.lit(None).cast("double") for n in ("optical_confidence", "sar_confidence", "agreement_score", "cloud_cover_percentage", "alignment_iou")}
+        numbers = ("optical_confidence", "sar_confidence", "agreement_score", "cloud_cover_percentage", "alignment_iou")
+        absent = {n: F.lit(None).cast("double") for n in numbers}
         flags = {n: F.lit(None).cast("boolean") for n in ("is_complete", "has_georeference")}
         scored = rc.aggregate_confidence(
             reports.join(means, "request_id").withColumns({
@@ -65,6 +65,4 @@ def reconcile_stream(
         )
         return {"reports": scored.select("request_id", "n_outputs", "status", "impact", "final_confidence")}
 
-    return run_batches(complete, "reconcile", sinks, folder)["reports"]
-
-
+    return gather(answers, rule, sinks, "reconcile", folder)["reports"]

@@ -1,89 +1,151 @@
-"""Stateful gather: hold the items of a key until all are there, emit the set once, forget it."""
+"""Gather: hold the items of a key until all are there, emit the set once, forget it.
+
+A batch is an ordinary table, so sets that come whole within it are completed by aggregation, whatever their number. Only what
+is left over is state: a table of held items and, where a set may not come again, of keys that are done. Each batch reads the
+state of the batch before and writes its own, so a repeated batch finds the same state, and both age out after ``ttl_ms``.
+"""
 
 from __future__ import annotations
 
-import json
+import time
+from collections.abc import Callable
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from eoframe.streaming.runtime import needs_rocksdb
 
-OUTPUT = "key string, status string, completed_at bigint, items map<string,string>"
-STATE = "held string, done boolean"
+from eoframe.session import shared_dir
+from eoframe.streaming.runtime import delete, read_written
 
+#: The place of a held item: before every item of the batch.
+HELD = -(2**63)
 
-class CompleteSet(StatefulProcessor):
-    """State of a key: the items held so far (at most as many as are wanted) and whether the set was emitted.
 
-    What is wanted are the listed items, or without a list as many different ones as the rows' ``expected`` says.
+@dataclass(frozen=True)
+class SetRule:
+    """What makes a set of a key: the listed ``items`` (others are ignored), or as many different ones as the column ``items`` says.
 
-    A repeated item replaces the held payload. After emission the key is either skipped for good (``reemit=False``, one
-    flag of state per key) or forgotten, so that a later item starts a new set (``reemit=True``; put ``skip_stored``
-    before it to drop members of stored keys without keeping state for them). With ``timeout_ms`` an incomplete key is emitted as such and dropped, which
-    the reference does not do; it keeps the state bounded.
+    Items come in ``order`` within a batch, batches in theirs; a repeated item replaces the held payload until the set is whole.
+    After that, later items of the key are skipped (``reemit=False``), or begin a new set. Held items and the keys of whole sets are
+    kept for ``ttl_ms`` at least; a key that is incomplete for longer is emitted as such and forgotten. None keeps them for good.
     """
 
-    def __init__(self, items: list[str] | None, reemit: bool = False, timeout_ms: int | None = None):
-        self.items, self.reemit, self.timeout_ms = items, reemit, timeout_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("set", STATE)
-
-    def handleInputRows(self, key, rows, timerValues):
-        kept = self.state.get()
-        held, done = (json.loads(kept[0]), bool(kept[1])) if kept else ({}, False)
-        fresh, out = not held and not done, []
-        batch = pd.concat(list(rows)).sort_values("pos", kind="stable")
-        wanted = len(self.items) if self.items is not None else int(batch["expected"].max())
-        for item, payload, pos in zip(batch["item"], batch["payload"], batch["pos"]):
-            if done and not self.reemit:
-                break
-            held[item] = payload
-            if len(held) >= wanted:
-                out.append((key[0], "complete", int(pos), held))
-                held, done = {}, not self.reemit
-        # a set that came whole within one batch leaves no state behind (and costs no write) when it may be emitted again
-        if held or done:
-            self.state.update((json.dumps(held), done))
-        elif kept:
-            self.state.clear()
-        if self.timeout_ms and fresh and held:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["key", "status", "completed_at", "items"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        kept = self.state.get()
-        held = json.loads(kept[0]) if kept else {}
-        self.state.clear()
-        if held:
-            yield pd.DataFrame([(key[0], "incomplete", -1, held)], columns=["key", "status", "completed_at", "items"])
-
-    def close(self) -> None:
-        pass
-
-
-def gather_stream(
-    members: DataFrame, key: str, item: str, payload: str, order: str, items: list[str] | str, reemit: bool = False,
-    timeout_ms: int | None = None,
-) -> DataFrame:
-    """Streaming twin of ``gather_complete``. ``items`` lists what makes a set (others are dropped before the shuffle), or names
-    the column that says how many different items the key's set has."""
-    needs_rocksdb(members.sparkSession)
-    counted = isinstance(items, str)
-    known = F.lit(True) if counted else F.col(item).isin(items)
-    listed = members.filter(known & (F.col(key) != "")).select(
-        F.col(key).alias("key"), F.col(item).alias("item"), F.col(payload).cast("string").alias("payload"),
-        F.col(order).cast("bigint").alias("pos"), (F.col(items) if counted else F.lit(None)).cast("int").alias("expected"),
+    key: str
+    item: str
+    payload: str
+    order: str
+    items: list[str] | str
+    reemit: bool = False
+    ttl_ms: int | None = None
+
+    def listed(self, members: DataFrame) -> DataFrame:
+        counted = isinstance(self.items, str)
+        known = F.lit(True) if counted else F.col(self.item).isin(self.items)
+        expected = F.col(self.items).cast("int") if counted else F.lit(len(self.items))
+        return members.where(known & (F.col(self.key) != "")).select(
+            F.col(self.key).alias("key"), F.col(self.item).alias("item"), F.col(self.payload).alias("payload"),
+            F.col(self.order).cast("bigint").alias("pos"), expected.alias("expected"),
+        )
+
+
+def whole_keys(rows: DataFrame, counted: bool) -> DataFrame:
+    """Keys of which enough different items are there, and the place of the one that completes their first set."""
+    first = rows.groupBy("key", "item").agg(F.min("pos").alias("first"), F.max("expected").alias("expected"))
+    if counted:  # more items than a set needs may be there
+        number = F.row_number().over(Window.partitionBy("key").orderBy("first", "item"))
+        return first.withColumn("n", number).where("n >= expected").groupBy("key").agg(F.min("first").alias("completed_at"))
+    sets = first.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.max("first").alias("completed_at"), F.max("expected").alias("expected")
     )
-    return listed.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=CompleteSet(None if counted else items, reemit, timeout_ms), outputStructType=OUTPUT, outputMode="Append",
-        timeMode="ProcessingTime" if timeout_ms else "None",
+    return sets.where("n = expected").select("key", "completed_at")
+
+
+def sets_of(rows: DataFrame, status: str) -> DataFrame:
+    """One row per key and ``completed_at`` with the latest payload of each item."""
+    last = rows.groupBy("key", "completed_at", "item").agg(F.max_by("payload", "pos").alias("payload"))
+    items = F.map_from_entries(F.collect_list(F.struct("item", "payload")))
+    sets = last.groupBy("key", "completed_at").agg(items.alias("items"))
+    return sets.select("key", F.lit(status).alias("status"), "completed_at", "items")
+
+
+def split_sets(rows: DataFrame, rule: SetRule, held: list[DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(whole sets, keys of these, rows left) of rows (key, item, payload, pos, expected, since). ``held`` gathers what to unpersist.
+
+    A key has one set, or with ``reemit`` as many as its rows complete one after the other; each further set of a key within one
+    batch takes one more round over what is left of such keys.
+    """
+    whole = whole_keys(rows, isinstance(rule.items, str)).persist()
+    held.append(whole)
+    sets = sets_of(rows.join(whole, "key").where("pos <= completed_at"), "complete")
+    left = rows.join(whole.select("key"), "key", "left_anti")
+    if rule.reemit:
+        later = rows.join(whole, "key").where("pos > completed_at").drop("completed_at").select(*rows.columns).persist()
+        held.append(later)
+        if not later.isEmpty():
+            more, _, rest = split_sets(later, rule, held)
+            return sets.unionByName(more), whole.select("key"), left.unionByName(rest)
+    return sets, whole.select("key"), left
+
+
+def gather(
+    members: DataFrame, rule: SetRule, sinks: Callable[[DataFrame], dict[str, DataFrame]] | None = None, purpose: str = "gather",
+    folder: str | None = None, clock: Callable[[], float] = time.time,
+) -> dict[str, DataFrame]:
+    """Runs over everything available of a stream and returns the table ``sets`` (key, status, completed_at, items) and those of
+    ``sinks``, which are computed from each batch's sets.
+
+    ``folder`` holds the checkpoint, the tables and the state; started again with it, the stream goes on where it stopped. A batch
+    that is repeated after a failure overwrites its own sub-folders, so nothing comes twice. State of batches before the last is
+    deleted. ``clock`` gives seconds.
+    """
+    spark = members.sparkSession
+    folder = folder or shared_dir(spark, purpose)
+    listed = rule.listed(members)
+    empty = spark.createDataFrame([], listed.schema).withColumn("since", F.lit(0).cast("bigint"))
+    schemas = {"sets": sets_of(empty.withColumn("completed_at", F.col("pos")), "").schema}
+    schemas |= {n: df.schema for n, df in (sinks(spark.createDataFrame([], schemas["sets"])) if sinks else {}).items()}
+    held_schema, done_schema = empty.drop("pos").schema, "key string, since bigint"
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        now = int(clock() * 1000)
+        before, own = (f"{folder}/state/batch={b}" for b in (batch_id - 1, batch_id))
+        rows = batch.withColumn("since", F.lit(now).cast("bigint"))
+        if batch_id:
+            done = spark.read.schema(done_schema).parquet(f"{before}/done")
+            held = spark.read.schema(held_schema).parquet(f"{before}/held").withColumn("pos", F.lit(HELD).cast("bigint"))
+            rows = held.unionByName(rows.join(done.select("key"), "key", "left_anti"))
+        else:
+            done = spark.createDataFrame([], done_schema)
+        cached = [rows.persist()]
+        sets, keys, left = split_sets(rows, rule, cached)
+        kept = left.groupBy("key", "item").agg(
+            F.max_by("payload", "pos").alias("payload"), F.max("expected").alias("expected"), F.min("since").alias("since")
+        )
+        if rule.ttl_ms is not None:
+            edge = now - rule.ttl_ms
+            age = kept.groupBy("key").agg(F.min("since").alias("since"))
+            old = age.where(F.col("since") <= edge).select("key")
+            expired = kept.join(old, "key").withColumns({"completed_at": F.lit(-1).cast("bigint"), "pos": F.lit(0)})
+            sets = sets.unionByName(sets_of(expired, "incomplete"))
+            kept = kept.join(old, "key", "left_anti")
+            done = done.where(F.col("since") > edge)
+        if not rule.reemit:
+            done = done.unionByName(keys.withColumn("since", F.lit(now).cast("bigint")))
+        sets.write.mode("overwrite").parquet(f"{folder}/sets/batch={batch_id}")
+        kept.write.mode("overwrite").parquet(f"{own}/held")
+        done.write.mode("overwrite").parquet(f"{own}/done")
+        made = spark.read.schema(schemas["sets"]).parquet(f"{folder}/sets/batch={batch_id}")
+        for name, df in (sinks(made) if sinks else {}).items():
+            df.write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch_id}")
+        delete(spark, f"{folder}/state/batch={batch_id - 2}")
+        for df in cached:
+            df.unpersist()
+
+    query = (
+        listed.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     )
+    query.awaitTermination()
+    return {name: read_written(spark, f"{folder}/{name}", schema) for name, schema in schemas.items()}
 
 
 def skip_stored(stream: DataFrame, store: DataFrame, key: str = "patch_id") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from eoframe.session import ROCKSDB, shared_dir
 
@@ -41,6 +42,23 @@ def run_to_parquet(stream: DataFrame, purpose: str, folder: str | None = None) -
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
+def _on_storage(spark: SparkSession, path: str) -> tuple:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def read_written(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What the batches of a stream wrote below a folder; an empty table where none did."""
+    where, storage = _on_storage(spark, path)
+    read = spark.read.schema(schema).parquet(path) if storage.exists(where) else spark.createDataFrame([], schema)
+    return read.select(*schema.names)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where, storage = _on_storage(spark, path)
+    storage.delete(where, True)
+
+
 def run_batches(
     stream: DataFrame, purpose: str, sinks: Callable[[DataFrame], dict[str, DataFrame]], folder: str | None = None
 ) -> dict[str, DataFrame]:
@@ -62,11 +80,4 @@ def run_batches(
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    jvm = spark.sparkContext._jvm
-    out = {}
-    for name, schema in schemas.items():
-        path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
-        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-        read = spark.read.schema(schema).parquet(f"{folder}/{name}") if there else spark.createDataFrame([], schema)
-        out[name] = read.select(*schema.names)
-    return out
+    return {name: read_written(spark, f"{folder}/{name}", schema) for name, schema in schemas.items()}

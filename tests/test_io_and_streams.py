@@ -2,7 +2,9 @@
 
 import hashlib
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from eoframe.functions import text
@@ -69,7 +71,7 @@ def write_batches(spark, tmp_path, batches, schema):
 def test_gather_stream_across_batches(spark, tmp_path):
     schema = "k string, band string, payload string, pos bigint"
     stream = write_batches(spark, tmp_path, [[("p", "A", "a1", 1), ("q", "A", "x", 1)], [("p", "A", "a2", 2), ("p", "B", "b1", 3), ("p", "A", "late", 4)]], schema)
-    got = run_to_parquet(gather.gather_stream(stream, "k", "band", "payload", "pos", ["A", "B"]), "t").collect()
+    got = gather.gather(stream, gather.SetRule("k", "band", "payload", "pos", ["A", "B"]))["sets"].collect()
     assert [(r["key"], r["status"], r["completed_at"], r["items"]) for r in got] == [("p", "complete", 3, {"A": "a2", "B": "b1"})]
 
 
@@ -97,8 +99,8 @@ def test_a_stopped_stream_goes_on_where_it_was(spark, tmp_path):
 
     def start():
         stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(source))
-        gathered = gather.gather_stream(stream, "k", "band", "payload", "pos", ["A", "B"])
-        return sorted((r["key"], r["items"]["A"], r["items"]["B"]) for r in run_to_parquet(gathered, "t", folder).collect())
+        sets = gather.gather(stream, gather.SetRule("k", "band", "payload", "pos", ["A", "B"]), folder=folder)["sets"]
+        return sorted((r["key"], r["items"]["A"], r["items"]["B"]) for r in sets.collect())
 
     arrive(0, [("p", "A", "a1", 1), ("q", "A", "x", 2), ("q", "B", "y", 3)])
     assert start() == [("q", "x", "y")]
@@ -117,5 +119,51 @@ def test_batches_of_an_empty_source_give_empty_tables(spark, tmp_path):
 def test_a_set_whose_size_the_rows_tell(spark, tmp_path):
     schema = "k string, band string, payload string, pos bigint, n int"
     stream = write_batches(spark, tmp_path, [[("p", "A", "a", 1, 1), ("q", "A", "x", 2, 2)], [("q", "C", "y", 3, 2)]], schema)
-    got = run_to_parquet(gather.gather_stream(stream, "k", "band", "payload", "pos", "n"), "t").collect()
+    got = gather.gather(stream, gather.SetRule("k", "band", "payload", "pos", "n"))["sets"].collect()
     assert sorted((r["key"], r["items"]) for r in got) == [("p", {"A": "a"}), ("q", {"A": "x", "C": "y"})]
+
+
+def sequential_gather(batches, wanted, reemit):
+    """Item by item: (key, completed_at, items) of every set, and what is still held."""
+    held, done, out = {}, set(), []
+    for batch in batches:
+        for k, item, payload, pos in sorted(batch, key=lambda r: r[3]):
+            if k in done:
+                continue
+            held.setdefault(k, {})[item] = payload
+            if len(held[k]) == wanted:
+                out.append((k, pos, tuple(sorted(held.pop(k).items()))))
+                if not reemit:
+                    done.add(k)
+    return sorted(out), {k: v for k, v in held.items() if v}
+
+
+@pytest.mark.parametrize("reemit", [False, True])
+def test_gather_equals_item_by_item(spark, tmp_path, reemit):
+    """Sets within a batch, across batches, repeated items, a key with a third of all rows."""
+    rng, schema = random.Random(7), "k string, band string, payload string, pos bigint"
+    batches = []
+    for b in range(4):
+        n = 60
+        keys = ["hot" if rng.random() < 0.33 else f"k{rng.randrange(25)}" for _ in range(n)]
+        batches.append([(k, rng.choice("ABC"), f"{b}-{i}", i) for i, k in enumerate(keys)])
+    stream = write_batches(spark, tmp_path / "in", batches, schema)
+    folder = str(tmp_path / "out")
+    got = gather.gather(stream, gather.SetRule("k", "band", "payload", "pos", ["A", "B", "C"], reemit), folder=folder)["sets"].collect()
+    sets, held = sequential_gather(batches, 3, reemit)
+    assert sorted((r["key"], r["completed_at"], tuple(sorted(r["items"].items()))) for r in got) == sets
+    left = spark.read.parquet(f"{folder}/state/batch=3/held").groupBy("key").agg(F.collect_set("item").alias("i")).collect()
+    assert {r["key"]: set(r["i"]) for r in left} == {k: set(v) for k, v in held.items()}
+
+
+def test_state_of_a_gather_is_bounded(spark, tmp_path):
+    """Keys that stay incomplete are told and forgotten after their time, and so are the marks of whole sets."""
+    schema = "k string, band string, payload string, pos bigint"
+    batches = [[(f"{b}-{i}", band, "x", i) for i in range(20) for band in ("A", "B")[: 1 + i % 2]] for b in range(6)]
+    stream = write_batches(spark, tmp_path / "in", batches, schema)
+    ticks, folder = iter(range(100)), str(tmp_path / "out")
+    rule = gather.SetRule("k", "band", "payload", "pos", ["A", "B"], ttl_ms=2000)
+    sets = gather.gather(stream, rule, folder=folder, clock=lambda: next(ticks))["sets"]
+    assert {r["status"]: r["count"] for r in sets.groupBy("status").count().collect()} == {"complete": 60, "incomplete": 40}
+    state = [spark.read.parquet(f"{folder}/state/batch=5/{n}").count() for n in ("held", "done")]
+    assert state == [20, 20] and not (tmp_path / "out/state/batch=3").exists()

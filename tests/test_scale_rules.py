@@ -4,11 +4,13 @@ import hashlib
 import itertools
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from eoframe.config import HealthConfig
+from eoframe.functions.positions import in_file_order, with_positions
 from eoframe.functions.ranking import keep_first, keep_first_by
 from eoframe.operators import health as hl
 from eoframe.operators import imagery as im
@@ -81,7 +83,8 @@ def test_chunked_health_equals_sequential_replay(spark, seed):
         ts += rng.choice([0, 300, 900, 2500, 12_000 if rng.random() < 0.1 else 100])
         rows.append((rng.choice([1, 1, 1, 2]), i, ts, int(rng.random() > 0.45)))
     calls = spark.createDataFrame(rows, "service bigint, event_id bigint, ts_ms bigint, ok int")
-    got = {r["event_id"]: (r["decision"], r["state"], r["transition"]) for r in hl.service_health(calls, chunk_ms=20_000).collect()}
+    got = {r["event_id"]: (r["decision"], r["state"], r["transition"])
+           for r in hl.service_health(calls, chunk=rng.choice([1, 7, 50]), fan=rng.choice([2, 3, 16])).collect()}
     cfg, want = HealthConfig(), {}
     for _, part in pd.DataFrame(rows, columns=["service", "event_id", "ts_ms", "ok"]).groupby("service"):
         out, _, _ = hl.replay(part, 0, 0, cfg.failure_threshold, cfg.recovery_ms)
@@ -157,3 +160,43 @@ def test_pair_records_keep_every_image_field(spark):
     rows = spark.createDataFrame([(f'{{"pair_id": "p", "primary_image": {image}, "secondary_image": {image}}}',)], "payload string")
     r = md.parse_pair_json(rows).first()
     assert (r["primary"]["width"], r["primary"]["crs"], r["secondary"]["bands"][0]["band_id"], r["primary"]["extra_metadata"]) == ("5", "EPSG:4326", "VV", {"a": "b"})
+
+
+def test_health_of_one_service_in_ten_thousand_chunks(spark):
+    """All calls are one service's. No task sees more than ``fan`` transitions, and entries equal a sequential replay."""
+    rng, ts, calls, fan = random.Random(9), 0, [], 8
+    for i in range(10_000):
+        ts += rng.choice([50, 300, 900, 4000, 11_000])
+        calls.append((1, i, ts, int(rng.random() > 0.5)))
+    cfg = HealthConfig()
+    limit, pause = cfg.failure_threshold, cfg.recovery_ms
+    rows, want, state, since = [], {}, 0, 0
+    for _, i, at, ok in calls:
+        want[i] = (state, since)
+        rows += [(1, i, at, *r) for r in hl._transitions(np.array([at]), np.array([ok]), limit, pause)]
+        state, since, *_ = hl.step(state, since, at, bool(ok), limit, pause)
+    table = spark.createDataFrame(rows, hl.TRANSITION)
+    got = hl.entry_states(table, limit, pause, fan).collect()
+    assert {r["node"]: (r["entry"], r["opened_ms"] if r["entry"] == limit else 0) for r in got} == want
+    most = hl.under_parent(table, fan).groupBy("service", "parent").agg(F.countDistinct("node").alias("n")).agg(F.max("n")).first()[0]
+    assert most == fan
+    whole = itertools.accumulate(hl.Transition.read(table.toPandas(), limit), lambda a, b: a.then(b, pause))
+    assert max(len(t.opened) for t in whole) < 250  # as many as calls in one pause, not as calls in the log
+
+
+def test_positions_equal_a_plain_sort(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["hot", "hot", None, "b"]), rng.choice([None, *range(40)]), i) for i in range(800)]
+    df = spark.createDataFrame(rows, "g string, x bigint, i bigint")
+    got = {r["i"]: r["pos"] for r in with_positions(df, ["x", "i"], ["g"]).collect()}
+    for g in {r[0] for r in rows}:
+        order = sorted((r[1] is not None, r[1] or 0, r[2]) for r in rows if r[0] == g)
+        assert [got[i] for *_, i in order] == list(range(len(order)))
+    assert sorted(r["pos"] for r in with_positions(df, ["x"]).collect()) == list(range(800))
+
+
+def test_file_order_over_several_files(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"part-{k}.jsonl").write_text("".join(f'{{"v": {k * 100 + i}}}\n' for i in range(100)))
+    rows = in_file_order(spark.read.schema("v bigint").json(str(tmp_path)))
+    assert [(r["pos"], r["v"]) for r in rows.orderBy("pos").collect()] == [(i, i) for i in range(300)]
