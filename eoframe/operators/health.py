@@ -153,7 +153,7 @@ def service_health(calls: DataFrame, cfg: HealthConfig | None = None, chunk: int
         return replay(pdf, int(pdf["entry"].iloc[0]), int(pdf["opened_ms"].iloc[0]), limit, pause)[0]
 
     table = materialize(log.groupBy("service", "node").applyInPandas(summarise, TRANSITION), "health-transitions")
-    entries = materialize(entry_states(table, limit, pause, fan), "health-entries")
+    entries = entry_states(table, limit, pause, fan)
     return log.join(entries, ["service", "node"]).groupBy("service", "node").applyInPandas(decide, DECISION)
 
 

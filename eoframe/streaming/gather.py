@@ -48,43 +48,60 @@ class SetRule:
         )
 
 
-def whole_keys(rows: DataFrame, counted: bool) -> DataFrame:
-    """Keys of which enough different items are there, and the place of the one that completes their first set."""
-    first = rows.groupBy("key", "item").agg(F.min("pos").alias("first"), F.max("expected").alias("expected"))
-    if counted:  # more items than a set needs may be there
-        number = F.row_number().over(Window.partitionBy("key").orderBy("first", "item"))
-        return first.withColumn("n", number).where("n >= expected").groupBy("key").agg(F.min("first").alias("completed_at"))
-    sets = first.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.max("first").alias("completed_at"), F.max("expected").alias("expected")
+ITEM = ["key", "item", "payload", "expected", "since"]
+
+
+def per_item(rows: DataFrame) -> DataFrame:
+    """One row per key and item: its first and last place and its latest payload. Combined before rows meet."""
+    return rows.groupBy("key", "item").agg(
+        F.min("pos").alias("first"), F.max("pos").alias("last"), F.max_by("payload", "pos").alias("payload"),
+        F.max("expected").alias("expected"), F.min("since").alias("since"),
     )
-    return sets.where("n = expected").select("key", "completed_at")
 
 
-def sets_of(rows: DataFrame, status: str) -> DataFrame:
-    """One row per key and ``completed_at`` with the latest payload of each item."""
-    last = rows.groupBy("key", "completed_at", "item").agg(F.max_by("payload", "pos").alias("payload"))
-    items = F.map_from_entries(F.collect_list(F.struct("item", "payload")))
-    sets = last.groupBy("key", "completed_at").agg(items.alias("items"))
+def with_completion(items: DataFrame, counted: bool) -> DataFrame:
+    """Adds ``completed_at``, the place of the item that completes its key's first set, null for an incomplete key."""
+    key = Window.partitionBy("key")
+    if counted:  # more items than a set needs may be there
+        items = items.withColumn("n", F.row_number().over(key.orderBy("first", "item")))
+        at = F.min(F.when(F.col("n") >= F.col("expected"), F.col("first"))).over(key)
+    else:
+        items = items.withColumn("n", F.count(F.lit(1)).over(key))
+        at = F.when(F.col("n") == F.col("expected"), F.max("first").over(key))
+    return items.withColumn("completed_at", at).drop("n")
+
+
+def sets_of(items: DataFrame, status: str) -> DataFrame:
+    """One row per key and ``completed_at`` with the payload of each item."""
+    held = F.map_from_entries(F.collect_list(F.struct("item", "payload")))
+    sets = items.groupBy("key", "completed_at").agg(held.alias("items"))
     return sets.select("key", F.lit(status).alias("status"), "completed_at", "items")
 
 
-def split_sets(rows: DataFrame, rule: SetRule, held: list[DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(whole sets, keys of these, rows left) of rows (key, item, payload, pos, expected, since). ``held`` gathers what to unpersist.
+def split_sets(rows: DataFrame, rule: SetRule, cached: list[DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(whole sets, items left) of rows (key, item, payload, pos, expected, since). ``cached`` gathers what to unpersist.
 
     A key has one set, or with ``reemit`` as many as its rows complete one after the other; each further set of a key within one
-    batch takes one more round over what is left of such keys.
+    batch takes one more round over what is left of such keys. Rows are read again only where an item was repeated after the set
+    was whole.
     """
-    whole = whole_keys(rows, isinstance(rule.items, str)).persist()
-    held.append(whole)
-    sets = sets_of(rows.join(whole, "key").where("pos <= completed_at"), "complete")
-    left = rows.join(whole.select("key"), "key", "left_anti")
-    if rule.reemit:
-        later = rows.join(whole, "key").where("pos > completed_at").drop("completed_at").select(*rows.columns).persist()
-        held.append(later)
-        if not later.isEmpty():
-            more, _, rest = split_sets(later, rule, held)
-            return sets.unionByName(more), whole.select("key"), left.unionByName(rest)
-    return sets, whole.select("key"), left
+    items = with_completion(per_item(rows), isinstance(rule.items, str)).persist()
+    cached.append(items)
+    left, whole = items.where("completed_at is null").select(*ITEM), items.where("first <= completed_at")
+    parts = whole.where("last <= completed_at").select("key", "item", "payload", "completed_at")
+    again = whole.where("last > completed_at").select("key", "item", "completed_at")
+    if not again.isEmpty():
+        earlier = rows.select("key", "item", "payload", "pos").join(again, ["key", "item"]).where("pos <= completed_at")
+        earlier = earlier.groupBy("key", "item", "completed_at").agg(F.max_by("payload", "pos").alias("payload"))
+        parts = parts.unionByName(earlier)
+    sets = sets_of(parts, "complete")
+    over = items.where("last > completed_at").select("key", "completed_at").distinct()
+    if rule.reemit and not over.isEmpty():
+        later = rows.join(over, "key").where("pos > completed_at").select(*rows.columns).persist()
+        cached.append(later)
+        more, rest = split_sets(later, rule, cached)
+        return sets.unionByName(more), left.unionByName(rest)
+    return sets, left
 
 
 def gather(
@@ -104,7 +121,7 @@ def gather(
     empty = spark.createDataFrame([], listed.schema).withColumn("since", F.lit(0).cast("bigint"))
     schemas = {"sets": sets_of(empty.withColumn("completed_at", F.col("pos")), "").schema}
     schemas |= {n: df.schema for n, df in (sinks(spark.createDataFrame([], schemas["sets"])) if sinks else {}).items()}
-    held_schema, done_schema = empty.drop("pos").schema, "key string, since bigint"
+    held_schema, done_schema = empty.select(*ITEM).schema, "key string, since bigint"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         now = int(clock() * 1000)
@@ -117,17 +134,15 @@ def gather(
         else:
             done = spark.createDataFrame([], done_schema)
         cached = [rows.persist()]
-        sets, keys, left = split_sets(rows, rule, cached)
-        kept = left.groupBy("key", "item").agg(
-            F.max_by("payload", "pos").alias("payload"), F.max("expected").alias("expected"), F.min("since").alias("since")
-        )
+        sets, kept = split_sets(rows, rule, cached)
+        keys = sets.select("key")
         if rule.ttl_ms is not None:
             edge = now - rule.ttl_ms
-            age = kept.groupBy("key").agg(F.min("since").alias("since"))
-            old = age.where(F.col("since") <= edge).select("key")
-            expired = kept.join(old, "key").withColumns({"completed_at": F.lit(-1).cast("bigint"), "pos": F.lit(0)})
+            kept = kept.withColumn("begun", F.min("since").over(Window.partitionBy("key"))).persist()
+            cached.append(kept)
+            expired = kept.where(F.col("begun") <= edge).withColumn("completed_at", F.lit(-1).cast("bigint"))
             sets = sets.unionByName(sets_of(expired, "incomplete"))
-            kept = kept.join(old, "key", "left_anti")
+            kept = kept.where(F.col("begun") > edge).select(*ITEM)
             done = done.where(F.col("since") > edge)
         if not rule.reemit:
             done = done.unionByName(keys.withColumn("since", F.lit(now).cast("bigint")))
