@@ -66,10 +66,6 @@ def percentile_stretch(
     return F.get(F.transform(bounds, lambda b: stretch(px, b["lo"], b["hi"], degenerate, eps)), F.lit(0))
 
 
-def zscore(px: Column, mean_col: Column, std_col: Column) -> Column:
-    return F.transform(px, lambda v: (v - mean_col) / (std_col + 1e-8))
-
-
 def minmax(px: Column, low: Column, high: Column) -> Column:
     span = high - low
     return F.when(
@@ -87,54 +83,6 @@ def normalized_difference(a: Column, b: Column) -> Column:
     )
 
 
-def resample_nearest(px: Column, n_in: Column, n_out: int) -> Column:
-    """Square nearest-neighbour resample; the source cell is the one under the target cell's centre. Source positions
-    are worked out once per axis, not per cell."""
-    source = F.transform(
-        F.sequence(F.lit(0), F.lit(n_out - 1)), lambda i: F.floor((i * 2 + 1) * n_in / F.lit(2.0 * n_out)).cast("int")
-    )
-
-    def lay_out(at: Column) -> Column:
-        return F.flatten(F.transform(at, lambda r: F.transform(at, lambda c: F.get(px, r * n_in + c))))
-
-    return F.get(F.transform(F.array(source), lay_out), F.lit(0))
-
-
-def resample_bilinear(px: Column, n_in: Column, n_out: int) -> Column:
-    """Square corner-aligned bilinear resample: target i reads source i*(n_in-1)/(n_out-1).
-
-    Separable: positions once per axis, then every source row along x, then the rows along y.
-    """
-    def position(i: Column) -> Column:
-        at = i * (n_in - 1) / F.lit(float(n_out - 1))
-        low = F.floor(at).cast("int")
-        return F.struct(low.alias("k"), F.least(low + 1, n_in - 1).alias("k1"), (at - low).alias("f"))
-
-    axis = F.transform(F.sequence(F.lit(0), F.lit(n_out - 1)), position)
-
-    def along_x(r: Column, axis: Column) -> Column:
-        return F.transform(
-            axis, lambda x: F.get(px, r * n_in + x["k"]) * (1 - x["f"]) + F.get(px, r * n_in + x["k1"]) * x["f"]
-        )
-
-    def along_y(s: Column) -> Column:
-        return F.flatten(
-            F.transform(
-                s["axis"],
-                lambda y: F.zip_with(
-                    F.get(s["rows"], y["k"]), F.get(s["rows"], y["k1"]), lambda a, b: a * (1 - y["f"]) + b * y["f"]
-                ),
-            )
-        )
-
-    def rows_of(axis: Column) -> Column:
-        rows = F.transform(F.sequence(F.lit(0), n_in - 1), lambda r: along_x(r, axis))
-        return F.struct(axis.alias("axis"), rows.alias("rows"))
-
-    staged = F.transform(F.array(axis), rows_of)
-    return F.get(F.transform(staged, along_y), F.lit(0))
-
-
 def to_db(px: Column) -> Column:
     """Linear backscatter to decibel when no value is negative; decibel input passes through. Our reading."""
     return F.when(

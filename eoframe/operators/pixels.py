@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from eoframe import fixed_values as fv
 from eoframe.config import OpticalConfig
-from eoframe.functions import arrays
+from eoframe.functions import arrays, kernels
 
 
 def band_catalog(df: DataFrame) -> DataFrame:
@@ -45,18 +45,12 @@ def target_grid(px: DataFrame) -> DataFrame:
 
 
 def resample_nearest(px: DataFrame, size: int) -> DataFrame:
-    return _resized(px, arrays.resample_nearest(F.col("pixels"), F.col("width"), size), size)
+    return kernels.map_bands(px, lambda bands, stack: kernels.nearest(stack, size, size))
 
 
 def resample_bilinear(px: DataFrame, size: int) -> DataFrame:
-    return _resized(px, arrays.resample_bilinear(F.col("pixels"), F.col("width"), size), size)
-
-
-def _resized(px: DataFrame, pixels: Column, size: int) -> DataFrame:
-    same = (F.col("height") == size) & (F.col("width") == size)
-    return px.withColumn("pixels", F.when(same, F.col("pixels")).otherwise(pixels)).withColumns(
-        {"height": F.lit(size), "width": F.lit(size)}
-    )
+    """Corner-aligned, as two matrix products over all bands of one size."""
+    return kernels.map_bands(px, lambda bands, stack: kernels.bilinear(stack, size, size))
 
 
 def _literal_map(values: dict[str, float]) -> Column:
@@ -70,10 +64,7 @@ def _lookup(values: dict[str, float]) -> Column:
 def zscore(px: DataFrame, stats: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Fixed statistics per known band; an unknown band uses its own mean and population deviation."""
     stats = stats or {**fv.OPTICAL_STATS, **fv.RADAR_STATS}
-    m = F.coalesce(_lookup({b: s[0] for b, s in stats.items()}), arrays.mean(F.col("pixels")))
-    s = F.coalesce(_lookup({b: s[1] for b, s in stats.items()}), arrays.std_pop(F.col("pixels")))
-    staged = px.withColumns({"__m": m, "__s": s})
-    return staged.withColumn("pixels", arrays.zscore(F.col("pixels"), F.col("__m"), F.col("__s"))).drop("__m", "__s")
+    return kernels.map_bands(px, lambda bands, stack: kernels.zscore(bands, stack, stats))
 
 
 def minmax(px: DataFrame, ranges: dict[str, tuple[float, float]] | None = None) -> DataFrame:
@@ -128,7 +119,7 @@ def percentile_stretch(
     """0..255 stretch between two percentiles, of each band or over all bands of a patch together (``scope="patch"``,
     for display composites of a few bands)."""
     if scope == "band":
-        return px.withColumn("pixels", arrays.percentile_stretch(F.col("pixels"), lo, hi, degenerate))
+        return kernels.map_bands(px, lambda bands, stack: kernels.stretch(stack, lo, hi, degenerate), integers=True)
     # the bands of one patch are few and of fixed size: collect them, sort once, hand every band the same bounds
     stacked = px.groupBy("patch_id").agg(F.collect_list(F.struct("band", "height", "width", "pixels")).alias("b"))
     merged = F.sort_array(F.flatten(F.transform("b", lambda x: x["pixels"])))

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eoframe import fixed_values as fv
 from eoframe.config import OpticalConfig
 from eoframe.functions import arrays
+from eoframe.operators import optical
 from eoframe.operators import pixels as px
 from eoframe.plans.registry import query, sql_text
 from eoframe.sources.adapters import Tables, oracle
@@ -15,7 +20,6 @@ from eoframe.sources.adapters import Tables, oracle
 _NATIVE = "case when band in ('B02', 'B03', 'B04', 'B08') then 10 when band in ('B01', 'B09', 'B10') then 60 else 20 end"
 # Checksums are floored after an odd offset: plain rounding would meet exact ties, which summation order decides.
 _SUM = "cast(floor(sum(cast({0} as double) * (i + 1)) * 1e{1} + 0.123456789e0) as bigint)"
-PACK6 = ["B02", "B03", "B04", "B08"]
 
 
 def _floored(x: Column, digits: int = 3) -> Column:
@@ -38,13 +42,12 @@ def band_selection(t: Tables) -> DataFrame:
     return marked.groupBy("patch_id").agg(names(F.col("used")).alias("used"), names(~F.col("used")).alias("dropped"))
 
 
-@query(oracle("""with b as (select distinct patch_id, band, height from px where band not in ('B02', 'B03')),
-    r as (select *, row_number() over (partition by patch_id order by case band when 'B04' then 1 when 'B08' then 2 else 5 end, -height, band) as rn from b
-      where not (band = 'B04' and right(patch_id, 1) = '7'))
-    select patch_id, height as target_h, height as target_w from r where rn = 1""", "px"))
+@query(oracle("""with r as (select patch_id, n, row_number() over (partition by patch_id
+      order by case band when 'B02' then 1 when 'B03' then 2 when 'B04' then 3 when 'B08' then 4 else 5 end, -n, band) as rn from raster_bands)
+    select patch_id, n as target_h, n as target_w from r where rn = 1""", "raster_bands"))
 def target_grid(t: Tables) -> DataFrame:
-    some = t.px.filter(~F.col("band").isin("B02", "B03") & ~((F.col("band") == "B04") & F.col("patch_id").endswith("7")))
-    return px.target_grid(some)
+    """All bands on the sensor's grids; some patches lack B02, B02 and B03, or all 10 m bands."""
+    return px.target_grid(t.rasters)
 
 
 @query(oracle(f"""with g as (select patch_id, band, height as n, list(v order by i) as vs from px group by patch_id, band, height),
@@ -55,14 +58,14 @@ def nearest_resample(t: Tables) -> DataFrame:
     return _summed(px.resample_nearest(t.px, 6))
 
 
-@query(oracle(f"""with g as (select patch_id, band, height as n, list(v order by i) as vs from px where height = 3 group by patch_id, band, height),
+@query(oracle(f"""with g as (select patch_id, band, height as n, list(v order by i) as vs from px group by patch_id, band, height),
     p as (select patch_id, band, i, n, vs, (i // 6) * (n - 1) / 5e0 as y, (i % 6) * (n - 1) / 5e0 as x from g cross join range(0, 36) as r(i)),
     f as (select *, floor(y)::int as r0, floor(x)::int as c0, least(floor(y)::int + 1, n - 1) as r1, least(floor(x)::int + 1, n - 1) as c1 from p),
     o as (select patch_id, band, i, (vs[r0 * n + c0 + 1] * (1 - (x - c0)) + vs[r0 * n + c1 + 1] * (x - c0)) * (1 - (y - r0))
       + (vs[r1 * n + c0 + 1] * (1 - (x - c0)) + vs[r1 * n + c1 + 1] * (x - c0)) * (y - r0) as v from f)
     select patch_id, band, {_SUM.format('v', 2)} as checksum from o group by patch_id, band""", "px"))
 def bilinear_resample(t: Tables) -> DataFrame:
-    return _summed(px.resample_bilinear(t.px.filter(F.col("height") == 3), 6), 2)
+    return _summed(px.resample_bilinear(t.px, 6), 2)
 
 
 _RENAMED = "case when band = 'B09' then 'X1' else band end"
@@ -160,27 +163,115 @@ def rgb_composite(t: Tables) -> DataFrame:
         "patch_id", *[_floored(arrays.checksum(F.col(c))).alias(c) for c in ("red", "green", "blue")])
 
 
-_STACK = "from (select distinct patch_id from px where band in ('B02', 'B03', 'B04', 'B08')) p"
+_TEN = "(values " + ", ".join(f"('{b}', {i})" for i, b in enumerate(fv.PACKED_BANDS)) + ") as b(band, pos)"
 
 
-@query(oracle(f"""select p.patch_id, b.pos, coalesce(c.checksum, 0) as checksum {_STACK} cross join (values ('B02', 0), ('B03', 1), ('B04', 2), ('B08', 3)) as b(band, pos)
-    left join (select patch_id, band, {_SUM.format('v', 3)} as checksum from px group by patch_id, band) c on c.patch_id = p.patch_id and c.band = b.band""", "px"))
+@query(oracle(f"""with n as (select patch_id, band, {_SUM.format('v', 3)} as checksum from px_six group by patch_id, band)
+    select p.patch_id, b.pos, coalesce(n.checksum, 0) as checksum from (select distinct patch_id from px_six) p cross join {_TEN}
+    left join n on n.patch_id = p.patch_id and n.band = b.band""".replace("with n as", f"""with g as (select patch_id, band, height as n, list(v order by i) as vs
+      from px group by patch_id, band, height),
+    px_six as (select patch_id, band, i, vs[floor((2 * (i // 6) + 1) * n / 12e0)::int * n + floor((2 * (i % 6) + 1) * n / 12e0)::int + 1] as v
+      from g cross join range(0, 36) as r(i)), n as"""), "px"))
 def packed_stack(t: Tables) -> DataFrame:
-    stack = px.pack_bands(t.px, PACK6, size=6)
+    """All ten bands on one grid; a missing one is zero."""
+    stack = px.pack_bands(px.resample_nearest(t.px, 6), size=6)
     return stack.select("patch_id", F.posexplode("stack").alias("pos", "pixels")).select(
         "patch_id", "pos", _floored(arrays.checksum(F.col("pixels"))).alias("checksum"))
 
 
-@query(oracle("""select patch_id, 4 as n_bands, case when count(distinct band) = 4 then round(sum(v), 3) else 0 end as total, true as has_real_image
-    from px where band in ('B02', 'B03', 'B04', 'B08') group by patch_id""", "px"))
+@query(oracle(f"""select patch_id, 10 as n_bands, case when count(distinct band) = 10 then round(sum(v), 3) else 0 end as total, true as has_real_image
+    from px where band in ({", ".join(sql_text(b) for b in fv.PACKED_BANDS)}) group by patch_id""", "px"))
 def shape_repair(t: Tables) -> DataFrame:
-    four = t.px.filter(F.col("band").isin(PACK6))
-    stacks = four.groupBy("patch_id").agg(F.collect_list("pixels").alias("stack"))  # at most four catalog bands
-    fixed = px.repair_shape(stacks, 4, size=6)
+    ten = t.px.filter(F.col("band").isin(fv.PACKED_BANDS))
+    stacks = ten.groupBy("patch_id").agg(F.collect_list("pixels").alias("stack"))  # at most ten catalog bands
+    fixed = px.repair_shape(stacks, 10, size=6)
     return fixed.select("patch_id", F.size("stack").alias("n_bands"),
                         F.round(arrays.total(F.flatten("stack")), 3).alias("total"), "has_real_image")
 
 
+def _nd(a: str, b: str) -> str:
+    return f"(case when {a} is null or {b} is null then null when abs({a} + {b}) > 1e-8 then ({a} - {b}) / ({a} + {b}) else 0 end)"
+
+
+def _cell_sql(r: str, c: str) -> str:
+    """A cell of a 60 x 60 band of ``rasters``."""
+    i = f"({r} * 60 + {c})"
+    return f"(e[({i} * (o + 1) + o) % len(e) + 1] * 3000e0 + ({i} % 97 * 11)::double + 500e0)"
+
+
+# Sums over whole rasters are averages, floored at one digit, so that the order of additions cannot show.
+_AVG = "cast(floor({0} * 10 + 0.123456789e0) as bigint)"
+_RESAMPLED = """c as (select m, src, sum(w * (i + 1)) as w from (
+        select m, i, unnest([r0 * m + c0, r0 * m + c1, r1 * m + c0, r1 * m + c1]) as src,
+          unnest([(1 - fy) * (1 - fx), (1 - fy) * fx, fy * (1 - fx), fy * fx]) as w
+        from (select *, least(r0 + 1, m - 1) as r1, least(c0 + 1, m - 1) as c1, y - r0 as fy, x - c0 as fx
+          from (select *, floor(y)::int as r0, floor(x)::int as c0 from (select m, t, i, (i // t) * (m - 1) / (t - 1)::double as y,
+            (i % t) * (m - 1) / (t - 1)::double as x from (values (20, 120), (60, 120), (120, 120)) as s(m, t) cross join range(0, 14400) as r(i))))) group by m, src)"""
+
+
+@query(oracle(f"""with grid as (select patch_id, n as t from (select patch_id, n, row_number() over (partition by patch_id
+      order by case band when 'B02' then 1 when 'B03' then 2 when 'B04' then 3 when 'B08' then 4 else 5 end, -n, band) as rn from raster_bands) where rn = 1),
+    facts as (select patch_id, max(t) as target_h, string_agg(band, ',' order by o) filter (where n <> 20) as bands_used, string_agg(band, ',' order by o) filter (where n = 20) as bands_dropped,
+      string_agg(band || ': excluded by native resolution 60 m', '; ' order by o) filter (where n = 20) as drop_reasons,
+      case when count(*) filter (where band = 'B04') = 0 then 'display band B04 is not there' when count(*) filter (where band = 'B03') = 0 then 'display band B03 is not there'
+        when count(*) filter (where band = 'B02') = 0 then 'display band B02 is not there' end as error
+      from raster_bands join grid using (patch_id) group by patch_id),
+    {_RESAMPLED},
+    shown as (select patch_id from facts where error is null),
+    sums as (select patch_id, band, o, sum(v * w) as s from rasters semi join shown using (patch_id) join c on c.m = n and c.src = i where n <> 20 group by 1, 2, 3),
+    z as (select patch_id, row_number() over (partition by patch_id order by o) as k,
+      (s - {_stats(fv.OPTICAL_STATS, 0)} * 103687200e0) / ({_stats(fv.OPTICAL_STATS, 1)} + 1e-8) / 14400 as s from sums),
+    st as (select patch_id, sum(k * s) as s from z group by 1),
+    d as (select patch_id, band, i, v from rasters semi join shown using (patch_id) where band in ('B04', 'B03', 'B02')),
+    vs as (select patch_id, band, list_sort(list(v)) as vs from d group by 1, 2),
+    b as (select patch_id, band, vs[288] + (vs[289] - vs[288]) * (14399 * 0.02e0 - 287) as lo, vs[14112] + (vs[14113] - vs[14112]) * (14399 * 0.98e0 - 14111) as hi from vs),
+    rgb as (select patch_id, sum(case when hi - lo >= 1e-6 then floor((greatest(lo, least(hi, v)) - lo) / (hi - lo) * 255e0) else 0 end * (i + 1))::bigint as s
+      from d join b using (patch_id, band) group by 1),
+    full10 as (select patch_id, i, max(v) filter (where band = 'B03') as b03, max(v) filter (where band = 'B04') as b04, max(v) filter (where band = 'B08') as b08
+      from rasters where n = 120 group by 1, 2),
+    swir as (select patch_id, e, o, i, (i // 120) * 59 / 119e0 as y, (i % 120) * 59 / 119e0 as x from raster_bands semi join grid using (patch_id) cross join range(0, 14400) as r(i) where band = 'B11'),
+    sw as (select *, floor(y)::int as r0, floor(x)::int as c0, least(floor(y)::int + 1, 59) as r1, least(floor(x)::int + 1, 59) as c1 from swir),
+    b11 as (select patch_id, i, ({_cell_sql('r0', 'c0')} * (1 - (x - c0)) + {_cell_sql('r0', 'c1')} * (x - c0)) * (1 - (y - r0))
+      + ({_cell_sql('r1', 'c0')} * (1 - (x - c0)) + {_cell_sql('r1', 'c1')} * (x - c0)) * (y - r0) as v from sw),
+    ix as (select patch_id, avg({_nd('b08', 'b04')} * (i + 1)) as ndvi, avg({_nd('b03', 'b08')} * (i + 1)) as ndwi, avg({_nd('b11.v', 'b08')} * (i + 1)) as ndbi
+      from full10 join b11 using (patch_id, i) group by 1)
+    select f.patch_id, target_h, bands_used, bands_dropped, drop_reasons, error, {_AVG.format('st.s')} as stack_sum, rgb.s as rgb_sum,
+      {_AVG.format('ndvi')} as ndvi, {_AVG.format('ndwi')} as ndwi, {_AVG.format('ndbi')} as ndbi
+    from facts f left join st using (patch_id) left join rgb using (patch_id) left join ix using (patch_id)""", "raster_bands", "rasters"))
+def harmonised_stack(t: Tables) -> DataFrame:
+    """The optical pipeline on the sensor's grids: ten bands on one grid, display channels, three indices, audit."""
+    out = optical.harmonised_stack(t.rasters, OpticalConfig(indices=("NDVI", "NDWI", "NDBI")))
+    names = ["patch_id", "target_h", "bands_used", "bands_dropped", "drop_reasons", "error", "stack_sum", "rgb_sum", "ndvi", "ndwi", "ndbi"]
+
+    types = [pa.string(), pa.int32(), *[pa.string()] * 4, pa.float64(), pa.int64(), *[pa.float64()] * 3]
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Stacks as numbers, batch by batch; one patch is some megabytes."""
+        def weighted(values: np.ndarray) -> float:
+            return float((values * np.arange(1, len(values) + 1)).mean())
+
+        for batch in batches:
+            made = []
+            held = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+            for k in range(len(batch)):
+                stack, rgb = ([np.asarray(b.values) for b in held[c][k]] if held[c][k].is_valid else None for c in ("stack", "rgb"))
+                index = {key.as_py(): np.asarray(value.values) for key, value in ((e["key"], e["value"]) for e in held["indices"][k].values)}
+                made.append((
+                    held["patch_id"][k].as_py(), held["target_h"][k].as_py(), ",".join(held["bands_used"][k].as_py()),
+                    ",".join(held["bands_dropped"][k].as_py()), "; ".join(held["drop_reasons"][k].as_py()), held["error"][k].as_py(),
+                    None if stack is None else sum((j + 1) * weighted(b) for j, b in enumerate(stack)),
+                    None if rgb is None else sum(int((b.astype(np.int64) * np.arange(1, len(b) + 1)).sum()) for b in rgb),
+                    *(weighted(index[n]) if n in index else None for n in ("NDVI", "NDWI", "NDBI")),
+                ))
+            if made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names=names)
+
+    ddl = "patch_id string, target_h int, bands_used string, bands_dropped string, drop_reasons string, error string, stack_sum double, " \
+          "rgb_sum bigint, ndvi double, ndwi double, ndbi double"
+    sums = out.mapInArrow(digest, ddl)
+    return sums.withColumns({c: _floored(F.col(c), 1) for c in ("stack_sum", "ndvi", "ndwi", "ndbi")})
+
+
 @query(oracle(f"""with b as (select distinct patch_id, band, {_NATIVE} as m from px)
     select patch_id, string_agg(band, ',' order by replace(band, 'B8A', 'B08A')) filter (where m <> 60) as bands_used, string_agg(band, ',' order by band) filter (where m = 60) as bands_dropped,
       string_agg(band || ': excluded by native resolution 60 m', '; ' order by band) filter (where m = 60) as drop_reasons, 'standardize' as normalization from b group by patch_id""", "px"))

@@ -6,6 +6,8 @@ deployment reads one annotation table instead and never joins six tables; only t
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,6 +170,9 @@ def _spark_text(sql: str) -> str:
     )
 
 
+#: Side of each band's grid in ``rasters``: 1200 m at 10, 20 and 60 m.
+GRIDS = {"B01": 20, "B02": 120, "B03": 120, "B04": 120, "B05": 60, "B06": 60, "B07": 60, "B08": 120, "B8A": 60, "B09": 20,
+         "B11": 60, "B12": 60}
 SPREAD = ("lineitem", "orders", "events", "part", "conversations")
 
 
@@ -266,6 +271,39 @@ class Tables:
     def px_radar(self) -> DataFrame:
         return self._raster([("VV", 6), ("VH", 6)], lambda v: (v % 4500).cast("double") / 100.0 - 35.0)
 
+    @property
+    def rasters(self) -> DataFrame:
+        """Optical bands of one patch per embedding on the sensor's grids (``GRIDS``); a cell is a component scaled by its place.
+        B08, B02, or all 10 m bands but it are absent for some."""
+        specs = [(b, n, o) for o, (b, n) in enumerate(GRIDS.items())]
+
+        def draw(batches):
+            for batch in batches:
+                made = {c: [] for c in ("patch_id", "band", "height", "width", "pixels")}
+                for vec_id, vector in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    e = np.asarray(vector.values, dtype=np.float64)
+                    for band, n, o in specs:
+                        if not absent(band, vec_id):
+                            i = np.arange(n * n)
+                            cells = e[(i * (o + 1) + o) % len(e)] * 3000.0 + (i % 97 * 11) + 500.0
+                            for c, v in zip(made, (f"E{vec_id}", band, n, n, cells)):
+                                made[c].append(v)
+                        if len(made["band"]) >= 120:
+                            yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in schema], schema=schema)
+                            made = {c: [] for c in made}
+                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in schema], schema=schema)
+
+        def absent(band: str, k: int) -> bool:
+            if k % 11 == 3:
+                return band in ("B02", "B03", "B04", "B08")
+            return band == "B08" and k % 6 == 0 or band == "B02" and k % 5 == 1 or band == "B03" and k % 10 == 1
+
+        schema = pa.schema([("patch_id", pa.string()), ("band", pa.string()), ("height", pa.int32()), ("width", pa.int32()),
+                            ("pixels", pa.list_(pa.float64()))])
+        some = self.embeddings.where(F.size("embedding") > 0).select("vec_id", "embedding")
+        some = some.repartition(self.spark.sparkContext.defaultParallelism)
+        return some.mapInArrow(draw, "patch_id string, band string, height int, width int, pixels array<double>")
+
     def _raster(self, bands: list[tuple[str, int]], value) -> DataFrame:
         specs = F.array(*[
             F.struct(F.lit(b).alias("band"), F.lit(n).alias("n"), F.lit(i).cast("bigint").alias("o"))
@@ -335,6 +373,18 @@ ORACLE_ONLY: dict[str, tuple[list[str], str]] = {
             specs="('VV',6,0),('VH',6,1)",
         ),
     ),
+    "raster_bands": (
+        ["embeddings"],
+        f"""select 'E' || cast(vec_id as varchar(20)) as patch_id, band, n, o, list_transform(embedding, lambda x: x::double) as e
+          from embeddings cross join (values {", ".join(f"('{b}', {n}, {o})" for o, (b, n) in enumerate(GRIDS.items()))}) as s(band, n, o)
+          where not (vec_id % 11 = 3 and band in ('B02', 'B03', 'B04', 'B08')) and (vec_id % 11 = 3 or not (band = 'B08' and vec_id % 6 = 0
+            or band = 'B02' and vec_id % 5 = 1 or band = 'B03' and vec_id % 10 = 1))""",
+    ),
+    "rasters": (
+        ["raster_bands"],
+        """select patch_id, band, n, o, i, e[(i * (o + 1) + o) % len(e) + 1] * 3000e0 + (i % 97 * 11)::double + 500e0 as v
+          from raster_bands cross join range(0, 14400) as r(i) where i < n * n""",
+    ),
     "image_pairs": (
         ["images"],
         """select 'pair-' || cast(k as varchar(20)) as pair_id,
