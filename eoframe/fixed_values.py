@@ -360,6 +360,61 @@ RESPONSE_CONTRACTS = {
 }
 FUSION_ATTRIBUTION_FIELDS = ["optical_evidence", "sar_evidence", "fused_reasoning"]
 
+# --- Fixed values: JSON schemas of the five responses ----------------------------------------------------------------
+_STRING, _NUMBER, _OBJECT, _BOOLEAN = ({"type": t} for t in ("string", "number", "object", "boolean"))
+_BOXES = {"type": "array", "items": {"$ref": "BoundingBox"}}
+_ALWAYS = {"confidence": {"$ref": "Confidence"}, "provenance": {"$ref": "Provenance"}, "execution_time_ms": _NUMBER}
+SCHEMA_DEFINITIONS = {
+    "Confidence": {
+        "type": "object", "required": ["score"],
+        "properties": {"score": {"type": "number", "minimum": 0.0, "maximum": 1.0}, "method": _STRING, "factors": _OBJECT},
+    },
+    "BoundingBox": {
+        "type": "object", "required": ["x_min", "y_min", "x_max", "y_max"],
+        "properties": {
+            "x_min": _NUMBER, "y_min": _NUMBER, "x_max": _NUMBER, "y_max": _NUMBER, "label": _STRING, "confidence": _NUMBER,
+        },
+    },
+    "Provenance": {
+        "type": "object", "required": ["model_name"],
+        "properties": {
+            "model_name": _STRING, "checkpoint_version": _STRING, "input_hash": _STRING, "timestamp": _STRING,
+            "preprocessing": _OBJECT,
+        },
+    },
+    "ModalityAttribution": {
+        "type": "object", "required": FUSION_ATTRIBUTION_FIELDS,
+        "properties": {"optical_evidence": _STRING, "sar_evidence": _STRING, "fused_reasoning": _STRING},
+    },
+}
+RESPONSE_SCHEMAS = {
+    "vqa": {
+        "type": "object", "required": RESPONSE_CONTRACTS["vqa"],
+        "properties": {"answer": _STRING, "evidence_regions": _BOXES, **_ALWAYS},
+    },
+    "caption": {
+        "type": "object", "required": RESPONSE_CONTRACTS["caption"], "properties": {"caption": _STRING, **_ALWAYS},
+    },
+    "grounding": {
+        "type": "object", "required": RESPONSE_CONTRACTS["grounding"],
+        "properties": {"boxes": _BOXES, "expression": _STRING, **_ALWAYS},
+    },
+    "change": {
+        "type": "object", "required": RESPONSE_CONTRACTS["change"],
+        "properties": {
+            "description": _STRING, "answer": {"type": ["string", "null"]}, "change_detected": _BOOLEAN, "change_regions": _BOXES,
+            **_ALWAYS,
+        },
+    },
+    "fusion": {
+        "type": "object", "required": RESPONSE_CONTRACTS["fusion"],
+        "properties": {
+            "fused_answer": _STRING, "modality_attribution": {"$ref": "ModalityAttribution"}, "optical_evidence_overlay": _OBJECT,
+            "sar_evidence_overlay": _OBJECT, "disagreement_flag": _BOOLEAN, "disagreement_details": _STRING, **_ALWAYS,
+        },
+    },
+}
+
 # --- Fixed values: claim markers looked for in served answers --------------------------------------------------------
 CLAIM_MARKERS = ["Finland", "Ireland", "spring", "climate zone", "square meters", "square kilometres", "hectares"]
 
