@@ -54,11 +54,12 @@ def match_boxes(a: Column, b: Column, threshold: float = 0.5) -> Column:
 
     Boxes of ``a`` are served in order; each takes the free box of ``b`` with the highest IoU (first wins ties, 0 never
     matches) if that reaches the threshold. Order matters, so this is a fold over the row's own two arrays rather than
-    a join; both are the bounded detection lists of one request.
+    a join; both are the bounded detection lists of one request. ``matched_pairs`` holds both boxes of each match, in the order
+    of ``a``.
     """
-    state = "struct<used:array<int>,ious:array<double>,labels:array<boolean>>"
+    state = "struct<served:int,used:array<int>,ious:array<double>,labels:array<boolean>,places:array<int>>"
     start = F.struct(
-        F.array().alias("used"), F.array().alias("ious"), F.array().alias("labels")
+        F.lit(0).alias("served"), *[F.array().alias(n) for n in ("used", "ious", "labels", "places")]
     ).cast(state)
 
     def serve(acc: Column, box: Column) -> Column:
@@ -80,11 +81,11 @@ def match_boxes(a: Column, b: Column, threshold: float = 0.5) -> Column:
             return F.when(
                 (best["j"] >= 0) & (best["v"] >= threshold),
                 F.struct(
-                    F.array_append(acc["used"], best["j"]).alias("used"),
-                    F.array_append(acc["ious"], best["v"]).alias("ious"),
-                    F.array_append(acc["labels"], same).alias("labels"),
+                    (acc["served"] + 1).alias("served"), F.array_append(acc["used"], best["j"]).alias("used"),
+                    F.array_append(acc["ious"], best["v"]).alias("ious"), F.array_append(acc["labels"], same).alias("labels"),
+                    F.array_append(acc["places"], acc["served"]).alias("places"),
                 ).cast(state),
-            ).otherwise(acc)
+            ).otherwise(F.struct((acc["served"] + 1).alias("served"), *[acc[n].alias(n) for n in ("used", "ious", "labels", "places")]))
 
         return F.get(F.transform(F.array(best), take), F.lit(0))  # names the fold over b, so it runs once
 
@@ -117,6 +118,13 @@ def match_boxes(a: Column, b: Column, threshold: float = 0.5) -> Column:
             .otherwise(F.round(ratio, 4))
             .alias("spatial_agreement_ratio"),
             F.size(F.filter(m["labels"], lambda v: v)).alias("labels_matched"),
+            F.transform(
+                F.arrays_zip(m["places"].alias("i"), m["used"].alias("j"), m["ious"].alias("iou"), m["labels"].alias("labels_match")),
+                lambda z: F.struct(
+                    F.get(a, z["i"]).alias("box_a"), F.get(b, z["j"]).alias("box_b"), F.round(z["iou"], 4).alias("iou"),
+                    z["labels_match"].alias("labels_match"),
+                ),
+            ).alias("matched_pairs"),
         )
 
     # The fold is evaluated once: transform over a one-element array names it for the report.

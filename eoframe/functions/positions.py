@@ -36,6 +36,18 @@ def with_positions(df: DataFrame, order: list[str], groups: list[str] | None = N
     return placed.select(*df.columns, name)
 
 
+def running_total(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows that come before in ``order`` (a column without repeats), counted over ranges."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranged = materialize(df.repartitionByRange(parts, order).withColumn("__range", F.spark_partition_id()), "ranges")
+    earlier = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    whole = ranged.groupBy(F.col("__range").alias("__r")).agg(F.sum(value).alias("__s"))
+    before = whole.select("__r", F.coalesce(F.sum("__s").over(earlier), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    total = F.col("__before") + F.coalesce(F.sum(value).over(inside), F.lit(0))
+    return ranged.join(before, F.col("__range") == F.col("__r")).withColumn(name, total).select(*df.columns, name)
+
+
 def file_rows(df: DataFrame) -> DataFrame:
     """Rows just read from files, with ``FILE_ORDER``: file, start of the block and running number of the row within its task.
 

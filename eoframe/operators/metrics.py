@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eoframe import fixed_values as fv
 from eoframe.functions import geometry, text
+from eoframe.functions.positions import in_file_order
 from eoframe.functions.ranking import first_k_per_key
 from eoframe.operators.annotations import last_turn
 
@@ -18,6 +19,15 @@ def align_predictions(pred: DataFrame, ref: DataFrame) -> DataFrame:
     return ref.join(pred.select("ann_id", "prediction"), "ann_id")
 
 
+def align_by_position(pred: DataFrame, ref: DataFrame) -> DataFrame:
+    """Pair the rows of two file scans that hold predictions and references in the same order and have no id in common.
+
+    Places are counted over all files of a scan. Rows without a partner, where one side has more, come with a null other side.
+    """
+    left, right = in_file_order(ref), in_file_order(pred)
+    return left.join(right, "pos", "full")
+
+
 def _ratio(num: Column, den: Column) -> Column:
     return F.coalesce(F.try_divide(num, den), F.lit(0.0))
 

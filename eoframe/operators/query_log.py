@@ -121,24 +121,75 @@ def trace_events(dispatched: DataFrame) -> DataFrame:
 EVENT_FIELDS = ["block", "message", "endpoint", "details"]
 
 
-def assemble_traces(events: DataFrame) -> DataFrame:
-    """Ordered path, final status and first failing state of each request.
+def lifecycle_events(runs: DataFrame) -> DataFrame:
+    """The events of whole requests with all their fields, one row per step.
 
-    Every event counts, repeated ones too; those that carry further fields (``EVENT_FIELDS``) keep them. The trace of a
-    request is the result itself, so its events meet in one row.
+    ``runs``: dispatched queries (see ``dispatch``) with ml_status, ml_error, model_version, score and disagreement of those that a
+    tool answered. Details are JSON objects. A tool that fails leaves its own failed event and one for the request.
     """
-    fields = ["step", "state", "status", *[c for c in EVENT_FIELDS if c in events.columns]]
-    failed = F.when(F.col("status") == "failed", F.col("step"))
-    traces = events.groupBy("request_id").agg(
-        F.sort_array(F.collect_list(F.struct(*fields))).alias("events"),
-        F.count(F.lit(1)).alias("n_events"),
-        F.min_by("state", failed).alias("failing_state"),
-        F.max_by("state", "step").alias("last_state"),
-    )
+    c = F.col
+    refused, failed = c("reject_reason").isNotNull(), c("status") == "failed"
+    bad_input, done = ~refused & (c("status") == "rejected"), c("status") == "dispatched"
+    good = done & (F.coalesce("ml_status", F.lit("success")) == "success")
+    broken = done & ~good
+    none = F.lit(None).cast("string")
+
+    def text_of(*parts: Column | str) -> Column:
+        return F.concat(*[F.lit(x) if isinstance(x, str) else F.coalesce(x.cast("string"), F.lit("")) for x in parts])
+
+    def event(when: Column, state: str, status: str, message: Column, tool: bool = False, **details: Column) -> Column:
+        named = F.to_json(F.struct(*[v.alias(k) for k, v in details.items()])) if details else F.lit("{}")
+        return F.when(when, F.struct(
+            F.lit(state).alias("state"), F.lit(status).alias("status"), (c("task") if tool else none).alias("block"),
+            message.alias("message"), (c("endpoint") if tool else none).alias("endpoint"), named.alias("details"),
+        ))
+
+    fault = F.coalesce("ml_error", F.lit("tool failed"))
+    events = F.array_compact(F.array(
+        event(F.lit(True), "QUERY_RECEIVED", "success", F.lit("accepted"), query_length=F.length(F.coalesce("query", F.lit("")))),
+        event(refused, "CLASSIFY", "failed", c("reject_reason")),
+        event(~refused, "CLASSIFY", "success", text_of("classified as ", c("task")), task=c("task")),
+        event(failed, "EXECUTION", "failed", c("error")),
+        event(bad_input | done, "TOOL_SELECTED", "success", text_of("selected ", c("task")), tool=True),
+        event(bad_input | done, "VALIDATE_INPUT", "started", F.lit("validating")),
+        event(bad_input, "VALIDATE_INPUT", "failed", c("error"), reasons=c("error")),
+        event(done, "VALIDATE_INPUT", "success", F.lit("input accepted")),
+        event(done, "ML_EXECUTE", "started", text_of("calling ", c("task")), tool=True),
+        event(broken, "ML_EXECUTE", "failed", fault, tool=True),
+        event(good, "ML_EXECUTE", "success", text_of(c("task"), " completed"), tool=True, model_version=c("model_version")),
+        event(good, "CONFIDENCE", "started", F.lit("weighing confidence")),
+        event(good, "CONFIDENCE", "success", text_of("final confidence ", F.format_string("%.3f", "score")), disagreement=c("disagreement")),
+        event(good, "TRACE_FINALIZED", "success", F.lit("trace completed")),
+        event(broken, "EXECUTION", "failed", fault),
+    ))
+    rows = runs.select("request_id", F.posexplode(events).alias("pos", "e"))
+    return rows.select("request_id", (F.col("pos") + 1).alias("step"), "e.*")
+
+
+def trace_aggregates(columns: list[str]) -> list[Column]:
+    fields = ["step", "state", "status", *[f for f in EVENT_FIELDS if f in columns]]
+    failed = F.col("status") == "failed"
+    return [
+        F.sort_array(F.collect_list(F.struct(*fields))).alias("events"), F.count(F.lit(1)).alias("n_events"),
+        F.min_by("state", F.when(failed, F.col("step"))).alias("failing_state"), F.max_by("state", "step").alias("last_state"),
+        F.bool_or(failed & (F.col("state") == "EXECUTION")).alias("broke"),
+    ]
+
+
+def with_final_status(traces: DataFrame) -> DataFrame:
     final = (
-        F.when(F.col("failing_state") == "EXECUTION", F.lit("failed"))
+        F.when(F.col("broke"), F.lit("failed"))
         .when(F.col("failing_state").isNotNull(), F.lit("rejected"))
         .when(F.col("last_state") == "TRACE_FINALIZED", F.lit("success"))
         .otherwise(F.lit("running"))
     )
-    return traces.withColumn("final_status", final)
+    return traces.withColumn("final_status", final).drop("broke")
+
+
+def assemble_traces(events: DataFrame) -> DataFrame:
+    """Ordered path, final status and first failing state of each request.
+
+    Every event counts, repeated ones too; those that carry further fields (``EVENT_FIELDS``) keep them. The trace of a
+    request is the result itself, so its events meet in one row.
+    """
+    return with_final_status(events.groupBy("request_id").agg(*trace_aggregates(events.columns)))

@@ -77,6 +77,43 @@ def detect_disagreement(outputs: DataFrame, iou: float = 0.5) -> DataFrame:
     )
 
 
+def full_reports(requests: DataFrame, outputs: DataFrame, iou: float = 0.5) -> DataFrame:
+    """Reports with all their fields for every request, those without any output included.
+
+    To the fields of ``detect_disagreement`` come participating_models (in order of position), individual_predictions and
+    individual_confidences (by model; a model named twice keeps its last output), provenance_refs (of outputs that have a
+    provenance_id) and comparison_summary. The outputs of a request are the report, so they meet in one row.
+    """
+    if "provenance_id" not in outputs.columns:
+        outputs = outputs.withColumn("provenance_id", F.lit(None).cast("string"))
+    said = F.array_sort(F.collect_list(F.struct("position", "model_name", "prediction", "confidence", "provenance_id")))
+    listed = outputs.groupBy("request_id").agg(said.alias("said"))
+
+    def by_model(field: str) -> Column:
+        last = F.filter("said", lambda x, i: ~F.exists(F.slice("said", i + 2, F.size("said")), lambda y: y["model_name"] == x["model_name"]))
+        return F.map_from_entries(F.transform(last, lambda x: F.struct(x["model_name"], x[field])))
+
+    refs = F.transform(F.filter("said", lambda x: F.coalesce(x["provenance_id"], F.lit("")) != ""), lambda x: x["provenance_id"])
+    members = listed.select(
+        "request_id", F.transform("said", lambda x: x["model_name"]).alias("participating_models"),
+        by_model("prediction").alias("individual_predictions"), by_model("confidence").alias("individual_confidences"),
+        refs.alias("provenance_refs"),
+    )
+    reports = with_silent_requests(requests, detect_disagreement(outputs, iou)).join(members, "request_id", "left")
+    texts, names = F.array().cast("array<string>"), F.create_map().cast("map<string,string>")
+    summary = (
+        F.when(F.col("n_outputs") == 0, F.lit("no outputs"))
+        .when(F.col("n_outputs") == 1, F.concat(F.lit("single output of "), F.get("participating_models", F.lit(0))))
+        .otherwise(F.concat(F.col("n_outputs").cast("string"), F.lit(" outputs: "), F.col("status")))
+    )
+    return reports.withColumns({
+        "participating_models": F.coalesce("participating_models", texts), "provenance_refs": F.coalesce("provenance_refs", texts),
+        "individual_predictions": F.coalesce("individual_predictions", names),
+        "individual_confidences": F.coalesce("individual_confidences", F.create_map().cast("map<string,double>")),
+        "comparison_summary": summary,
+    })
+
+
 def with_silent_requests(requests: DataFrame, reports: DataFrame) -> DataFrame:
     """Requests without any output get the status that says so."""
     return requests.select("request_id").join(reports, "request_id", "left").withColumns(
@@ -159,6 +196,37 @@ def aggregate_confidence(df: DataFrame, cfg: ConfidenceConfig | None = None) ->
     return staged.withColumn("final_confidence", clamp01(final))
 
 
+def confidence_report(df: DataFrame, cfg: ConfidenceConfig | None = None) -> DataFrame:
+    """``aggregate_confidence`` as an auditable record: numbers to 4 digits, the components that went in, and the method's version.
+
+    A component that played no part is null in ``confidence_components``.
+    """
+    cfg = cfg or ConfidenceConfig()
+    c, out = F.col, aggregate_confidence(df, cfg)
+    opt, sar = c("optical_confidence"), c("sar_confidence")
+    cloud, meta, align, quality = _quality(cfg, opt.isNotNull() | sar.isNull())
+    alone = opt.isNull() & sar.isNull()
+
+    def digits(x: Column) -> Column:
+        return F.round(x, 4)
+
+    components = F.struct(
+        F.when(opt.isNotNull(), clamp01(opt)).alias("optical_model_confidence"),
+        F.when(sar.isNotNull(), clamp01(sar)).alias("sar_model_confidence"),
+        F.when(alone & c("model_confidence").isNotNull(), clamp01(c("model_confidence"))).alias("raw_model_confidence"),
+        F.when(alone & c("model_confidence").isNull(), F.lit(True)).alias("model_confidence_assumed_default"),
+        digits(cloud).alias("cloud_quality_factor"), digits(meta).alias("metadata_quality_factor"),
+        digits(align).alias("spatial_alignment_factor"), c("penalty").alias("disagreement_penalty"),
+    )
+    keep = [n for n in df.columns if n not in ("model_confidence", "agreement_score", "final_confidence")]
+    return out.select(
+        *keep, digits(c("model_term")).alias("model_confidence"), digits(c("agreement_term")).alias("agreement_score"),
+        digits(quality).alias("input_quality_score"), digits(c("final_confidence")).alias("final_confidence"),
+        components.alias("confidence_components"), digits(c("penalty")).alias("disagreement_penalty_applied"),
+        F.lit(cfg.version).alias("confidence_method_version"),
+    )
+
+
 def light_confidence(df: DataFrame) -> DataFrame:
     """The lightweight service score with its defaults; agreement below 0.60 flags a disagreement."""
     m, a, q = (

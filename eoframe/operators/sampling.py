@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eoframe import fixed_values as fv
+from eoframe.functions.positions import running_total
 from eoframe.functions.ranking import (
     count_of, cut_at, first_k_per_key, hash_key, keep_first, keep_first_by, split_at,
 )
@@ -151,12 +152,9 @@ def sample_multilabel(labels: DataFrame, n: int, val: float, seed: int) -> DataF
         exploded.join(sizes, "label").groupBy("patch_id").agg(F.min("class_size").alias("rarity")), "patch-rarity"
     )
     per_rarity = rarity.groupBy("rarity").agg(F.count(F.lit(1)).alias("c"))
-    # at most one row per class: the running total over them is small
-    from pyspark.sql import Window as W
-
-    running = W.partitionBy(F.lit(1)).orderBy("rarity").rowsBetween(W.unboundedPreceding, 0)
-    limits = per_rarity.select("rarity", F.col("c"), F.sum("c").over(running).alias("upto")).select(
-        "rarity", F.greatest(F.lit(0), F.least(F.col("c"), F.lit(n) - (F.col("upto") - F.col("c")))).alias("limit")
+    # classes are few, but nothing bounds them: their running total is taken over ranges
+    limits = running_total(per_rarity, "rarity", "c", "before").select(
+        "rarity", F.greatest(F.lit(0), F.least(F.col("c"), F.lit(n) - F.col("before"))).alias("limit")
     )
     chosen = materialize(keep_first_by(rarity, seed, "patch_id", ["rarity"], limits), "patch-draw")
     return split_rows(chosen, seed, "patch_id", [("val", val)], "train")

@@ -214,7 +214,13 @@ def validate_images(images: DataFrame, cfg: ValidationConfig | None = None, stri
 # --- pairs ------------------------------------------------------------------------------------------------------------
 
 def assemble_pairs(pairs: DataFrame, images: DataFrame) -> DataFrame:
-    """Attach both image structs, put the optical one first in optical/radar pairs, compute overlap, name bad pairs."""
+    """Attach both image structs, put the optical one first in optical/radar pairs, compute overlap, name bad pairs.
+
+    A pair that brings its own spatial_overlap_iou keeps it; temporal_baseline_days and co_registration_status (unverified where
+    absent) are carried along.
+    """
+    given = {"spatial_overlap_iou": "double", "temporal_baseline_days": "double", "co_registration_status": "string"}
+    pairs = pairs.withColumns({n: F.lit(None).cast(t) for n, t in given.items() if n not in pairs.columns})
     code, name = text.normalize_crs(F.col("crs"), F.col("epsg"))  # once per image, not per pair
     images = images.withColumns({"crs_code": code, "crs_name": name})
     record = images.select("image_id", F.struct(*images.columns).alias("img"))
@@ -236,12 +242,12 @@ def assemble_pairs(pairs: DataFrame, images: DataFrame) -> DataFrame:
         F.when(F.col("first").isNull() | F.col("second").isNull(), F.lit("missing image"))
         .when(~F.coalesce(ok, F.lit(False)), F.lit("modality mismatch"))
         .alias("reject_reason"),
+        F.col("spatial_overlap_iou").cast("double").alias("given"), F.col("temporal_baseline_days").cast("double").alias("temporal_baseline_days"),
+        F.coalesce("co_registration_status", F.lit("unverified")).alias("co_registration_status"),
     )
     both = F.col("primary.spatial_bounds").isNotNull() & F.col("secondary.spatial_bounds").isNotNull()
-    return out.withColumn(
-        "spatial_overlap_iou",
-        F.when(both, geometry.box_iou(F.col("primary.spatial_bounds"), F.col("secondary.spatial_bounds"))),
-    )
+    measured = F.when(both, geometry.box_iou(F.col("primary.spatial_bounds"), F.col("secondary.spatial_bounds")))
+    return out.withColumn("spatial_overlap_iou", F.coalesce("given", measured)).drop("given")
 
 
 def crs_compatibility(a: Column, b: Column) -> tuple[Column, Column]:

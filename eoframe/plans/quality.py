@@ -451,8 +451,14 @@ _CONF = f"""k0 as (select *, {_OPTC} as oc, {_SARC} as sc, {_RAWC} as rw, case w
 @query(oracle(f"with {_CONF} select ann_id, round(mt, 6) as model_term, coalesce(round(agt, 6), -1) as agreement_term, round(ql, 6) as quality_term, pen as penalty, round({_c('fin')}, 6) as final_confidence from k3",
               "detections"))
 def final_confidence(t: Tables) -> DataFrame:
+    out = rc.aggregate_confidence(confidence_inputs(t))
+    return out.select("ann_id", F.round("model_term", 6).alias("model_term"), F.coalesce(F.round("agreement_term", 6), F.lit(-1.0)).alias("agreement_term"),
+                      F.round("quality_term", 6).alias("quality_term"), "penalty", F.round("final_confidence", 6).alias("final_confidence"))
+
+
+def confidence_inputs(t: Tables) -> DataFrame:
     pk, sk, x = F.col("pk"), F.col("sk"), F.col("x")
-    rows = t.detections.select(
+    return t.detections.select(
         "ann_id", F.when(pk % 4 != 0, (pk % 120).cast("double")).alias("cloud_cover_percentage"),
         F.when(pk % 5 != 0, pk % 2 == 0).alias("is_complete"), F.when(sk % 5 != 0, sk % 2 == 0).alias("has_georeference"),
         F.when(sk % 7 != 0, x * 2).alias("alignment_iou"),
@@ -460,9 +466,6 @@ def final_confidence(t: Tables) -> DataFrame:
         F.when(pk % 7 == 1, F.lit(float("nan"))).when(pk % 5 == 1, F.col("confidence")).alias("model_confidence"),
         F.when(sk % 2 == 0, F.col("confidence") - 0.1).alias("agreement_score"), (sk % 4 == 0).alias("disagreement_detected"),
         F.when(pk % 9 < 3, F.lit("partial")).when(pk % 9 < 6, F.lit("NONE")).otherwise(F.lit("MATERIAL")).alias("severity"))
-    out = rc.aggregate_confidence(rows)
-    return out.select("ann_id", F.round("model_term", 6).alias("model_term"), F.coalesce(F.round("agreement_term", 6), F.lit(-1.0)).alias("agreement_term"),
-                      F.round("quality_term", 6).alias("quality_term"), "penalty", F.round("final_confidence", 6).alias("final_confidence"))
 
 
 @query(oracle("""with c as (select ann_id, coalesce(case when pk % 3 <> 0 then confidence end, 0.75e0) as m, coalesce(case when pk % 4 <> 0 then x end, 1e0) as a,

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eoframe.functions.positions import in_file_order
 from eoframe.operators import annotations as an
 from eoframe.operators import pairs as tp
 from eoframe.operators import sampling as sm
 from eoframe.plans.registry import query
-from eoframe.session import materialize
+from eoframe.session import materialize, shared_dir
 from eoframe.sources.adapters import Tables, oracle
 
 SEED = 42
@@ -188,9 +189,12 @@ def multilabel_sample(t: Tables) -> DataFrame:
     return sm.sample_multilabel(an.label_sets(t.ann), N, 0.2, SEED)
 
 
-@query(oracle(f"select id, image from entries order by {_md5('id')}", "entries"))
+@query(oracle(f"select row_number() over (order by {_md5('id')}, id) - 1 as pos, id, image from entries", "entries"))
 def stable_shuffle(t: Tables) -> DataFrame:
-    return sm.stable_shuffle(t.entries.select("id", "image"), SEED, "id")
+    """The shuffled rows as files, read back with the places they have there."""
+    path = shared_dir(t.spark, "shuffled")
+    sm.stable_shuffle(t.entries.select("id", "image"), SEED, "id").write.json(path)
+    return in_file_order(t.spark.read.schema("id string, image string").json(path))
 
 
 # --- temporal pairs ---------------------------------------------------------------------------------------------------

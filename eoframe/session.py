@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,11 @@ def local_session(cores: str = "8", app: str = "eoframe", memory: str = "8g") ->
     )
 
 
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``; a temporary one only in a local session that names none (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -37,8 +43,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         master = spark.conf.get("spark.master", "")
         if master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _own_dir()
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -18,6 +18,11 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
     manifest.write.mode("overwrite").json(path)
 
 
+def write_ordered(df: DataFrame, path: str, order: list[str]) -> None:
+    """JSON lines in a given order over all files, by name. Rows are range partitioned and sorted, never in one task."""
+    df.orderBy(*order).write.mode("overwrite").json(path)
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A counts frame as JSON; reports are small, so one file."""
     report.coalesce(1).write.mode("overwrite").json(path)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from eoframe.operators import contracts
 from eoframe.operators import lineage as ln
+from eoframe.session import shared_dir
 from eoframe.sources import writers
 from eoframe.sources.store import Conflict, VersionedStore
 
@@ -147,3 +148,23 @@ def test_files_are_written_by_tasks(spark, tmp_path):
     told = writers.write_files(df, str(tmp_path / "f")).collect()
     assert sorted((r.path.rsplit("/", 1)[1], r.size_bytes) for r in told) == [("a.bin", 3), ("b.bin", 0)]
     assert (tmp_path / "f/a.bin").read_bytes() == b"123" and not (tmp_path / "f/c.bin").exists()
+
+
+class Settings:
+    """A session of which only the settings matter."""
+
+    def __init__(self, **held):
+        self.conf = self
+        self.held = held
+
+    def get(self, name, default=None):
+        return self.held.get(name, default)
+
+
+def test_shared_folder_comes_from_the_session():
+    given = shared_dir(Settings(**{"spark.checkpoint.dir": "hdfs://x/cp/", "spark.master": "yarn"}), "t")
+    assert given.startswith("hdfs://x/cp/t-")
+    one, two = (shared_dir(Settings(**{"spark.master": "local[2]"}), "t") for _ in range(2))
+    assert one != two and one.rsplit("/", 1)[0] == two.rsplit("/", 1)[0]
+    with pytest.raises(ValueError):
+        shared_dir(Settings(**{"spark.master": "spark://host:7077"}), "t")
