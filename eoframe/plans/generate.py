@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from eoframe import fixed_values as fv
 from eoframe.operators import annotations as an
-from eoframe.operators import radar
+from eoframe.operators import mixture, radar
+from eoframe.operators import sampling as sm
 from eoframe.plans.registry import contains_sql, query, sql_text
 from eoframe.sources.adapters import Tables, oracle
 
@@ -103,3 +104,40 @@ def fusion_questions(t: Tables) -> DataFrame:
     cats = radar.patch_categories(t.ann, t.cached)
     covers = cats.select("patch_id", radar.landcover_class(F.col("categories")).alias("landcover"))
     return radar.generate_fusion_qa(covers, SEED).select("image", "input", "output", "category")
+
+
+def _rank(key: str) -> str:
+    return f"row_number() over (order by md5('{SEED}:' || {key}), {key})"
+
+
+_GENERAL = f"""g0 as (select ann_id as id, patch_id as image, input, output from ann where type <> 'bounding box'),
+    gp as (select image, {_rank('image')} as rn, count(*) over () as n from (select distinct image from g0)),
+    general as (select g0.*, case when rn <= greatest(1, floor(n * 0.1e0)) then 'val' else 'train' end as split from g0 join gp using (image))"""
+_MIXTURE = f"""{CATEGORIES}, {_QA}, {_GENERAL},
+    s0 as (select image || '|' || cat || '|' || cast(n as varchar(2)) as id, image, input, output from qa),
+    s1 as (select *, case when {_rank('id')} <= floor(count(*) over () * 0.8e0) then 'train' else 'val' end as split from s0),
+    lc as (select patch_id, {_COVER} as landcover from cats where patch_id in (select image from general where split = 'train')),
+    lr as (select patch_id, landcover, row_number() over (partition by landcover order by md5('{SEED}:' || patch_id), patch_id) as rn from lc),
+    cov as (select patch_id, landcover from lr where rn <= floor(floor(800 / greatest((select count(distinct landcover) from lc), 1)) / 5)),
+    f0 as (select image || '|' || category as id, image, input, output from ({_family_sql()})),
+    f1 as (select *, case when {_rank('id')} <= greatest(20, floor(count(*) over () * 0.15e0)) then 'val' else 'train' end as split from f0),
+    mixture as (select id, image, input, output, 'general' as category, split, 1 as copy from general
+      union all select id, image, input, output, 'sar', split, c from s1 cross join (values (1), (2)) as k(c) where split = 'train' or c = 1
+      union all select id, image, input, output, 'fusion', split, 1 from f1)"""
+
+
+def _built(t: Tables) -> DataFrame:
+    e = t.ann.filter(F.col("type") != "bounding box").select(F.col("ann_id").alias("id"), F.col("patch_id").alias("image"), "input", "output")
+    return mixture.build_mixture(sm.split_by_patch(e, 0.1, SEED), radar.patch_categories(t.ann, t.cached), SEED)
+
+
+@query(oracle(f"with {_MIXTURE} select * from mixture", "ann", "cached"))
+def mixture_build(t: Tables) -> DataFrame:
+    """General entries, radar questions and fusion questions of the given patches, split and repeated, as one training set."""
+    return _built(t)
+
+
+@query(oracle(f"""with {_MIXTURE} select category, count(*) as n_rows, round(count(*) * 100 / cast((select count(*) from mixture where split = 'train') as double), 6) as share_pct
+    from mixture where split = 'train' group by category""", "ann", "cached"))
+def mixture_build_shares(t: Tables) -> DataFrame:
+    return an.mixture_report(_built(t).where("split = 'train'")).withColumn("share_pct", F.round("share_pct", 6))
