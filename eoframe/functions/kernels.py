@@ -59,6 +59,31 @@ def minmax(stack: np.ndarray) -> np.ndarray:
     return np.where(span > EPS, (stack - low) / np.where(span > EPS, span, 1.0), 0.0)
 
 
+def clip(stack: np.ndarray, low: float, high: float) -> np.ndarray:
+    return np.clip(stack, low, high)
+
+
+def fixed_range(bands: np.ndarray, stack: np.ndarray, ranges: dict[str, tuple[float, float]]) -> np.ndarray:
+    """By the band's fixed range; a band without one by its own."""
+    out = minmax(stack)
+    for k, band in enumerate(bands):
+        if band in ranges:
+            low, high = ranges[band]
+            out[k] = (stack[k] - low) / (high - low)
+    return out
+
+
+def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a / b, 1 where b is near zero."""
+    return np.where(np.abs(b) > EPS, a / np.where(np.abs(b) > EPS, b, 1.0), 1.0)
+
+
+def to_db(stack: np.ndarray) -> np.ndarray:
+    """Linear backscatter of a band without negative values in decibel; other bands as they are."""
+    linear = (stack >= 0).all(axis=(1, 2), keepdims=True)
+    return np.where(linear, 10.0 * np.log10(np.maximum(stack, 1e-10)), stack)
+
+
 def stretch(stack: np.ndarray, low: float, high: float, degenerate: int = 0, eps: float = 1e-6) -> np.ndarray:
     """0..255, truncated, between two percentiles of each band (linear between closest ranks); a flat band becomes ``degenerate``."""
     flat = np.sort(stack.reshape(len(stack), -1), axis=1)

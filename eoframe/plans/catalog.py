@@ -101,9 +101,17 @@ def unified_conversations(t: Tables) -> DataFrame:
 
 @query(oracle(f"""with {_UNIFIED}
     select image, '<|im_start|>user' || chr(10) || human || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10)
-      || gpt || '<|im_end|>' || chr(10) as chat from unified""", "ann"))
+      || gpt || '<|im_end|>' || chr(10) as chat, cast(null as varchar) as reject_reason from unified
+    union all select patch_id, null, 'expected 2 turns, got ' || case when l_suppkey % 2 = 0 then '3' else '1' end from ann where type = 'mcq'""", "ann"))
 def chat_rendering(t: Tables) -> DataFrame:
-    return an.render_chat(_unified(t)).filter(F.col("reject_reason").isNull()).select("image", "chat")
+    """All entries, and those of one type again with a turn too many or too few, which are rejected."""
+    def turn(who: str, column: str) -> F.Column:
+        return F.struct(F.lit(who).alias("from"), F.col(column).alias("value"))
+
+    odd = F.when(F.col("l_suppkey") % 2 == 0, F.array(turn("human", "input"), turn("gpt", "output"), turn("human", "input")))
+    torn = t.ann.filter(F.col("type") == "mcq").select(
+        F.col("patch_id").alias("image"), odd.otherwise(F.array(turn("human", "input"))).alias("conversations"))
+    return an.render_chat(_unified(t).select("image", "conversations").unionByName(torn)).select("image", "chat", "reject_reason")
 
 
 @query(oracle(f"""with {_UNIFIED}

@@ -211,7 +211,14 @@ def provenance_json_parsing(t: Tables) -> DataFrame:
     return out.select("k", F.coalesce("reject_reason", F.lit("ok")).alias("verdict"), "run_id", "model_version")
 
 
-@query(oracle("""select image_id, '{"image_id":"' || image_id || '","sensor":' || coalesce('"' || sensor || '"', 'null') || ',"width":' || cast(width as varchar(12)) || '}'
-    as payload from images""", "images"))
+@query(oracle("""with b as (select *, case when k % 10 = 1 then ['b02', 'B03', 'B99'] when modality = 'sar' then ['VV', 'VH'] when modality = 'optical' then ['B04', 'B03', 'B02']
+      when modality = 'multispectral' then ['B01', 'B02', 'B03', 'B04', 'B05', 'B06', 'B07', 'B08', 'B8A', 'B09', 'B11', 'B12'] else [] end as ids from images)
+    select image_id, '{"image_id":"' || image_id || '","sensor":' || coalesce('"' || sensor || '"', 'null') || ',"width":' || cast(width as varchar(12))
+      || ',"cloud_cover_percentage":' || coalesce(cast(cloud_cover_percentage as varchar(20)), 'null')
+      || ',"spatial_bounds":' || case when bx is null then 'null' else '{"min_x":' || cast(bx as varchar(20)) || ',"min_y":' || cast(by_ as varchar(20))
+        || ',"max_x":' || cast(bx + 100 as varchar(20)) || ',"max_y":' || cast(by_ + 100 as varchar(20)) || '}' end
+      || ',"bands":[' || array_to_string(list_transform(ids, lambda x, i: '{"band_index":' || cast(i as varchar(4)) || ',"band_id":"' || x || '","wavelength_nm":null}'), ',') || ']}'
+    as payload from b""", "images"))
 def image_json_text(t: Tables) -> DataFrame:
-    return md.to_ontology_json(t.images.select("image_id", "sensor", "width"))
+    """Records with nested bounds and bands as JSON."""
+    return md.to_ontology_json(t.image_records.select("image_id", "sensor", "width", "cloud_cover_percentage", "spatial_bounds", "bands"))

@@ -272,6 +272,45 @@ def harmonised_stack(t: Tables) -> DataFrame:
     return sums.withColumns({c: _floored(F.col(c), 1) for c in ("stack_sum", "ndvi", "ndwi", "ndbi")})
 
 
+_PCT = "vs[288] + (vs[289] - vs[288]) * (14399 * 0.02e0 - 287) as lo, vs[14112] + (vs[14113] - vs[14112]) * (14399 * 0.98e0 - 14111) as hi"
+
+
+@query(oracle(f"""with r as (select patch_id, band, i, v, greatest(-30e0, least(5e0, case when linear then 10 * log10(greatest(v, 1e-10)) else v end)) as d from radar_rasters),
+    st as (select patch_id, max(k) as n, sum(k * s) as s from (select patch_id, row_number() over (partition by patch_id order by band) as k,
+      avg(case band when 'VV' then (d + 25e0) / 30e0 else (d + 35e0) / 30e0 end * (i + 1)) as s from r group by patch_id, band) group by patch_id),
+    rg as (select patch_id, max(v) filter (where band = 'VV') as top, avg(v) filter (where band = 'VV') as mean from r group by 1),
+    w as (select patch_id, i, max(d) filter (where band = 'VV') as vv, max(d) filter (where band = 'VH') as vh from r group by 1, 2),
+    three as (select patch_id, 1 as c, i, vv as x from w union all select patch_id, 2, i, coalesce(vh, vv) from w
+      union all select patch_id, 3, i, case when vh is null then vv when abs(vh) > 1e-8 then vv / vh else 1 end from w),
+    b as (select patch_id, c, {_PCT} from (select patch_id, c, list_sort(list(x)) as vs from three group by 1, 2)),
+    rgb as (select patch_id, sum(case when hi - lo >= 1e-8 then floor((greatest(lo, least(hi, x)) - lo) / (hi - lo) * 255e0) else 0 end)::bigint as s
+      from three join b using (patch_id, c) group by 1)
+    select patch_id, case when n = 2 then 'VH,VV' else 'VV' end as channels, {_AVG.format('st.s')} as stack_sum, {_AVG.format('rgb.s / 1e4')} as rgb_sum,
+      {_AVG.format('top')} as highest, {_AVG.format('mean')} as mean_value from st join rg using (patch_id) join rgb using (patch_id)""", "radar_rasters"))
+def radar_product(t: Tables) -> DataFrame:
+    """The radar pipeline on the sensor's grid: linear channels in decibel, clipped, scaled, with display channels and ranges."""
+    out = optical.radar_stack(t.radar_rasters)
+    names = ["patch_id", "channels", "stack_sum", "rgb_sum", "highest", "mean_value"]
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, made = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}, []
+            for k in range(len(batch)):
+                stack, rgb = ([np.asarray(b.values) for b in held[c][k]] for c in ("stack", "rgb"))
+                ranges = {e["key"].as_py(): e["value"].as_py() for e in held["input_ranges"][k].values}
+                sums = [float((b * np.arange(1, len(b) + 1)).mean()) for b in stack]
+                made.append((
+                    held["patch_id"][k].as_py(), ",".join(held["channels_used"][k].as_py()), sum((j + 1) * x for j, x in enumerate(sums)),
+                    float(sum(int(b.sum()) for b in rgb)) / 1e4, ranges["VV"][1], ranges["VV"][2],
+                ))
+            if made:
+                types = [pa.string(), pa.string(), *[pa.float64()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), types)], names=names)
+
+    sums = out.mapInArrow(digest, "patch_id string, channels string, stack_sum double, rgb_sum double, highest double, mean_value double")
+    return sums.withColumns({c: _floored(F.col(c), 1) for c in names[2:]})
+
+
 @query(oracle(f"""with b as (select distinct patch_id, band, {_NATIVE} as m from px)
     select patch_id, string_agg(band, ',' order by replace(band, 'B8A', 'B08A')) filter (where m <> 60) as bands_used, string_agg(band, ',' order by band) filter (where m = 60) as bands_dropped,
       string_agg(band || ': excluded by native resolution 60 m', '; ' order by band) filter (where m = 60) as drop_reasons, 'standardize' as normalization from b group by patch_id""", "px"))

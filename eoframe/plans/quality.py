@@ -79,6 +79,20 @@ def dimension_check(t: Tables) -> DataFrame:
     return _rule(t, va.dimension_error(CFG))
 
 
+@query(oracle("""select k, case when k % 7 = 2 then '20x' || cast(height * 2000 as varchar(12)) || case when height * 2000 > 65536 then ' is too large' else '' end when k % 7 = 3 then '65537x' || cast(height as varchar(12)) || case when height < 16
+      then ' is too small' else ' is too large' end when k % 7 = 4 then '65536x16' when k % 7 = 5 then '15x65537 is too small' end as told from images where k % 7 between 2 and 5""", "images"))
+def dimension_limits(t: Tables) -> DataFrame:
+    """Sides at and beyond both limits."""
+    m, height = F.col("k") % 7, F.col("height")
+    sized = t.image_records.where(m.between(2, 5)).withColumns({
+        "width": F.when(m == 2, F.lit(20)).when(m == 3, F.lit(65537)).when(m == 4, F.lit(65536)).otherwise(F.lit(15)),
+        "height": F.when(m == 2, height * 2000).when(m == 3, height).when(m == 4, F.lit(16)).otherwise(F.lit(65537)),
+    })
+    error = va.dimension_error(CFG)
+    shape = F.concat(F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"))
+    return sized.select("k", F.coalesce(error["message"], shape).alias("told"))
+
+
 @query(_rule_sql(5))
 def band_check(t: Tables) -> DataFrame:
     return _rule(t, *va.band_errors(CFG))

@@ -305,12 +305,14 @@ def _detection_lists(t: Tables) -> DataFrame:
     return t.detections.select("ann_id", F.array(one.cast(kind), two.cast(kind)).alias("detections"))
 
 
-@query(oracle("""select ann_id, 0 as i, label, round(confidence, 3) as confidence, round(x, 4) as x1, round(y + 0.25e0, 4) as y2 from detections
+@query(oracle("""select ann_id, 0 as i, label, round(confidence, 3) as confidence, round(x, 4) as x1, round(y + 0.25e0, 4) as y2,
+      round(x + 0.3e0, 4) as x2, round(y, 4) as y1 from detections
     union all select ann_id, 1, case when pk % 3 <> 0 then label else 'unknown' end, round(confidence / 3, 3),
-      round(case when pk % 5 <> 0 then x / 3 else 0 end, 4), round(case when pk % 5 <> 0 then y else 1 end, 4) from detections""", "detections"))
+      round(case when pk % 5 <> 0 then x / 3 else 0 end, 4), round(case when pk % 5 <> 0 then y else 1 end, 4),
+      round(case when pk % 5 <> 0 then x else 1 end, 4), round(case when pk % 5 <> 0 then y / 3 else 0 end, 4) from detections""", "detections"))
 def served_boxes(t: Tables) -> DataFrame:
     rows = _detection_lists(t).select("ann_id", F.posexplode(geometry.format_boxes(F.col("detections"))).alias("i", "b"))
-    return rows.select("ann_id", "i", "b.label", "b.confidence", "b.x1", "b.y2")
+    return rows.select("ann_id", "i", "b.label", "b.confidence", "b.x1", "b.y2", "b.x2", "b.y1")
 
 
 @query(oracle("select ann_id, round((confidence + confidence / 3) / 2, 9) as mean_confidence from detections", "detections"))

@@ -304,6 +304,34 @@ class Tables:
         some = some.repartition(self.spark.sparkContext.defaultParallelism)
         return some.mapInArrow(draw, "patch_id string, band string, height int, width int, pixels array<double>")
 
+    @property
+    def radar_rasters(self) -> DataFrame:
+        """VV and VH of the same patches on the 10 m grid; VH is absent for some, others hold linear backscatter."""
+        n, cells = 120, np.arange(120 * 120)
+
+        def draw(batches):
+            for batch in batches:
+                made = {f.name: [] for f in schema}
+                for vec_id, vector in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    e = np.asarray(vector.values, dtype=np.float64)
+                    for o, band in enumerate(("VV", "VH")):
+                        if band == "VV" or vec_id % 5 != 2:
+                            v = e[(cells * (o + 2) + o) % len(e)] * 20.0 + (cells % 89) * 0.25 - 30.0
+                            if vec_id % 7 == 4:
+                                v = (v + 60.0) * 0.125
+                            for c, x in zip(made, (f"E{vec_id}", band, n, n, v)):
+                                made[c].append(x)
+                    if len(made["band"]) >= 120:
+                        yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in schema], schema=schema)
+                        made = {c: [] for c in made}
+                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in schema], schema=schema)
+
+        schema = pa.schema([("patch_id", pa.string()), ("band", pa.string()), ("height", pa.int32()), ("width", pa.int32()),
+                            ("pixels", pa.list_(pa.float64()))])
+        some = self.embeddings.where(F.size("embedding") > 0).select("vec_id", "embedding")
+        some = some.repartition(self.spark.sparkContext.defaultParallelism)
+        return some.mapInArrow(draw, "patch_id string, band string, height int, width int, pixels array<double>")
+
     def _raster(self, bands: list[tuple[str, int]], value) -> DataFrame:
         specs = F.array(*[
             F.struct(F.lit(b).alias("band"), F.lit(n).alias("n"), F.lit(i).cast("bigint").alias("o"))
@@ -380,6 +408,13 @@ ORACLE_ONLY: dict[str, tuple[list[str], str]] = {
           where not (vec_id % 11 = 3 and band in ('B02', 'B03', 'B04', 'B08')) and (vec_id % 11 = 3 or not (band = 'B08' and vec_id % 6 = 0
             or band = 'B02' and vec_id % 5 = 1 or band = 'B03' and vec_id % 10 = 1))""",
     ),
+    "radar_rasters": (
+        ["embeddings"],
+        """select 'E' || cast(vec_id as varchar(20)) as patch_id, vec_id % 7 = 4 as linear, band, i, case when vec_id % 7 = 4 then (raw + 60) * 0.125e0 else raw end as v
+          from (select vec_id, band, i, e[(i * (o + 2) + o) % len(e) + 1] * 20e0 + (i % 89) * 0.25e0 - 30e0 as raw
+            from (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings) cross join (values ('VV', 0), ('VH', 1)) as s(band, o)
+              cross join range(0, 14400) as r(i) where band = 'VV' or vec_id % 5 <> 2)""",
+    ),
     "rasters": (
         ["raster_bands"],
         """select patch_id, band, n, o, i, e[(i * (o + 1) + o) % len(e) + 1] * 3000e0 + (i % 97 * 11)::double + 500e0 as v

@@ -95,3 +95,24 @@ def test_settings(spark):
     row = optical.harmonised_stack(patch(spark, NATIVE), cfg).first()
     assert row.bands_used == ["B01", "B02", "B03", "B04", "B08", "B09"] and row.indices == {} and row.resample_method == "nearest"
     assert {min(b) for b in row.stack} == {0.0} and {max(b) for b in row.stack} == {1.0}
+
+
+def radar(spark, **bands):
+    rows = [(p, b, n, n, v) for p, held in bands.items() for b, (n, v) in held.items()]
+    return {r.patch_id: r for r in optical.radar_stack(spark.createDataFrame(rows, PX)).collect()}
+
+
+def test_radar_product(spark):
+    rng = np.random.default_rng(5)
+    vv, vh = rng.uniform(-40, 10, 64), rng.uniform(-40, -2, 64)
+    nan = vv.copy()
+    nan[3] = np.nan
+    got = radar(spark, both={"VH": (8, vh.tolist()), "VV": (8, vv.tolist())}, one={"VH": (8, vh.tolist())}, linear={"VV": (8, (vv + 50).tolist())},
+                odd={"VV": (8, vv.tolist()), "VH": (4, [0.0] * 16)}, other={"X": (8, nan.tolist())}, torn={"VV": (8, [1.0])})
+    clipped = {"VV": np.clip(vv, -30, 5), "VH": np.clip(vh, -30, 5)}
+    np.testing.assert_allclose(got["both"].stack, [(clipped["VH"] + 35) / 30, (clipped["VV"] + 25) / 30])
+    assert got["both"].channels_used == ["VH", "VV"] and got["both"].input_ranges["VV"][:2] == [vv.min(), vv.max()]
+    assert got["one"].rgb[0] == got["one"].rgb[1] == got["one"].rgb[2] and got["one"].channels_used == ["VH"]
+    np.testing.assert_allclose(got["linear"].stack[0], (np.clip(10 * np.log10(vv + 50), -30, 5) + 25) / 30)
+    assert got["odd"].error == "channels differ in size" and got["torn"].error == "no channel" and got["torn"].stack is None
+    assert got["other"].channels_used == ["X"] and got["other"].input_ranges["X"][2] == np.nanmean(nan)
