@@ -111,8 +111,13 @@ def changed_pairs(ann: DataFrame, cached: DataFrame) -> DataFrame:
 def balance_self_pairs(ann: DataFrame, patches: DataFrame, seed: int) -> DataFrame:
     """Self pairs (a patch with itself, similarity 1) until unchanged pairs match changed ones or patches run out. The real
     pairs are counted by weight, not listed."""
+    return self_pairs(pair_weights(ann, patches), patches, seed)
+
+
+def self_pairs(weights: DataFrame, patches: DataFrame, seed: int) -> DataFrame:
+    """As many self pairs as there are more changed than unchanged pairs in (change_type, weight), at most one per patch."""
     changed = F.when(F.col("change_type") == "no_change", -F.col("weight")).otherwise(F.col("weight"))
-    tally = materialize(pair_weights(ann, patches).agg(F.greatest(F.lit(0), F.sum(changed)).alias("n")), "pair-tally").scalar()
+    tally = materialize(weights.agg(F.greatest(F.lit(0), F.sum(changed)).alias("n")), "pair-tally").scalar()
     chosen = keep_first(parse_patch_id(patches.select("patch_id")), seed, "patch_id", F.coalesce(tally, F.lit(0)))
     none = F.array().cast("array<string>")
     return chosen.select(
@@ -128,9 +133,10 @@ def balance_self_pairs(ann: DataFrame, patches: DataFrame, seed: int) -> DataFra
 def build_temporal_pairs(ann: DataFrame, cached: DataFrame, seed: int) -> DataFrame:
     """Real pairs, balancing self pairs, then the 70/15/15 split of pairs."""
     patches = cached.select("patch_id").distinct()
-    # The pair table is read by two cuts and the output: write it once to the shared folder.
-    everything = changed_pairs(ann, patches).unionByName(balance_self_pairs(ann, patches, seed))
-    everything = materialize(everything, "temporal-pairs").withColumn("pair_key", F.concat_ws("|", "patch_t1", "patch_t2"))
+    # The real pairs are written once: they give the tally of the self pairs, two cuts and the output.
+    real = materialize(changed_pairs(ann, patches), "temporal-pairs")
+    added = materialize(self_pairs(real.select("change_type", F.lit(1).alias("weight")), patches, seed), "self-pairs")
+    everything = real.unionByName(added).withColumn("pair_key", F.concat_ws("|", "patch_t1", "patch_t2"))
     return split_rows(everything, seed, "pair_key", [("train", 0.7), ("val", 0.15)], "test")
 
 

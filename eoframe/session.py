@@ -31,6 +31,9 @@ def local_session(cores: str = "8", app: str = "eoframe", memory: str = "8g") ->
     )
 
 
+_GIVEN: list[str] = []
+
+
 @cache
 def _own_dir() -> str:
     return tempfile.mkdtemp(prefix="spark-")
@@ -44,7 +47,21 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         if master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _own_dir()
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _GIVEN.append(path)
+    return path
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Deletes the folders that this process was given so far, and returns their number. For long sessions: call it when results
+    are written, since frames that are still to be computed read these folders."""
+    storage = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    given, _GIVEN[:] = list(_GIVEN), []
+    for path in given:
+        where = storage.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    return len(given)
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:

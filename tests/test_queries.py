@@ -15,6 +15,11 @@ SOME = [
     "spectral_indices", "service_health", "instruction_files", "manifest_files", "report_files", "patch_store_files",
     "query_intent", "execution_traces", "pair_assembly", "crs_compatibility", "reconcile_stream", "gather_stream", "type_caps",
     "balanced_cap", "change_gap_stats", "self_pair_balance", "temporal_dataset", "normalised_predictions", "modality_sections",
+    "request_lifecycle", "trace_stream", "disagreement_reports", "matched_pairs", "confidence_records", "zipped_predictions",
+    "stable_shuffle", "multilabel_sample", "mixture_build", "contract_vqa", "contract_caption", "contract_grounding", "contract_change",
+    "contract_fusion", "lineage_closure", "lineage_summary", "provenance_full", "versioned_store", "imagery_index_files",
+    "raster_catalog_files", "file_verification", "target_grid", "packed_stack", "radar_product", "served_boxes", "chat_rendering",
+    "image_json_text", "dimension_limits", "patch_split_v2", "pair_facts",
 ]
 
 

@@ -1,14 +1,16 @@
 """The versioned store under failures, lineage against a plain search, contracts compiled from schemas."""
 
 import json
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from eoframe import session
 from eoframe.operators import contracts
 from eoframe.operators import lineage as ln
-from eoframe.session import shared_dir
+from eoframe.session import clean_up, materialize, shared_dir
 from eoframe.sources import writers
 from eoframe.sources.store import Conflict, VersionedStore
 
@@ -161,10 +163,19 @@ class Settings:
         return self.held.get(name, default)
 
 
-def test_shared_folder_comes_from_the_session():
+def test_shared_folder_comes_from_the_session(monkeypatch):
+    monkeypatch.setattr(session, "_GIVEN", [])
     given = shared_dir(Settings(**{"spark.checkpoint.dir": "hdfs://x/cp/", "spark.master": "yarn"}), "t")
     assert given.startswith("hdfs://x/cp/t-")
     one, two = (shared_dir(Settings(**{"spark.master": "local[2]"}), "t") for _ in range(2))
     assert one != two and one.rsplit("/", 1)[0] == two.rsplit("/", 1)[0]
     with pytest.raises(ValueError):
         shared_dir(Settings(**{"spark.master": "spark://host:7077"}), "t")
+
+
+def test_intermediates_can_be_cleaned_up(spark, monkeypatch):
+    monkeypatch.setattr(session, "_GIVEN", [])
+    kept = materialize(spark.range(5), "t")
+    path = kept.inputFiles()[0].rsplit("/", 1)[0]
+    assert kept.count() == 5 and clean_up(spark) == 1 and clean_up(spark) == 0
+    assert not os.path.exists(path.removeprefix("file://"))
