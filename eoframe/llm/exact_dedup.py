@@ -18,10 +18,11 @@ def text_digest(text: Column) -> Column:
 
 
 class DigestIndex:
-    """One row per distinct text ever added: ``digest`` (SHA-256 of the UTF-8 text, lowercase hex) and ``keep_id``.
+    """One row per distinct text ever added: ``digest`` (SHA-256 of the UTF-8 text, lowercase hex), ``keep_id`` and the ``batch`` that
+    brought it.
 
     The table is bucketed and sorted by digest, so a batch meets it in a sort-merge anti join that moves only the batch. Its
-    files lie in a folder all executors reach; ``append`` adds files, it never rewrites any. Give ``path`` and ``name`` to go on
+    files lie in a folder all executors reach; ``append`` adds files, it never rewrites any. One job at a time adds to it. Give ``path`` and ``name`` to go on
     with an index of an earlier session.
     """
 
@@ -31,26 +32,31 @@ class DigestIndex:
         self.path = path or shared_dir(spark, "digest-index")
         if not spark.catalog.tableExists(self.name):
             spark.sql(
-                f"create table {self.name} (digest string, keep_id bigint) using parquet "
+                f"create table {self.name} (digest string, keep_id bigint, batch string) using parquet "
                 f"clustered by (digest) sorted by (digest) into {buckets} buckets location '{self.path}'"
             )
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def append(self, groups: DataFrame) -> None:
-        """Adds (digest, keep_id) rows, one writer per bucket."""
-        rows = groups.select("digest", F.col("keep_id").cast("bigint").alias("keep_id"))
+    def append(self, groups: DataFrame, batch: str) -> None:
+        """Adds (digest, keep_id) rows of a batch, one writer per bucket."""
+        rows = groups.select("digest", F.col("keep_id").cast("bigint").alias("keep_id"), F.lit(batch).alias("batch"))
         rows = rows.repartition(self.buckets, "digest").sortWithinPartitions("digest")
         rows.write.insertInto(self.name)
         self.spark.catalog.refreshTable(self.name)
 
 
-def add_batch(index: DigestIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def add_batch(
+    index: DigestIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: str | None = None
+) -> DataFrame:
     """Adds a batch to the index and says for each of its rows whether it stays.
 
     Returns doc_id, keep_id, group_size (rows of this batch with that text), kept, text_sha256, one row per input row. Of equal
     texts the row with the largest id stays; a text that the index held before keeps its earlier row, and the batch's rows go.
+    ``batch`` names the batch: run again under its name (after a failure, say), it finds its own texts in the index, adds only what
+    is missing and gives the same answer. Without a name every call is a batch of its own.
+
     A null text equals the empty one. A null id ranks below every number. Rows that repeat id and text stay once. An empty
     batch adds nothing. Other columns of the batch play no part.
     """
@@ -62,16 +68,13 @@ def add_batch(index: DigestIndex, docs: DataFrame, id_col: str = "doc_id", text_
         F.max("top").alias("keep_id"), F.sum("n").alias("group_size"), F.collect_set("salt").alias("salts")
     )
     groups = materialize(groups, "digest-groups")
-    before = index.table()
-    fresh = groups.hint("merge").join(before.select("digest"), "digest", "left_anti")
-    fresh = materialize(fresh.select("digest", "keep_id"), "digest-new")
-    index.append(fresh)
-    # after the append every digest of the batch is in the index; a digest that is not fresh was there before
-    held = index.table().select("digest", F.col("keep_id").alias("stays"))
-    marked = groups.join(held, "digest").join(fresh.select("digest", F.lit(True).alias("is_new")), "digest", "left")
-    marked = marked.select(
-        "digest", F.explode("salts").alias("salt"), "stays", "group_size", F.coalesce("is_new", F.lit(False)).alias("is_new")
-    )
+    batch = batch or uuid.uuid4().hex
+    fresh = groups.hint("merge").join(index.table().select("digest"), "digest", "left_anti")
+    index.append(materialize(fresh.select("digest", "keep_id"), "digest-new"), batch)
+    # now every digest of the batch is in the index, with the batch that brought it
+    held = index.table().select("digest", F.col("keep_id").alias("stays"), (F.col("batch") == batch).alias("is_new"))
+    marked = groups.join(held, "digest")
+    marked = marked.select("digest", F.explode("salts").alias("salt"), "stays", "group_size", "is_new")
     out = rows.join(marked, ["digest", "salt"])
     first = F.col("is_new") & F.col("doc_id").eqNullSafe(F.col("stays"))
     return out.select(

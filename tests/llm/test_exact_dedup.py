@@ -63,3 +63,16 @@ def test_kept_rows(spark, extra):
 def test_empty_table(spark):
     assert add_batch(DigestIndex(spark), docs(spark, [])).count() == 0
     assert keep_distinct(docs(spark, [])).count() == 0
+
+
+def test_a_batch_that_is_run_again_keeps_its_documents(spark):
+    """Also when the first run got only some of its texts into the index."""
+    index, rows = DigestIndex(spark, buckets=4), docs(spark, [(1, "a", "s"), (2, "b", "s"), (3, "b", "s"), (4, "old", "s")])
+    add_batch(index, docs(spark, [(0, "old", "s")]), batch="first")
+    want = sorted(map(tuple, add_batch(index, rows, batch="second").collect()))
+    assert sum(r[3] for r in want) == 2 and sorted(map(tuple, add_batch(index, rows, batch="second").collect())) == want
+    assert index.table().count() == 3 and sum(r.kept for r in add_batch(index, rows, batch="third").collect()) == 0
+    torn = DigestIndex(spark, buckets=4)
+    add_batch(torn, docs(spark, [(1, "a", "s")]), batch="second")
+    add_batch(torn, docs(spark, [(0, "old", "s")]), batch="first")
+    assert sorted(map(tuple, add_batch(torn, rows, batch="second").collect())) == want

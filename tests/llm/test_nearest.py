@@ -6,23 +6,24 @@ from eoframe.llm import nearest as nn
 
 
 def plain(rows, k, every):
-    ok = [(i, np.array(v, dtype=float)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)
+    ok = [(n, i, np.array(v, dtype=float)) for n, (i, v) in enumerate(rows) if i is not None and v and all(x is not None and np.isfinite(x) for x in v)
           and any(v)]
     out = []
-    for q, v in ok:
+    for n, q, v in ok:
         if q % every:
             continue
         found = []
-        for c, w in ok:
-            if c != q and len(w) == len(v):
+        for m, c, w in ok:
+            if m != n and len(w) == len(v):
+                a, b = (x / 2.0 ** np.frexp(np.abs(x).max())[1] for x in (v, w))
                 dot = lambda a, b: np.cumsum(a * b)[-1]
-                found.append((-(dot(v, w) / np.sqrt(dot(v, v) * dot(w, w))), c))
+                found.append((-(dot(a, b) / np.sqrt(dot(a, a) * dot(b, b))), c))
         out += [(q, r + 1, c, -s) for r, (s, c) in enumerate(sorted(found)[:k])]
     return sorted(out)
 
 
-def run(spark, rows, k=5, every=3):
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+def run(spark, rows, k=5, every=3, kind="float"):
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")
     return sorted(map(tuple, nn.nearest(df, F.col("vec_id") % every == 0, k).collect()))
 
 
@@ -59,3 +60,17 @@ def test_bounds_hold():
     true = (a @ b.T) / np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
     error = ea[:, None] * (1 + eb) + eb[None] * (1 + ea[:, None]) + ea[:, None] * eb
     assert qa.dtype == np.int8 and (np.abs(near - true) <= error + 1e-9).all()
+
+
+def test_rows_that_repeat_an_id(spark):
+    """Two queries of one id, one vector or two, are two results; each is a candidate of the other."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=4).tolist(), 0) for i in (0, 0, 3, 3, 1, 2, 2, 4)] + [(3, [1.0, 2.0, 3.0, 4.0], 0)] * 2
+    assert run(spark, rows) == plain([(i, np.float32(v).tolist()) for i, v, _ in rows], 5, 3)
+
+
+def test_components_of_any_size(spark):
+    rows = [(0, [1e200, 1e200], 0), (1, [1e-200, 0.0], 0), (2, [1e300, -1e300], 0), (3, [5e-324, 5e-324], 0), (4, [1.0, 2.0], 0)]
+    got = run(spark, rows, kind="double")
+    assert got == plain([r[:2] for r in rows], 5, 3) and all(s is not None and np.isfinite(s) for *_, s in got)
+    assert got[0] == (0, 1, 3, 1.0)
