@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eoframe.llm.components import connected
-from eoframe.llm.tables import free_name, materialize, text_hash
+from eoframe.llm.tables import materialize
 
 #: Groups at one anchor larger than this are compared by segments where few bits may differ.
 COMPARED_WHOLE = 1024
@@ -44,9 +44,6 @@ class Sketch:
 
 #: Three-word shingles, 64 bits, two of which may differ.
 STRICT = Sketch()
-#: Five-word shingles and 256 bits. Similarity 0.8 of shingle sets is a cosine of 0.89, at which 39 bits differ on average; two
-#: more are let pass, since a copy that stays costs more than a document that is nearly one and goes.
-SIMILAR = Sketch(shingle=5, words=4, anchored=2, code=4, most=41)
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -61,41 +58,48 @@ def _another(hashes: np.ndarray, nth: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def fingerprint(text: str | None, sketch: Sketch = STRICT) -> list[int]:
-    """The words of a whole text's fingerprint; 0 without words in the text."""
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> list[int]:
+    """XXH64 of every run of so many words of the whole text, repeats included; of all words where there are fewer."""
     from xxhash import xxh64_intdigest
 
     words = (text or "").encode("utf-8").lower().split()  # bytes: A-Z alone are lower-cased, ASCII white space alone splits
     if not words:
-        return [0] * sketch.words
-    joined, seed = b" ".join(words), sketch.seed
-    if len(words) <= sketch.shingle:
-        hashes = [xxh64_intdigest(joined, seed)]
-    else:
-        ends = list(accumulate([len(w) + 1 for w in words], initial=-1))
-        hashes = [xxh64_intdigest(joined[s + 1 : e], seed) for s, e in zip(ends, ends[sketch.shingle :])]
-    ones = np.zeros((sketch.words, 64), dtype=np.int64)
+        return []
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return [xxh64_intdigest(joined, seed)]
+    ends = list(accumulate([len(w) + 1 for w in words], initial=-1))
+    return [xxh64_intdigest(joined[s + 1 : e], seed) for s, e in zip(ends, ends[shingle:])]
+
+
+def fingerprint(text: str | None, sketch: Sketch = STRICT) -> list[int]:
+    """The words of a whole text's fingerprint; 0 without words in the text."""
+    hashes = shingle_hashes(text, sketch.shingle, sketch.seed)
+    return majority(hashes, sketch.words) if hashes else [0] * sketch.words
+
+
+def majority(hashes: Sequence[int], words: int) -> list[int]:
+    """Words of 64 bits that are set where over half the hashes, or for the further words hashes made from these, have them."""
+    ones = np.zeros((words, 64), dtype=np.int64)
     for at in range(0, len(hashes), HASHES_AT_ONCE):
         part = np.array(hashes[at : at + HASHES_AT_ONCE], dtype=np.uint64)
-        for w in range(sketch.words):
+        for w in range(words):
             ones[w] += _bits(_another(part, w) if w else part)
     return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, sketch: Sketch = STRICT, digest: bool = False) -> DataFrame:
-    """doc_id, if wanted the text's digest, and the fingerprint's words (fp0, ..., as signed longs) of every row."""
-    own = ["doc_id", "digest"] if digest else ["doc_id"]
-    schema = pa.schema([(n, pa.int64()) for n in [*own, *sketch.names]])
+def fingerprints(docs: DataFrame, sketch: Sketch = STRICT) -> DataFrame:
+    """doc_id and the fingerprint's words (fp0, ..., as signed longs) of every row."""
+    schema = pa.schema([(n, pa.int64()) for n in ["doc_id", *sketch.names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t.as_py(), sketch) for t in batch.column(len(own))], dtype=np.uint64).view(np.int64)
+            found = np.array([fingerprint(t.as_py(), sketch) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
             columns = [pa.array(found[:, w]) for w in range(sketch.words)] if len(found) else [pa.array([], pa.int64())] * sketch.words
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], *columns], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=schema)
 
-    told = ", ".join(f"{n} long" for n in [*own, *sketch.names])
-    named = [F.col("doc_id").cast("long"), text_hash(F.col("text")).alias("digest")][: len(own)]
-    return docs.select(*named, F.col("text").cast("string")).mapInArrow(run, told)
+    told = ", ".join(f"{n} long" for n in ["doc_id", *sketch.names])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, told)
 
 
 def _syndromes(pieces: np.ndarray, length: int) -> np.ndarray:
@@ -253,17 +257,3 @@ def near_duplicates(docs: DataFrame, sketch: Sketch = STRICT) -> DataFrame:
     least = materialize(least.withColumnRenamed("first", "component_id"), "component-ids")
     named = materialize(placed.join(least, "root").select("node", "component_id"), "fingerprint-components")
     return rows.join(named, "node").select("doc_id", *names, "component_id")
-
-
-def keep_one_each(docs: DataFrame, sketch: Sketch = SIMILAR) -> DataFrame:
-    """The documents with the smallest id of each component, with all their columns.
-
-    A document is told by its id and its text, so an id may be null (the last of its component) or stand for several texts (of
-    those in one component one stays). Rows that repeat id and text stay or go together.
-    """
-    rows = materialize(_with_node(fingerprints(docs, sketch, digest=True), sketch), "fingerprints")
-    least = _placed(rows, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest"), sketch)[1]
-    other, other_digest, digest = (free_name(docs, n) for n in ("_id", "_sha", "_digest"))
-    stay = materialize(least.select(F.col("first.doc_id").alias(other), F.col("first.digest").alias(other_digest)), "documents-kept")
-    same = F.col("doc_id").eqNullSafe(F.col(other)) & (F.col(digest) == F.col(other_digest))
-    return docs.withColumn(digest, text_hash(F.col("text"))).join(stay, same, "left_semi").select(*docs.columns)

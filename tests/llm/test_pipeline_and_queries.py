@@ -3,10 +3,11 @@ import hashlib
 import pytest
 from fixtures import SF
 from test_mixing import plain as plain_mix
+from test_near_copies import plain_kept
 from test_tokens_and_packing import check as check_pieces
 
 import corpus_pipeline
-from eoframe.llm import quality, simhash
+from eoframe.llm import quality
 from eoframe.llm.queries import QUERIES, SQL
 from eoframe.llm.tables import documents, materialize, table
 
@@ -39,24 +40,7 @@ def test_stages_against_plain_versions(spark):
                 last[hashlib.sha256(r.text.encode()).digest()] = max(last.get(hashlib.sha256(r.text.encode()).digest(), -1), r.doc_id)
             assert sorted(r.doc_id for r in kept[name]) == sorted(last.values())
         if name == "near_dedup":
-            fps = [simhash.fingerprint(r.text, simhash.SIMILAR) for r in before]
-            parent = list(range(len(fps)))
-            for i in range(len(fps)):
-                for j in range(i):
-                    if sum((a ^ b).bit_count() for a, b in zip(fps[i], fps[j])) <= simhash.SIMILAR.most:
-                        a, b = i, j
-                        while parent[a] != a:
-                            a = parent[a]
-                        while parent[b] != b:
-                            b = parent[b]
-                        parent[max(a, b)] = min(a, b)
-            least = {}
-            for i, r in enumerate(before):
-                a = i
-                while parent[a] != a:
-                    a = parent[a]
-                least[a] = min(least.get(a, r.doc_id), r.doc_id)
-            assert sorted(r.doc_id for r in kept[name]) == sorted(least.values())
+            assert sorted(r.doc_id for r in kept[name]) == sorted(i for i, _ in plain_kept([(r.doc_id, r.text) for r in before]))
         if name == "mixing":
             rows = [(r.doc_id, r.text, r.source) for r in before]
             want = sorted(i for i, n, _, _, taken in plain_mix(rows) if taken for _ in range(taken // n))

@@ -106,46 +106,5 @@ def test_components_of_a_path_a_star_and_a_pair(spark):
     found = {r.node: r.root for r in connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)} | {-7: -7, 500: -7}
     assert found == want
+    assert {r.node: r.root for r in connected(spark.createDataFrame([(2, 1), (3, 1), (3, 2)], "a long, b long")).collect()} == {1: 1, 2: 1, 3: 1}
     assert connected(spark.createDataFrame([], "a long, b long")).count() == 0
-
-
-def test_near_copies_go_and_others_stay(spark):
-    rng = np.random.default_rng(4)
-    words = lambda n: [f"w{x}" for x in rng.integers(0, 100_000, n)]
-    rows, clean = [], []
-    for g in range(20):
-        base = words(400)
-        rows.append((g * 10, " ".join(base), "s"))
-        clean.append(g * 10)
-        for c in range(1, 4):
-            other = list(base)
-            for at in rng.integers(0, 400, 3):
-                other[at] = "changed"
-            rows.append((g * 10 + c, " ".join(other), "s"))
-    for i in range(1000, 1100):
-        rows.append((i, " ".join(words(400)), "s"))
-        clean.append(i)
-    frame = docs(spark, rows, CLASHES)
-    kept = simhash.keep_one_each(frame)
-    assert kept.columns == frame.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(clean)
-
-
-def test_null_and_repeated_ids_stay_documents(spark):
-    rng = np.random.default_rng(5)
-    words = [f"w{x}" for x in rng.integers(0, 100_000, 400)]
-    near = " ".join([*words[:-1], "changed"])
-    rows = [*EDGE, (1, "quite another text of the first id", "s0"), (50, " ".join(words), "s0"), (60, near, "s0"),
-            (60, "the other text of sixty", "s0"), (None, " ".join(["changed", *words[1:]]), "s0")]
-    frame = docs(spark, rows, CLASHES)
-    fps = [simhash.fingerprint(t, simhash.SIMILAR) for _, t, _ in rows]
-    groups = plain_components([sum(w << 64 * k for k, w in enumerate(f)) for f in fps], simhash.SIMILAR.most)
-    best = {}
-    for (i, t, _), g in zip(rows, groups):
-        own = (i is None, i or 0, t or "")
-        best[g] = min(best.get(g, own), own)
-    kept = simhash.keep_one_each(frame)
-    assert kept.columns == frame.columns
-    found = [(r.doc_id, r.text) for r in kept.collect()]
-    assert {(i is None, i or 0, t or "") for i, t in found} == set(best.values())
-    assert (None, "no id here") in found and (60, "the other text of sixty") in found and (60, near) not in found
