@@ -86,11 +86,12 @@ def assign_shards(
     Returns the columns of ``rows`` with shard and slot (gapless from 0 in each shard, in ring order). Rows with one key stand
     side by side on the ring (by doc_id, nulls first) and share a shard unless it is full. The driver sees one number per arc
     (shards x virtual nodes of them) and the rows that lie across a cut (at most one per cut); such a row goes clockwise to the
-    first shard with room, largest first, or else to the emptiest. Sizes must be 1 or more. An empty table gives no rows.
+    first shard with room, largest first, or else to the emptiest. Rows equal in all of these are told apart by their place in the
+    input, so they may lie in many ranges. Sizes must be 1 or more. An empty table gives no rows.
     """
     points, owners = ring(shards, virtual_nodes)
     order = [c for c in ("point", "doc_id", "size") if c in rows.columns]
-    placed = running_sums(rows, order, {"size": "_before"})
+    placed = running_sums(rows.withColumn("_row", F.monotonically_increasing_id()), [*order, "_row"], {"size": "_before"})
     placed = materialize(placed.withColumn("_arc", _arc(F.col("point"), points)), "ring")
     loads = [0] * (len(owners) + 1)
     for r in placed.groupBy("_arc").agg(F.sum("size").alias("load")).collect():

@@ -139,8 +139,9 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     """
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
-    rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    # rows that share an id, or repeat, are told apart by text and place, so no task is given all of them
+    rows = rows.repartitionByRange(parts, *order, F.monotonically_increasing_id()).sortWithinPartitions(*order)
     fields = [("part", pa.int32()), ("nth", pa.int32()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())),
               ("lengths", pa.list_(pa.int64())), ("matrix", pa.binary())]
     schema = pa.schema(fields)

@@ -71,3 +71,23 @@ def test_pieces_cover_the_ring_within_the_bound():
     for s, e, k in pieces:
         loads[k] += e - s
     assert loads.max() <= full
+
+
+def test_repeated_rows_lie_in_many_ranges(spark, monkeypatch):
+    from eoframe.llm import tables
+
+    most, write = [], tables.materialize
+
+    def seen(df, purpose):
+        out = write(df, purpose)
+        if purpose == "ranges":
+            most.append(out.groupBy("_range").count().agg({"count": "max"}).first()[0])
+        return out
+
+    monkeypatch.setattr(tables, "materialize", seen)
+    rows = [(None, "one and the same text", "s")] * 1500 + [(i, f"text {i}", "s") for i in range(1500)]
+    found = shards_of(spark, docs(spark, rows))
+    assert len(found) == 3000 and max(most) < 900
+    for shard in range(8):
+        slots = sorted(r.slot for r in found if r.shard == shard)
+        assert slots == list(range(len(slots)))

@@ -44,3 +44,14 @@ def test_files_hold_every_document(spark, monkeypatch, shard_ids):
 
 def test_empty_table(spark):
     assert wavelet.token_files(docs(spark, []), TOKENIZER).count() == 0
+
+
+def test_repeated_rows_lie_in_many_parts(spark, tmp_path):
+    rows = [(None, "one and the same text", "s")] * 1000 + [(7, f"text {i}", "s") for i in range(1000)] + [(i, "x", "s") for i in range(8, 1008)]
+    wavelet.write_shards(docs(spark, rows), TOKENIZER, str(tmp_path / "shards"))
+    shards = spark.read.parquet(str(tmp_path / "shards"))
+    held = {r.part: r.n for r in shards.selectExpr("part", "size(doc_ids) AS n").groupBy("part").agg({"n": "sum"}).toDF("part", "n").collect()}
+    assert sum(held.values()) == 3000 and max(held.values()) < 900
+    found = sorted((r.start, r.n_tokens, -1 if r.doc_id is None else r.doc_id) for r in wavelet.read_documents(shards).collect())
+    assert [f[2] for f in found] == [-1] * 1000 + [7] * 1000 + list(range(8, 1008))
+    assert all(a[0] + a[1] == b[0] for a, b in zip(found, found[1:]))
