@@ -36,3 +36,8 @@ def test_query_equals_its_sql(spark, con, name):
 def test_every_query_has_sql_and_entry_runs(spark):
     assert {n for n in queries() if not n.startswith("op") and n != "pipeline"} == {n for n in oracle_sql() if not n.startswith("op")}
     assert entry(spark).count() > 0
+
+
+def test_patch_split_labels_every_train_entry(spark, con):
+    got = queries()["patch_split_v2"](spark, SF)
+    assert got.count() == con.execute("select count(*) from lineitem where l_orderkey % 10 > 2").fetchone()[0]
