@@ -21,9 +21,16 @@ def needs_rocksdb(spark: SparkSession) -> None:
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A test table as a file stream; its schema is read from the parquet footer."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A test table as a file stream, be it one file or a folder of files; its schema is read from the parquet footer.
+
+    A file source reads folders. A table that is one file is found in its folder by its name, a table that is a folder is read as it is.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema)
+    where, storage = _on_storage(spark, path)
+    if storage.getFileStatus(where).isDirectory():
+        return stream.parquet(path)
+    return stream.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def run_to_parquet(stream: DataFrame, purpose: str, folder: str | None = None) -> DataFrame:

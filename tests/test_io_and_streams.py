@@ -12,7 +12,7 @@ from eoframe.operators import annotations as an
 from eoframe.operators import provenance as pv
 from eoframe.sources import readers, writers
 from eoframe.streaming import gather, health
-from eoframe.streaming.runtime import run_batches, run_to_parquet
+from eoframe.streaming.runtime import run_batches, run_to_parquet, table_stream
 
 
 def test_jsonl_round_trip_by_split(spark, tmp_path):
@@ -167,3 +167,16 @@ def test_state_of_a_gather_is_bounded(spark, tmp_path):
     assert {r["status"]: r["count"] for r in sets.groupBy("status").count().collect()} == {"complete": 60, "incomplete": 40}
     state = [spark.read.parquet(f"{folder}/state/batch=5/{n}").count() for n in ("held", "done")]
     assert state == [20, 20] and not (tmp_path / "out/state/batch=3").exists()
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_table_stream_reads_one_file_and_folders_of_files(spark, tmp_path, parts):
+    rows = spark.range(90).withColumnRenamed("id", "event_id")
+    rows.repartition(parts or 1).write.parquet(str(tmp_path / "made"))
+    if parts:
+        (tmp_path / "made").rename(tmp_path / "events.parquet")
+    else:
+        next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    spark.range(5).write.parquet(str(tmp_path / "orders.parquet"))  # another table beside it is not read
+    got = run_to_parquet(table_stream(spark, str(tmp_path), "events"), "events")
+    assert sorted(r.event_id for r in got.collect()) == list(range(90))
