@@ -7,7 +7,8 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 EPS = 1e-8
 
@@ -120,29 +121,68 @@ def stacks(pixels: pa.Array, heights: np.ndarray, widths: np.ndarray) -> Iterato
             yield rows, flat[begins[rows][:, None] + np.arange(h * w)[None]].reshape(len(rows), h, w)
 
 
+def checksum(pixels: Column) -> Column:
+    """Order-sensitive sum (``arrays.checksum``) of list columns in Arrow batches; null where the list is null or holds a null."""
+    def sums(lists: pa.Array) -> pa.Array:
+        lengths = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cells = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        ends = np.cumsum(lengths)
+        weighted = cells * (np.arange(len(cells)) - np.repeat(ends - lengths, lengths) + 1)
+        out, some = np.zeros(len(lists)), lengths > 0
+        if some.any():
+            out[some] = np.add.reduceat(weighted, (ends - lengths)[some])
+        absent = lists.is_null().to_numpy(zero_copy_only=False)
+        if lists.flatten().null_count:
+            holes = np.concatenate([[0], np.cumsum(lists.flatten().is_null().to_numpy(zero_copy_only=False))])
+            absent |= holes[ends] > holes[ends - lengths]
+        return pa.array(out, pa.float64(), mask=absent)
+
+    return F.arrow_udf(sums, "double")(pixels.cast("array<double>"))
+
+
 def map_bands(px: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], np.ndarray], integers: bool = False) -> DataFrame:
     """Each band (height, width, pixels) replaced by ``kernel(band names, (k, h, w) stack)``; all other columns stay.
 
-    A projection in Arrow batches: no shuffle, no call per row. A row whose list does not fit its size gets null pixels.
+    A projection in Arrow batches: no shuffle, no call per row. A row whose list does not fit its size gets null pixels. The bands of
+    a patch may also stand together in one row, in a column ``bands``.
     """
     columns = px.columns
     value = pa.int32() if integers else pa.float64()
-    schema = ", ".join(
-        f"`{f.name}` {'array<int>' if f.name == 'pixels' and integers else f.dataType.simpleString()}" for f in px.schema
-    )
+    item = "array<int>" if integers else "array<double>"
+
+    def replaced(bands: pa.Array, height: pa.Array, width: pa.Array, pixels: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+        heights, widths = (x.to_numpy(zero_copy_only=False).copy() for x in (height, width))
+        names = np.array(bands.to_pylist(), dtype=object)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for rows, stack in list(stacks(pixels, heights, widths)):
+            made = kernel(names[rows], stack)
+            heights[rows], widths[rows] = made.shape[1:]
+            parts.append((rows, made.reshape(len(rows), -1)))
+        return pa.array(heights, height.type), pa.array(widths, width.type), _lists(parts, len(names), value)
+
+    if "bands" in columns:
+        schema = ", ".join(
+            f"`{f.name}` " + (f"array<struct<band: string, height: int, width: int, pixels: {item}>>" if f.name == "bands" else f.dataType.simpleString())
+            for f in px.schema)
+
+        def run_patches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held = dict(zip(columns, batch.columns))
+                flat = held["bands"].flatten()
+                given = {f.name: flat.field(k) for k, f in enumerate(flat.type)}
+                made = replaced(*(given[c] for c in ("band", "height", "width", "pixels")))
+                rows = pa.StructArray.from_arrays([given["band"], *made], ["band", "height", "width", "pixels"])
+                counts = held["bands"].value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                held["bands"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), rows)
+                yield pa.RecordBatch.from_arrays([held[c] for c in columns], names=columns)
+
+        return px.mapInArrow(run_patches, schema)
+    schema = ", ".join(f"`{f.name}` {item if f.name == 'pixels' else f.dataType.simpleString()}" for f in px.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = dict(zip(columns, batch.columns))
-            heights, widths = (held[c].to_numpy(zero_copy_only=False).copy() for c in ("height", "width"))
-            bands = np.array(held["band"].to_pylist(), dtype=object)
-            parts: list[tuple[np.ndarray, np.ndarray]] = []
-            for rows, stack in list(stacks(held["pixels"], heights, widths)):
-                made = kernel(bands[rows], stack)
-                heights[rows], widths[rows] = made.shape[1:]
-                parts.append((rows, made.reshape(len(rows), -1)))
-            held["height"], held["width"] = (pa.array(x, held[n].type) for n, x in (("height", heights), ("width", widths)))
-            held["pixels"] = _lists(parts, len(bands), value)
+            held["height"], held["width"], held["pixels"] = replaced(*(held[c] for c in ("band", "height", "width", "pixels")))
             yield pa.RecordBatch.from_arrays([held[c] for c in columns], names=columns)
 
     return px.mapInArrow(run, schema)

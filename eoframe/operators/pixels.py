@@ -1,7 +1,8 @@
 """Band-table operators over (patch_id, band, height, width, pixels array<double>).
 
 One row is one band of one patch: size is fixed by the sensor grid, whatever the number of patches. Work inside a band is
-a projection; only operators that look at several bands of a patch shuffle, once, by patch_id.
+a projection; only operators that look at several bands of a patch shuffle, once, by patch_id. Where a patch's bands stand together
+(patch_id, bands array<struct<band, height, width, pixels>>), as in a file of all its bands, these are projections too.
 """
 
 from __future__ import annotations
@@ -92,6 +93,12 @@ def looks_like_radar(band_count: Column, is_float: Column) -> Column:
 
 def wide(px: DataFrame, bands: list[str]) -> DataFrame:
     """One row per patch with the named bands as array columns; absent bands are null."""
+    if "bands" in px.columns:
+        def named(name: str) -> Column:
+            return F.get(F.filter("bands", lambda b: (b["band"] == name) & b["pixels"].isNotNull()), F.lit(0))["pixels"].alias(name)
+
+        some = px.filter(F.exists("bands", lambda b: b["band"].isin(bands)))
+        return some.select("patch_id", *[named(b) for b in bands])
     return px.filter(F.col("band").isin(bands)).groupBy("patch_id").agg(
         *[F.any_value(F.when(F.col("band") == b, F.col("pixels")), ignoreNulls=True).alias(b) for b in bands]
     )
@@ -121,7 +128,10 @@ def percentile_stretch(
     if scope == "band":
         return kernels.map_bands(px, lambda bands, stack: kernels.stretch(stack, lo, hi, degenerate), integers=True)
     # the bands of one patch are few and of fixed size: collect them, sort once, hand every band the same bounds
-    stacked = px.groupBy("patch_id").agg(F.collect_list(F.struct("band", "height", "width", "pixels")).alias("b"))
+    if "bands" in px.columns:
+        stacked = px.filter(F.size("bands") > 0).select("patch_id", F.col("bands").alias("b"))
+    else:
+        stacked = px.groupBy("patch_id").agg(F.collect_list(F.struct("band", "height", "width", "pixels")).alias("b"))
     merged = F.sort_array(F.flatten(F.transform("b", lambda x: x["pixels"])))
     staged = stacked.withColumn("s", merged).withColumns(
         {"lo": arrays.percentile(F.col("s"), lo), "hi": arrays.percentile(F.col("s"), hi)}
@@ -220,10 +230,15 @@ def pixel_sanity(rgb: DataFrame) -> DataFrame:
 
 def band_completeness(px: DataFrame, minimum: int = 6) -> DataFrame:
     """Bands present, bands with a non-zero pixel, and whether the patch is accepted and complete."""
-    alive = F.exists("pixels", lambda v: v != 0)
-    counts = px.select("patch_id", "band", alive.alias("alive")).groupBy("patch_id").agg(
-        F.count(F.lit(1)).alias("n_bands"), F.count_if("alive").alias("n_nonzero")
-    )
+    if "bands" in px.columns:
+        alive = F.filter("bands", lambda b: F.exists(b["pixels"], lambda v: v != 0))
+        counts = px.filter(F.size("bands") > 0).select(
+            "patch_id", F.size("bands").cast("bigint").alias("n_bands"), F.size(alive).cast("bigint").alias("n_nonzero"))
+    else:
+        alive = F.exists("pixels", lambda v: v != 0)
+        counts = px.select("patch_id", "band", alive.alias("alive")).groupBy("patch_id").agg(
+            F.count(F.lit(1)).alias("n_bands"), F.count_if("alive").alias("n_nonzero")
+        )
     return counts.withColumns(
         {
             "accepted": F.col("n_bands") >= minimum,

@@ -116,3 +116,30 @@ def test_radar_product(spark):
     np.testing.assert_allclose(got["linear"].stack[0], (np.clip(10 * np.log10(vv + 50), -30, 5) + 25) / 30)
     assert got["odd"].error == "channels differ in size" and got["torn"].error == "no channel" and got["torn"].stack is None
     assert got["other"].channels_used == ["X"] and got["other"].input_ranges["X"][2] == np.nanmean(nan)
+
+
+def together(df):
+    """The bands of a patch in one row."""
+    from pyspark.sql import functions as F
+
+    return df.groupBy("patch_id").agg(F.collect_list(F.struct("band", "height", "width", "pixels")).alias("bands"))
+
+
+def test_patches_whose_bands_stand_together_give_the_same_without_a_shuffle(spark):
+    rng = np.random.default_rng(9)
+    sizes = {"B02": 6, "B03": 6, "B04": 6, "B08": 6, "B05": 3, "B09": 2}
+    rows = [(f"p{k}", b, n, n, rng.normal(size=n * n).tolist()) for k in range(7) for b, n in sizes.items() if (k, b) != (3, "B04")]
+    flat = spark.createDataFrame(rows, PX)
+    spark.createDataFrame(together(flat).collect(), together(flat).schema).createOrReplaceTempView("px_together")
+    nested = spark.table("px_together")
+    rgb = flat.filter("band in ('B04', 'B03', 'B02')")
+    only = nested.selectExpr("patch_id", "filter(bands, b -> b.band in ('B04', 'B03', 'B02')) as bands")
+    for rowwise, patchwise in [
+        (px.pack_bands(px.resample_nearest(flat, 6), size=6), px.pack_bands(px.resample_nearest(nested, 6), size=6)),
+        (px.rgb_composite(flat), px.rgb_composite(nested)), (px.spectral_indices(flat), px.spectral_indices(nested)),
+        (px.percentile_stretch(rgb, scope="patch"), px.percentile_stretch(only, scope="patch")),
+        (px.band_completeness(flat), px.band_completeness(nested)),
+        (optical.harmonised_stack(flat), optical.harmonised_stack(nested)),
+    ]:
+        assert "Exchange" not in patchwise._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(str, patchwise.collect())) == sorted(map(str, rowwise.collect()))
