@@ -183,20 +183,32 @@ def repair_shape(df: DataFrame, n: int, col: str = "stack", size: int = 120) ->
 
 
 def preprocessing_audit(px: DataFrame, cfg: OpticalConfig | None = None) -> DataFrame:
-    """Bands used and dropped with reasons, per patch; the lists are bounded by the band catalog."""
+    """Bands used and dropped with reasons, per patch; the lists are bounded by the band catalog. What a patch has are bits of one number,
+    so a patch is one row before it is shuffled, and is not shuffled at all where its bands stand together."""
     cfg = cfg or OpticalConfig()
-    marked = select_bands(px.select("patch_id", "band").distinct(), cfg)
+    on = {10: cfg.use_10m, 20: cfg.use_20m, 60: cfg.use_60m}
+    catalog = [(1 << o, band, on.get(native, False), f"excluded by native resolution {native} m") for o, (band, _, _, native) in enumerate(fv.OPTICAL_BANDS)]
 
-    def ordered(keep: Column, value: Column) -> Column:
-        return F.transform(
-            F.sort_array(F.collect_list(F.when(keep, F.struct(F.col("ordinal").alias("o"), value.alias("v"))))),
-            lambda s: s["v"],
-        )
+    def bit(band: Column) -> Column:
+        out = F.lit(0).cast("bigint")
+        for b, name, _, _ in reversed(catalog):
+            out = F.when(band == name, F.lit(b).cast("bigint")).otherwise(out)
+        return out
+
+    if "bands" in px.columns:
+        mask = F.aggregate("bands", F.lit(0).cast("bigint"), lambda found, b: found.bitwiseOR(bit(b["band"])))
+        found = px.select("patch_id", mask.alias("found"))
+    else:
+        found = px.groupBy("patch_id").agg(F.bit_or(bit(F.col("band"))).alias("found"))
+
+    def listed(values: list[tuple[int, str]]) -> Column:
+        there = [F.when(F.col("found").bitwiseAND(F.lit(b)) != 0, F.lit(v)) for b, v in values]
+        return F.array_compact(F.array(*there)) if there else F.array().cast("array<string>")
 
-    used = F.col("used")
-    return marked.groupBy("patch_id").agg(
-        ordered(used, F.col("band")).alias("bands_used"), ordered(~used, F.col("band")).alias("bands_dropped"),
-        ordered(~used, F.concat_ws(": ", "band", "drop_reason")).alias("drop_reasons"),
+    return found.filter(F.col("found") != 0).select(
+        "patch_id", listed([(b, n) for b, n, used, _ in catalog if used]).alias("bands_used"),
+        listed([(b, n) for b, n, used, _ in catalog if not used]).alias("bands_dropped"),
+        listed([(b, f"{n}: {why}") for b, n, used, why in catalog if not used]).alias("drop_reasons"),
     ).withColumns(
         {
             "resample_method": F.lit(cfg.resample_method),
