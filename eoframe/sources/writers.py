@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_jsonl(df: DataFrame, path: str, split: str = "split") -> None:
-    """Instruction entries as JSON lines, one folder per split."""
-    df.write.mode("overwrite").partitionBy(split).json(path)
+def write_jsonl(df: DataFrame, path: str, split: str = "split", compression: str = "lz4") -> None:
+    """Instruction entries as JSON lines, one folder per split. Names and prompts repeat in every line, so files are compressed (``none``: plain
+    text); Spark's readers go by the files' names."""
+    df.write.mode("overwrite").partitionBy(split).option("compression", compression).json(path)
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
