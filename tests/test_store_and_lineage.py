@@ -179,3 +179,10 @@ def test_intermediates_can_be_cleaned_up(spark, monkeypatch):
     path = kept.inputFiles()[0].rsplit("/", 1)[0]
     assert kept.count() == 5 and clean_up(spark) == 1 and clean_up(spark) == 0
     assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_closure_writes_each_pair_once(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(ln, "materialize", lambda df, purpose, put=ln.materialize: (out := put(df, purpose), written.append(out.count()))[0])
+    chain = spark.createDataFrame([(str(i), str(i + 1)) for i in range(40)], "id string, parent string")
+    assert ln.lineage_closure(chain).count() == sum(written) == 820
