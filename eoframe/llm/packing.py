@@ -18,7 +18,7 @@ END_ID = 1
 #: Pieces that one task packs together.
 GROUP = 32768
 #: Texts encoded at once, by their characters.
-CHARS_AT_ONCE = 4_000_000
+CHARS_AT_ONCE = 1_000_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -89,7 +89,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, end_id: in
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(tokenizer)
-        for batch in batches:
+        for batch in (whole.slice(r, 1024) for whole in batches for r in range(0, whole.num_rows, 1024)):
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in in_slices(texts):
                 ids, bounds = words.encode(texts[a:b])

@@ -178,11 +178,17 @@ def group_links(fps: np.ndarray, most: int) -> list[tuple[int, int]]:
             parts += [p for p in np.split(order, np.flatnonzero(np.diff(segment[order])) + 1) if len(p) > 1]
     for part in parts:
         own = u[part]
-        for a in range(0, len(own), 512):  # a block against itself and what follows
+        for a in range(0, len(own), 64):  # a block against itself and what follows
             for b in range(a, len(own), 8192):
-                i, j = _close(own[a : a + 512], own[b : b + 8192], most)
+                i, j = _close(own[a : a + 64], own[b : b + 8192], most)
                 after = i + a < j + b
-                for x, y in zip(part[a + i[after]].tolist(), part[b + j[after]].tolist()):
+                x, y = part[a + i[after]], part[b + j[after]]
+                if len(x) > len(own[b : b + 8192]):  # most of these are joined already, and not made Python numbers
+                    roots = np.zeros(len(u), dtype=np.int64)
+                    for members in (part[a : a + 64], part[b : b + 8192]):
+                        roots[members] = [sets.root(m) for m in members.tolist()]
+                    x, y = x[roots[x] != roots[y]], y[roots[x] != roots[y]]
+                for x, y in zip(x.tolist(), y.tolist()):
                     if sets.join(x, y):
                         links.append((x, y))
     return links

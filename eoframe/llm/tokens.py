@@ -10,8 +10,8 @@ from itertools import chain
 import numpy as np
 import regex
 
-#: Words remembered by one worker process; beyond it only the first ones stay, which are the most frequent ones.
-WORDS_HELD, WORDS_KEPT = 1_000_000, 800_000
+#: Words remembered by one worker process, at some 400 bytes each; beyond it only the first ones stay, which are the most frequent ones.
+WORDS_HELD, WORDS_KEPT = 300_000, 200_000
 #: Pieces of words remembered, whose ids are Python objects.
 PIECES_HELD = 30_000
 #: Beside these printable characters of Latin script, text may not be in composed form or lower-case character by character.
