@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eoframe import fixed_values as fv
 from eoframe.functions import text
+from eoframe.session import materialize
 
 
 def parse_member_path(df: DataFrame, mode: str = "parent") -> DataFrame:
@@ -14,26 +15,54 @@ def parse_member_path(df: DataFrame, mode: str = "parent") -> DataFrame:
     return df.withColumns({"patch_id": text.member_patch(path, mode), "band": text.member_band(path, mode)})
 
 
+def count_items(item: str, items: list[str]) -> Column:
+    """Number of different listed items of a group, as bits of one number: a group is one row before it is shuffled, whatever its
+    number of items (a distinct count would shuffle a row for each)."""
+    return F.bit_count(F.coalesce(F.bit_or(_item_bit(item, items)), F.lit(0)))
+
+
+def _item_bit(item: str, items: list[str]) -> Column:
+    bits = F.when(F.col(item) == items[0], F.lit(1).cast("bigint"))
+    for i, name in enumerate(items[1:], 1):
+        bits = bits.when(F.col(item) == name, F.lit(1 << i).cast("bigint"))
+    return bits
+
+
 def gather_complete(members: DataFrame, key: str, item: str, payload: str, order: str, items: list[str]) -> DataFrame:
     """Groups of which every item arrived, with the payloads held at the moment the set became complete.
 
     Members arrive in ``order``; other items are ignored, a repeated item replaces the held payload until the set is
     complete, later repeats are skipped because the group is stored by then, and incomplete groups are not emitted.
-    Two aggregations with map-side combine per item; the last step collects at most ``len(items)`` rows per key.
+    One aggregation with map-side combine: of each item the first and the last arrival and their number, so a group is one row before it
+    is shuffled, however many members it has. These tell the payload held unless an item came three times or more and went on coming
+    after completion; such groups, and only these, are joined with their members.
     """
     listed = members.filter(F.col(item).isin(items) & (F.col(key) != ""))
-    first_seen = listed.groupBy(key, item).agg(F.min(order).alias("first_at"))
-    complete = (
-        first_seen.groupBy(key)
-        .agg(F.count(F.lit(1)).alias("n"), F.max("first_at").alias("completed_at"))
-        .filter(F.col("n") == len(items))
-        .select(key, "completed_at")
-    )
-    held = listed.join(complete, key).filter(F.col(order) <= F.col("completed_at"))
-    last = held.groupBy(key, "completed_at", item).agg(F.max_by(payload, order).alias(payload))
-    return last.groupBy(key, "completed_at").agg(
-        F.sort_array(F.collect_list(F.struct(item, payload))).alias("items")
+    hashed = F.xxhash64(key).alias("__hash")  # keys may begin alike; rows are sorted by the hash first
+    at, aggregates = [F.when((F.col(item) == i) & F.col(order).isNotNull(), F.struct(order, payload)) for i in items], []
+    for n, arrival in enumerate(at):
+        aggregates += [F.min(arrival).alias(f"first{n}"), F.max(arrival).alias(f"last{n}"), F.count(arrival).alias(f"n{n}")]
+    per_key = listed.groupBy(hashed, key).agg(count_items(item, items).alias("__found"), *aggregates)
+    completed = F.greatest(*[F.col(f"first{n}")[order] for n in range(len(items))]) if len(items) > 1 else F.col("first0")[order]
+    done = per_key.filter(F.col("__found") == len(items)).withColumn("completed_at", completed)
+    open_yet = F.lit(False)
+    held = []
+    for n, name in enumerate(items):
+        late = F.col(f"last{n}")[order] > F.col("completed_at")
+        open_yet = open_yet | ((F.col(f"n{n}") > 2) & late)
+        value = F.when(late, F.col(f"first{n}")[payload]).otherwise(F.col(f"last{n}")[payload])
+        held.append(F.when(F.col(f"n{n}") > 0, F.struct(F.lit(name).alias(item), value.alias(payload))))
+    told = done.select(key, "completed_at", F.sort_array(F.array_compact(F.array(*held))).alias("items"), open_yet.alias("open"))
+    told = materialize(told, "gathered")
+    settled = told.filter(~F.col("open")).drop("open")
+    rest = told.filter("open").select(key, "completed_at")
+    if rest.isEmpty():
+        return settled
+    last = listed.join(rest, key).filter(F.col(order) <= F.col("completed_at")).groupBy(key, "completed_at", item).agg(
+        F.max_by(payload, order).alias(payload)
     )
+    gathered = last.groupBy(key, "completed_at").agg(F.sort_array(F.collect_list(F.struct(item, payload))).alias("items"))
+    return settled.unionByName(gathered)
 
 
 def s1_s2_map(manifest: DataFrame, order: str) -> DataFrame:

@@ -52,9 +52,8 @@ def complete_patches(t: Tables) -> DataFrame:
 
 def _store(t: Tables) -> DataFrame:
     """Stored patches as counts: the optical bands that arrived, radar for most, some unreadable."""
-    arrived = im.parse_member_path(t.members).filter(F.col("band").isin(fv.PACKED_BANDS)).groupBy("patch_id").agg(
-        F.countDistinct("band").alias("n_s2")
-    )
+    members = im.parse_member_path(t.members).filter(F.col("band").isin(fv.PACKED_BANDS))
+    arrived = members.groupBy("patch_id").agg(im.count_items("band", fv.PACKED_BANDS).alias("n_s2"))
     facts = t.patches.filter(F.col("ck") % 4 != 0).select(
         "patch_id", F.when(F.col("ck") % 8 != 1, 2).otherwise(0).alias("n_s1"), (F.col("ck") % 97 == 0).alias("corrupt")
     )

@@ -200,3 +200,40 @@ def test_file_order_over_several_files(spark, tmp_path):
         (tmp_path / f"part-{k}.jsonl").write_text("".join(f'{{"v": {k * 100 + i}}}\n' for i in range(100)))
     rows = in_file_order(spark.read.schema("v bigint").json(str(tmp_path)))
     assert [(r["pos"], r["v"]) for r in rows.orderBy("pos").collect()] == [(i, i) for i in range(300)]
+
+
+def test_gather_with_many_repeats_before_and_after_completion(spark):
+    """Only where an item came three times and went on after completion do first and last not tell the held payload."""
+    rows = [("p", "A", f"a{i}", i) for i in range(1, 9)] + [("p", "B", "b", 5), ("q", "A", "x", 1), ("q", "B", "y", 2), ("q", "B", "y3", 3), ("r", "A", "z", 1)]
+    df = spark.createDataFrame(rows, "k string, band string, payload string, pos bigint")
+    got = {r["k"]: (r["completed_at"], [i["payload"] for i in r["items"]]) for r in im.gather_complete(df, "k", "band", "payload", "pos", ["A", "B"]).collect()}
+    assert got == {"p": (5, ["a5", "b"]), "q": (2, ["x", "y"])}
+
+
+def rows_shuffled(df):
+    """Rows that the exchanges of the executed plan wrote."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    total, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        todo += [node.executedPlan()] if name == "AdaptiveSparkPlanExec" else [node.plan()] if name.endswith("QueryStageExec") else []
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if name == "ShuffleExchangeExec":
+            total += node.metrics().apply("shuffleRecordsWritten").value()
+    return total
+
+
+def test_audit_and_counts_shuffle_a_row_for_a_patch(spark):
+    from eoframe.operators import pixels
+
+    px = spark.range(100).selectExpr("concat('p', id) as patch_id", "explode(array('B01', 'B02', 'B8A', 'B09', 'zz', 'B02')) as band").coalesce(1)
+    audit = pixels.preprocessing_audit(px)
+    assert rows_shuffled(audit) <= 100
+    row = audit.where("patch_id = 'p7'").first()
+    assert (row.bands_used, row.bands_dropped) == (["B02", "B8A"], ["B01", "B09"])
+    assert row.drop_reasons == [f"{b}: excluded by native resolution 60 m" for b in ("B01", "B09")]
+    counts = px.groupBy("patch_id").agg(im.count_items("band", ["B02", "B8A", "B12"]).alias("n"))
+    assert rows_shuffled(counts) <= 100 and {r.n for r in counts.collect()} == {2}
