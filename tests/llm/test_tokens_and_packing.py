@@ -29,6 +29,30 @@ def test_special_tokens_and_contractions():
         assert ids[bounds[i] : bounds[i + 1]].tolist() == LIBRARY.encode(t or "", add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("azSTDmrevlßéİÅº09½².,'!_- \t\n\f\r\v"), max_size=40), max_size=5))
+def test_ids_of_latin_texts_equal_the_library(texts):
+    ids, bounds = WORDS.encode(texts)
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == LIBRARY.encode(t, add_special_tokens=False).ids
+
+
+def test_every_latin_character_equals_the_library():
+    texts = [f"A{c}B {c}{c}9 '{c}s 's{c}\n{c}" for c in map(chr, range(0x250))]
+    ids, bounds = WORDS.encode(texts)
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == LIBRARY.encode(t, add_special_tokens=False).ids, hex(i)
+
+
+def test_words_that_share_pieces_are_remembered_as_pieces():
+    own = tokens.WordEncoder(TOKENIZER)
+    stems, ends = ["tion", "Ment", "NESS", "ful", "été"], [a + b for a in ".,!?*" for b in "#$%&"]
+    text = " ".join(s + e for s in stems for e in ends)
+    ids, _ = own.encode([text, text.upper()])
+    assert ids.tolist() == 2 * LIBRARY.encode(text, add_special_tokens=False).ids
+    assert len(own.index) <= len(stems) + len(ends) + 1  # the empty piece is one; whole words would be more than 100
+
+
 def test_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(tokens, "WORDS_HELD", 50)
     monkeypatch.setattr(tokens, "WORDS_KEPT", 10)
