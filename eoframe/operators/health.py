@@ -33,6 +33,8 @@ TRANSITION = "service bigint, node bigint, first_ms bigint, entry int, upto_ms b
 ENTRY = "service bigint, node bigint, entry int, opened_ms bigint"
 DECISION = "service bigint, event_id bigint, ts_ms bigint, ok int, decision string, state string, transition string"
 CHUNK, FAN = 4096, 64
+#: Calls without a time come after all others; they stand at times from here on, a pause apart, so none is within another's pause.
+FAR = 1 << 61
 
 
 def _transitions(ts: np.ndarray, ok: np.ndarray, limit: int, pause: int) -> list[tuple[int, int, int, int]]:
@@ -55,8 +57,9 @@ def _transitions(ts: np.ndarray, ok: np.ndarray, limit: int, pause: int) -> list
 
     rows = [row(f, 0, nxt[f]) for f in range(limit)]
     last = min(int(after[0]), n - 1)
-    for p in range(last + 1):
-        if p == last or probe[p + 1] != probe[p]:
+    firsts = [p for p in range(last + 1) if p == 0 or ts[p] != ts[p - 1]]  # of calls at one time a pause ends at the first
+    for p, follower in zip(firsts, [*firsts[1:], None]):
+        if follower is None or probe[follower] != probe[p]:
             rows.append(row(limit, int(ts[p]), probe[p]))
     return rows
 
@@ -133,28 +136,45 @@ def replay(calls: pd.DataFrame, state: int, since: int, limit: int, pause: int)
 
 
 def service_health(calls: DataFrame, cfg: HealthConfig | None = None, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
-    """Decision, state and transition of every call over (service, event_id, ts_ms, ok), ordered by (ts_ms, event_id)."""
+    """Decision, state and transition of every call over (service, event_id, ts_ms, ok), ordered by (ts_ms, event_id), nulls last.
+
+    Places are given once and written, so all rounds replay calls that tie in one order. ``pos`` is the call's place in its service.
+    """
     cfg = cfg or HealthConfig()
     limit, pause = cfg.failure_threshold, cfg.recovery_ms
-    log = calls.select(
-        F.col("service").cast("bigint"), F.col("event_id").cast("bigint"), F.col("ts_ms").cast("bigint"), F.col("ok").cast("int")
-    )
-    log = with_positions(log, ["ts_ms", "event_id"], ["service"])
-    log = materialize(log.withColumn("node", F.floor(F.col("pos") / chunk)).drop("pos"), "health-chunks")
+    log = with_positions(typed_calls(calls), ["no_ts", "ts_ms", "no_id", "event_id"], ["service"])
+    log = log.withColumns({
+        "ts_ms": F.when(F.col("no_ts"), F.lit(FAR) + F.col("pos") * pause).otherwise(F.col("ts_ms")), "node": F.floor(F.col("pos") / chunk)})
+    log = materialize(log.drop("no_ts"), "health-chunks")
 
     def summarise(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ms", "event_id"])
+        pdf = pdf.sort_values("pos")
         first = int(pdf["ts_ms"].iloc[0])
         rows = _transitions(pdf["ts_ms"].to_numpy(), pdf["ok"].to_numpy(), limit, pause)
         return pd.DataFrame([(*key, first, *r) for r in rows], columns=_names(TRANSITION))
 
     def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts_ms", "event_id"])
-        return replay(pdf, int(pdf["entry"].iloc[0]), int(pdf["opened_ms"].iloc[0]), limit, pause)[0]
+        pdf = pdf.sort_values("pos")
+        out = replay(pdf, int(pdf["entry"].iloc[0]), int(pdf["opened_ms"].iloc[0]), limit, pause)[0]
+        return out.assign(no_id=pdf["no_id"], pos=pdf["pos"])
 
     table = materialize(log.groupBy("service", "node").applyInPandas(summarise, TRANSITION), "health-transitions")
     entries = entry_states(table, limit, pause, fan)
-    return log.join(entries, ["service", "node"]).groupBy("service", "node").applyInPandas(decide, DECISION)
+    decided = log.join(entries, ["service", "node"]).groupBy("service", "node").applyInPandas(decide, f"{DECISION}, no_id boolean, pos bigint")
+    return with_nulls(decided)
+
+
+def typed_calls(calls: DataFrame) -> DataFrame:
+    """Calls of a named service; absent times and ids are zero and told by ``no_ts`` and ``no_id``, so that pandas keeps whole numbers."""
+    whole = calls.where(F.col("service").isNotNull()).select(
+        *[F.col(c).cast("bigint").alias(c) for c in ("service", "event_id", "ts_ms")], F.col("ok").cast("int").alias("ok"))
+    told = whole.withColumns({"no_ts": F.col("ts_ms").isNull(), "no_id": F.col("event_id").isNull()})
+    return told.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("event_id", "ts_ms")})
+
+
+def with_nulls(decided: DataFrame) -> DataFrame:
+    return decided.withColumns({
+        "event_id": F.when(~F.col("no_id"), F.col("event_id")), "ts_ms": F.when(F.col("ts_ms") < FAR, F.col("ts_ms"))}).drop("no_id")
 
 
 def _names(ddl: str) -> list[str]:
@@ -202,5 +222,5 @@ def health_summary(decisions: DataFrame) -> DataFrame:
         F.count_if(done).alias("total_calls"), F.count_if(done & ok).alias("total_successes"),
         F.count_if(done & ~ok).alias("total_failures"), F.count_if(~done).alias("total_rejected"),
         F.sum(F.length("transition") - F.length(F.replace("transition", F.lit(">"), F.lit("")))).alias("n_transitions"),
-        F.max_by("state", F.struct("ts_ms", "event_id")).alias("last_state"),
+        F.max_by("state", "pos").alias("last_state"),
     )
