@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from eoframe.config import HealthConfig
-from eoframe.operators.health import DECISION, replay
+from eoframe.operators.health import DECISION, FAR, replay, typed_calls, with_nulls
 from eoframe.streaming.runtime import needs_rocksdb
 
 
@@ -24,10 +24,11 @@ class ServiceHealth(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         state, since = tuple(self.state.get()) if self.state.exists() else (0, 0)
-        batch = pd.concat(list(rows)).sort_values(["ts_ms", "event_id"])
+        batch = pd.concat(list(rows)).sort_values(["no_ts", "ts_ms", "no_id", "event_id"], ignore_index=True)
+        batch["ts_ms"] = np.where(batch["no_ts"], FAR + np.arange(len(batch)) * self.pause, batch["ts_ms"])
         out, state, since = replay(batch, state, since, self.limit, self.pause)
-        self.state.update((state, since))
-        yield out
+        self.state.update((state, -FAR if since >= FAR else since))  # opened at no time: whatever comes next is after the pause
+        yield out.assign(no_id=batch["no_id"])
 
     def close(self) -> None:
         pass
@@ -36,11 +37,8 @@ class ServiceHealth(StatefulProcessor):
 def health_stream(calls: DataFrame, cfg: HealthConfig | None = None) -> DataFrame:
     cfg = cfg or HealthConfig()
     needs_rocksdb(calls.sparkSession)
-    typed = calls.select(
-        F.col("service").cast("bigint"), F.col("event_id").cast("bigint"), F.col("ts_ms").cast("bigint"),
-        F.col("ok").cast("int"),
-    )
-    return typed.groupBy("service").transformWithStateInPandas(
-        statefulProcessor=ServiceHealth(cfg.failure_threshold, cfg.recovery_ms), outputStructType=DECISION,
+    decided = typed_calls(calls).groupBy("service").transformWithStateInPandas(
+        statefulProcessor=ServiceHealth(cfg.failure_threshold, cfg.recovery_ms), outputStructType=f"{DECISION}, no_id boolean",
         outputMode="Append", timeMode="None",
     )
+    return with_nulls(decided)

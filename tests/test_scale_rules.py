@@ -217,7 +217,7 @@ def odd_events(tmp_path_factory):
     return str(folder), con
 
 
-@pytest.mark.parametrize("name", ["service_health", "service_health_summary"])
+@pytest.mark.parametrize("name", ["service_health", "service_health_summary", "health_stream"])
 def test_health_of_odd_events_equals_its_sql(spark, odd_events, name):
     from __spark_entry__ import oracle_sql, queries
     from oracle_check import compare
