@@ -193,3 +193,70 @@ def test_a_large_band_is_compared_in_bounded_memory():
     tracemalloc.stop()
     assert len(found) <= 3 * 1999
     assert peak < 150, peak  # all pairs at once: 64 MB as numbers, and 400 MB as lists
+
+
+def test_near_copies_without_a_common_band_or_anchor_are_found(spark):
+    """Of 3000 pairs with four fifths in common (20 of 25 shingles) the bands miss those that are given here."""
+    rng, rows = np.random.default_rng(7), []
+    for _ in range(3000):
+        words = [f"w{x}" for x in rng.integers(0, 10**6, 24)]
+        pair = " ".join(words), " ".join(words + [f"w{x}" for x in rng.integers(0, 10**6, 5)])
+        one, two = (set(near_copies.bands(near_copies.shingle_set(t))) for t in pair)
+        if not one & two:
+            rows += [(len(rows) + k, t, "s") for k, t in enumerate(pair)]
+    assert len(rows) > 20
+    assert sorted(r.doc_id for r in near_copies.keep_one_each(docs(spark, rows)).collect()) == list(range(0, len(rows), 2))
+
+
+def overlapping(n, seed=2):
+    """Texts of few lines, most of which are common; many pairs are just below or above the bound."""
+    rng = np.random.default_rng(seed)
+    lines = [" ".join(f"l{k}w{x}" for x in range(6)) for k in range(14)]
+    texts = [" ".join(lines[k] for k in sorted(rng.choice(14, int(rng.integers(8, 13)), replace=False))) for _ in range(n)]
+    return [t + (f" own{i % 3}" if i % 4 else "") for i, t in enumerate(texts)]
+
+
+def test_parted_pairs_hold_every_link_between_components(spark, monkeypatch):
+    """Hot shingles, in blocks of a few members, with and without an order that puts them last."""
+    texts = overlapping(120)
+    frame = docs(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    sets = {tuple(near_copies.shingle_set(t).tolist()) for t in texts}
+    node = {s: near_copies._signed([near_copies.xxh64_intdigest(np.array(s, dtype=np.uint64).tobytes(), near_copies.SEED)])[0] for s in sets}
+    want = {
+        tuple(sorted((int(node[a]), int(node[b])))) for a in sets for b in sets
+        if a < b and 5 * len(set(a) & set(b)) >= 4 * len(set(a) | set(b))}
+    none = spark.createDataFrame([], "node long, root long")
+    assert len(want) > 10
+    for block, last in ((4, None), (2048, near_copies.frequent_shingles(frame))):
+        monkeypatch.setattr(near_copies, "BLOCK", block)
+        rows = near_copies.signatures(frame, last)
+        nodes = rows.dropDuplicates(["node"])
+        got = {(r.a, r.b) for r in near_copies.parted_pairs(rows, nodes, none).collect()}
+        assert want <= got and len(got) < len(node) * (len(node) - 1) / 2
+    first = min(node.values())
+    joined = spark.createDataFrame([(int(x), int(first)) for x in node.values()], "node long, root long")
+    assert near_copies.parted_pairs(rows, nodes, joined).count() == 0
+
+
+def test_similar_sets_share_a_shingle_of_their_prefixes():
+    rng = np.random.default_rng(3)
+    last = rng.permutation(np.arange(0, 60, 2, dtype=np.uint64))
+    rank = np.argsort(last)
+    for _ in range(3000):
+        one = rng.choice(120, int(rng.integers(1, 40)), replace=False).astype(np.uint64)
+        two = np.union1d(one[int(rng.integers(0, 3)) :], rng.choice(120, int(rng.integers(0, 4)), replace=False).astype(np.uint64))
+        one, two = np.unique(one), np.unique(two)
+        if len(two) and 5 * len(np.intersect1d(one, two)) >= 4 * len(np.union1d(one, two)):
+            assert len(np.intersect1d(near_copies.prefix(one, last[rank], rank), near_copies.prefix(two, last[rank], rank)))
+
+
+def test_parities_never_differ_more_than_the_sets():
+    rng = np.random.default_rng(4)
+    for n in (3, 200, 257, 700, 5000):
+        one = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for lost in (0, n // 9, n // 2):
+            two = np.union1d(one[lost:], rng.integers(0, 2**63, n // 8, dtype=np.uint64))
+            x, y = near_copies.parity(one), near_copies.parity(two)
+            for words in {4, min(len(x), len(y))}:
+                differ = np.bitwise_count(near_copies.folded(x, words) ^ near_copies.folded(y, words)).sum(dtype=np.int64)
+                assert differ <= len(np.setxor1d(one, two))
