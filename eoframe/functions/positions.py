@@ -58,5 +58,14 @@ def file_rows(df: DataFrame) -> DataFrame:
 
 
 def in_file_order(df: DataFrame, name: str = "pos") -> DataFrame:
-    """The rows of a file scan with their places over all files, from 0."""
-    return with_positions(file_rows(df), FILE_ORDER, name=name).drop(*FILE_ORDER)
+    """The rows of a file scan with their places over all files, from 0.
+
+    A block's rows have running numbers without a gap, so only blocks are counted and summed (one row each); the rows, written once
+    since another scan may number them otherwise, are neither sorted nor shuffled.
+    """
+    rows = materialize(file_rows(df), "file-rows")
+    blocks = rows.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__row").alias("__first"))
+    earlier = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select("__file", "__block", (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__before"))
+    placed = rows.join(before, ["__file", "__block"]).withColumn(name, F.col("__before") + F.col("__row"))
+    return placed.select(*df.columns, name)

@@ -193,7 +193,7 @@ def multilabel_sample(t: Tables) -> DataFrame:
 def stable_shuffle(t: Tables) -> DataFrame:
     """The shuffled rows as files, read back with the places they have there."""
     path = shared_dir(t.spark, "shuffled")
-    sm.stable_shuffle(t.entries.select("id", "image"), SEED, "id").write.json(path)
+    sm.stable_shuffle(t.entries.select("id", "image"), SEED, "id").write.json(path, compression="lz4")
     return in_file_order(t.spark.read.schema("id string, image string").json(path))
 
 

@@ -279,3 +279,10 @@ def test_audit_and_counts_shuffle_a_row_for_a_patch(spark):
     assert row.drop_reasons == [f"{b}: excluded by native resolution 60 m" for b in ("B01", "B09")]
     counts = px.groupBy("patch_id").agg(im.count_items("band", ["B02", "B8A", "B12"]).alias("n"))
     assert rows_shuffled(counts) <= 100 and {r.n for r in counts.collect()} == {2}
+
+
+def test_file_order_shuffles_no_rows(spark, tmp_path):
+    spark.range(3000).selectExpr("id AS v").repartition(5).write.json(str(tmp_path / "rows"), compression="lz4")
+    df = in_file_order(spark.read.schema("v bigint").json(str(tmp_path / "rows")))
+    assert sorted(r["pos"] for r in df.collect()) == list(range(3000))
+    assert "rangepartitioning" not in df._jdf.queryExecution().executedPlan().toString()
